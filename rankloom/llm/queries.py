@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import mixing, packing, simhash
 
 
 def queries() -> dict:
     return {
+        "op6_bestfit_packing": packing.query,
         "op9_simhash_neardup": simhash.query,
+        "op10_source_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_source_mixing": mixing.SQL,
+    }
