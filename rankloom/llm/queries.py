@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash
+from . import mixing, packing, secrets, simhash
 
 
 def queries() -> dict:
     return {
+        "op3_secret_scan": secrets.query,
         "op6_bestfit_packing": packing.query,
         "op9_simhash_neardup": simhash.query,
         "op10_source_mixing": mixing.query,
