@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secrets, simhash
+from . import langid, mixing, packing, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op3_secret_scan": secrets.query,
+        "op5_language_id": langid.query,
         "op6_bestfit_packing": packing.query,
         "op9_simhash_neardup": simhash.query,
         "op10_source_mixing": mixing.query,

@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 
@@ -267,16 +268,38 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _rooted(prints: DataFrame) -> DataFrame:
+    """(fp, least, root): of every distinct fingerprint its smallest id and its component."""
+    fps = common.cut(prints.groupBy("fp").agg(F.min("id").alias("least")), "fps")
+    roots = components(links(fps))
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, fingerprint string, component_id long) for every row of docs; component_id: the smallest id reachable over links."""
     prints = common.cut(fingerprints(docs, id_col, text_col), "fp")
-    fps = common.cut(prints.groupBy("fp").agg(F.min("id").alias("least")), "fps")
-    roots = components(links(fps))
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(prints)
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(heads, "root").select("fp", "component_id")
     return prints.join(by_fp, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each component: that with the smallest id (of repeated rows any one)."""
+    rooted = _rooted(common.cut(fingerprints(docs, id_col, text_col), "fp"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("m"))
+    first = first.select(F.col("m.fp").alias("__fp"), F.col("m.least").alias("__least"))
+    at = docs.columns.index(text_col)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(at)), np.uint64, b.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], [*b.schema.names, "__fp"])
+
+    marked = docs.mapInArrow(add, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    kept = marked.join(first, "__fp").where(F.col(id_col).cast("long").eqNullSafe(F.col("__least")))
+    return kept.dropDuplicates(["__fp"]).select([F.col(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -99,3 +99,14 @@ def test_odd_rows(spark):
     assert by[None][1:] == (by[3][1], 3)
     assert by[5][1] == f"{plain_fingerprint(chr(0) + ' ' + chr(28)):016x}"
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_keep_one(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = {r.component_id for r in simhash.near_duplicates(docs).collect()}
+    got = [r.doc_id for r in kept.collect()]
+    assert len(got) == len(want) and set(got) == want
+    odd = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "x y z w"), (None, "q r s"), (None, "q r s"), (0, None)], "doc_id long, text string").withColumn("fp", F.lit(1))
+    assert sorted(r.text or "" for r in simhash.keep_one(odd).collect()) == ["", "a b c", "q r s", "x y z w"]
