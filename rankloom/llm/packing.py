@@ -14,13 +14,13 @@ itself; null ids stay null; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +31,8 @@ END_ID = 0
 #: Hash buckets in which the pieces of one length are numbered.
 BUCKETS = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Entries of a worker's memory of words, and characters that are tokenized together.
-KNOWN_WORDS, TOGETHER = 400_000, 2_000_000
+#: Pieces that a worker remembers, and characters that are tokenized together.
+KNOWN_PIECES, TOGETHER = 500_000, 1_000_000
 
 
 def tokenizer_path() -> str:
@@ -42,64 +42,66 @@ def tokenizer_path() -> str:
 
 
 class WordTokenizer:
-    """ids of whole texts, the same as the tokenizer's own, with a memory of the words met.
+    """ids of whole texts, the same as the tokenizer's own, with a memory of the pieces met.
 
-    The tokenizer's white space separates its pieces for good, so a text's ids are those of its words in a row. A word of letters
-    whose case and normal form are plain, with punctuation after it, is itself two pieces.
+    Texts of ASCII and Latin-1 letters, which normalising only lower-cases, are cut into pieces by the tokenizer's own pattern. Pieces
+    that are new are encoded together: the tokenizer marks the end of a piece in its last id. Any other text goes to the tokenizer
+    as it is.
     """
 
-    #: White space of str.split() that is none to the tokenizer.
-    ODD = regex.compile("[\x1c-\x1f]")
-    PLAIN = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
+    PLAIN = re.compile("[\\x09-\\x0d -~À-ÖØ-öø-ÿ]*")
+    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
+        words = self.own.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
         self.starts, self.sizes, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
-        self.n_words = self.n_ids = 0
-
-    def _learn(self, words: list[str]) -> None:
-        split, need = [], {}
-        for w in words:
-            m = self.PLAIN.fullmatch(w)
-            parts = [p for p in (m[1].lower(), m[2]) if p] if m else [w]
-            split.append(parts)
-            need.update((p, None) for p in parts if p not in self.parts)
-        pieces = list(need)
-        for p, e in zip(pieces, self.own.encode_batch(pieces, add_special_tokens=False)):
-            self.parts[p] = e.ids
-        found = [[i for p in parts for i in self.parts[p]] for parts in split]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-        self.starts, self.sizes = (_room(x, self.n_words + len(words)) for x in (self.starts, self.sizes))
-        self.flat = _room(self.flat, self.n_ids + len(ids))
-        self.at.update(zip(words, range(self.n_words, self.n_words + len(words))))
-        self.sizes[self.n_words : self.n_words + len(words)] = sizes
-        self.starts[self.n_words : self.n_words + len(words)] = self.n_ids + np.cumsum(sizes) - sizes
-        self.flat[self.n_ids : self.n_ids + len(ids)] = ids
-        self.n_words += len(words)
-        self.n_ids += len(ids)
+        self.n_pieces = self.n_ids = 0
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, pieces: list[str]) -> None:
+        for k in range(0, len(pieces), 1024):
+            some = pieces[k : k + 1024]
+            ids = self._encode(" ".join(some))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                each = [self._encode(p) for p in some]
+                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            n, starts = len(some), np.concatenate(([0], ends[:-1]))
+            self.starts, self.sizes = (_room(x, self.n_pieces + n) for x in (self.starts, self.sizes))
+            self.flat = _room(self.flat, self.n_ids + len(ids))
+            self.starts[self.n_pieces : self.n_pieces + n] = self.n_ids + starts
+            self.sizes[self.n_pieces : self.n_pieces + n] = ends - starts
+            self.flat[self.n_ids : self.n_ids + len(ids)] = ids
+            self.at.update(zip(some, range(self.n_pieces, self.n_pieces + n)))
+            self.n_pieces += n
+            self.n_ids += len(ids)
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if self.n_words > KNOWN_WORDS or len(self.parts) > KNOWN_WORDS or self.n_ids > 16 * KNOWN_WORDS:
+        if self.n_pieces > KNOWN_PIECES or self.n_ids > 16 * KNOWN_PIECES:
             self.forget()
-        odd = [bool(self.ODD.search(t)) for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd)]
-        new = {w for words in split for w in words if w not in self.at}
+        plain = [self.PLAIN.fullmatch(t) is not None and not any(x in t for x in self.special) for t in texts]
+        cut = [self.PIECE.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
+        new = {w for pieces in cut for w in pieces if w not in self.at}
         if new:
             self._learn(list(new))
-        for text, words, o in zip(texts, split, odd):
-            if o:
-                yield np.array(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
+        for text, pieces, p in zip(texts, cut, plain):
+            if not p:
+                yield self._encode(text)
                 continue
-            k = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            k = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
             size = self.sizes[k]
             yield self.flat[np.repeat(self.starts[k] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
