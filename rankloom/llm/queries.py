@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, secrets, simhash
+from . import langid, mixing, packing, quality, secrets, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_secret_scan": secrets.query,
         "op5_language_id": langid.query,
         "op6_bestfit_packing": packing.query,
+        "op7_quality_rules": quality.query,
         "op9_simhash_neardup": simhash.query,
         "op10_source_mixing": mixing.query,
     }
