@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, quality, secrets, simhash
+from . import langid, mixing, packing, quality, secrets, simhash, warc
 
 
 def queries() -> dict:
     return {
+        "op2_warc_archives": warc.query,
         "op3_secret_scan": secrets.query,
         "op5_language_id": langid.query,
         "op6_bestfit_packing": packing.query,
@@ -18,5 +19,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc_archives": warc.SQL,
         "op10_source_mixing": mixing.SQL,
     }
