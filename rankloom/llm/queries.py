@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, quality, secrets, simhash, warc
+from . import htmltext, langid, mixing, packing, quality, secrets, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op2_warc_archives": warc.query,
         "op3_secret_scan": secrets.query,
+        "op4_html_main_text": htmltext.query,
         "op5_language_id": langid.query,
         "op6_bestfit_packing": packing.query,
         "op7_quality_rules": quality.query,
