@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import htmltext, langid, mixing, packing, quality, secrets, simhash, warc
+from . import hilbert, htmltext, langid, mixing, packing, quality, secrets, simhash, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_language_id": langid.query,
         "op6_bestfit_packing": packing.query,
         "op7_quality_rules": quality.query,
+        "op8_hilbert_neighbours": hilbert.query,
         "op9_simhash_neardup": simhash.query,
         "op10_source_mixing": mixing.query,
     }
