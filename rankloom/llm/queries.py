@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import hilbert, htmltext, langid, mixing, packing, quality, secrets, simhash, warc
+from . import hilbert, htmltext, langid, licenses, mixing, packing, quality, secrets, simhash, warc
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": licenses.query,
         "op2_warc_archives": warc.query,
         "op3_secret_scan": secrets.query,
         "op4_html_main_text": htmltext.query,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": licenses.SQL,
         "op2_warc_archives": warc.SQL,
         "op10_source_mixing": mixing.SQL,
     }
