@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import base, inference, rerank  # noqa: F401  the modules register their queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
