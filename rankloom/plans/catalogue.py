@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, corpus, inference, rerank  # noqa: F401  the modules register their queries
+from . import base, corpus, inference, learned, rerank, storage  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict:
