@@ -34,7 +34,7 @@ def targets(sims: DataFrame) -> DataFrame:
 def records(scored: DataFrame, tg: DataFrame, by: list[str]) -> DataFrame:
     """(by, gold_rank, nf_rank): places of the two targets among each group's rows of (by, id, s)."""
     rows = scored.join(F.broadcast(tg), "q")
-    own = rows.groupBy(*by).agg(F.max(F.when(F.col("id") == F.col("gold"), F.col("s"))).alias("gs"), F.max(F.when(F.col("id") == F.col("nf"), F.col("s"))).alias("ns"))
+    own = rows.where((F.col("id") == F.col("gold")) | (F.col("id") == F.col("nf"))).groupBy(*by).agg(F.max(F.when(F.col("id") == F.col("gold"), F.col("s"))).alias("gs"), F.max(F.when(F.col("id") == F.col("nf"), F.col("s"))).alias("ns"))
     ahead = lambda t, i: F.count_if((F.col("s") > F.col(t)) | ((F.col("s") == F.col(t)) & (F.col("id") < F.col(i)))) + 1
     return rows.join(own, by).groupBy(*by).agg(ahead("gs", "gold").alias("gold_rank"), ahead("ns", "nf").alias("nf_rank"))
 
