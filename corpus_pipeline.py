@@ -9,30 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm import common, langid, mixing, packing, secrets, simhash
+from rankloom.shipping import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those without a letter or without a likely language go."""
+    ship(spark)
     return langid.keep_known(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates, that with the smallest id."""
+    ship(spark)
     return simhash.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark; n_chars follows."""
+    ship(spark)
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix by source: a document's row comes as often as it is taken, at most twice."""
+    ship(spark)
     return mixing.take(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each row, with its sequence and place."""
+    ship(spark)
     return packing.pack_documents(docs)
 
 
