@@ -169,9 +169,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = known.where(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / float(1 << 32) <= share)
     some = some.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("k") <= per_label).select("id", "label", "h")
     texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(some), "id").select("text", "label", "h").mapInArrow(_feature_batches, "at array<int>, x array<float>, label int, h string").collect()  # at most 2 * per_label ids
-    found = sorted(found, key=lambda r: (r["h"], r["label"]))[: 2 * per_label]
-    data = [(np.array(r["at"], np.int64), np.array(r["x"], float), r["label"]) for r in found]
+    found = texts.join(F.broadcast(some), "id").select("text", "label", "h").mapInArrow(_feature_batches, "at array<int>, x array<float>, label int, h string").toArrow()  # at most 2 * per_label ids
+    order = found.select(["h", "label"]).to_pandas().sort_values(["h", "label"], kind="stable").index[: 2 * per_label]
+    at, x, label = (found.column(c).combine_chunks() for c in ("at", "x", "label"))
+    data = [(at[int(k)].values.to_numpy(), x[int(k)].values.to_numpy(), label[int(k)].as_py()) for k in order]
     ahead, back = [r for k, r in enumerate(data) if k % 5], [r for k, r in enumerate(data) if not k % 5]
     if len({y for *_, y in ahead}) < 2:
         return Model()
