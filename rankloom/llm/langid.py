@@ -160,8 +160,10 @@ def train(rows: DataFrame, per_lang: int = PER_LANG) -> Model:
     hashed = rows.withColumn("h", F.md5(F.concat(F.lit("lang:"), F.col("text"))))
     share = hashed.join(F.broadcast(of_lang), "lang").where(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / float(1 << 32) <= F.lit(1.5 * per_lang + 20) / F.col("count"))
     least = share.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= per_lang)
-    found = least.select("text", "lang", "h").mapInArrow(_gram_batches, "at array<int>, tf array<int>, lang string, h string").collect()
-    found = sorted(((r["lang"], r["h"], np.array(r["at"], np.int32), np.array(r["tf"], np.int32)) for r in found if r["at"]), key=lambda r: r[:2])
+    found = least.select("text", "lang", "h").mapInArrow(_gram_batches, "at array<int>, tf array<int>, lang string, h string").toArrow()
+    at, tf = (found.column(c).combine_chunks() for c in ("at", "tf"))
+    keys = sorted((lang, h, k) for k, (lang, h) in enumerate(zip(found.column("lang").to_pylist(), found.column("h").to_pylist())))
+    found = [(lang, h, at[k].values.to_numpy(), tf[k].values.to_numpy()) for lang, h, k in keys if len(at[k])]
     langs = sorted({r[0] for r in found})
     model = Model(langs, idf, np.zeros((DIM, len(langs))), np.zeros(len(langs)))
     data = [(at, model.vector(at, tf), langs.index(lang)) for lang, _, at, tf in found]
