@@ -364,13 +364,13 @@ def document_numbers(spark, d):
 
 @query(
     "judge_score_parse",
-    """with e as (select event_id, value, concat(case event_id % 5 when 0 then 'score ' when 1 then '' when 2 then 'about ' when 3 then '7 or ' else 'none' end, case when event_id % 5 < 4 then printf('%.2f', round(value / 80, 2)) else '' end) as t from events where event_id % 4 = 0),
+    """with e as (select event_id, concat(case event_id % 5 when 0 then 'score ' when 1 then '' when 2 then 'about ' when 3 then '7 or ' else 'none' end, case when event_id % 5 < 4 then (event_id * 37 % 160 // 100)::varchar || '.' || lpad((event_id * 37 % 100)::varchar, 2, '0') else '' end) as t from events where event_id % 4 = 0),
 p as (select event_id, t, try_cast(nullif(regexp_extract(t, '(?:^|[^0-9.])(0(?:[.][0-9]+)?|1(?:[.]0+)?|[.][0-9]+)(?:$|[^0-9.])', 1), '') as double) as s from e) select event_id, round(greatest(0, least(1, coalesce(s, 0.5))), 6) as score, s is not null as ok from p""",
 )
 def judge_score_parse(spark, d):
     e = table(spark, d, "events").where("event_id % 4 = 0")
-    kind = F.col("event_id") % 5
-    t = F.concat(F.when(kind == 0, "score ").when(kind == 1, "").when(kind == 2, "about ").when(kind == 3, "7 or ").otherwise("none"), F.when(kind < 4, F.format_string("%.2f", F.round(F.col("value") / 80, 2))).otherwise(""))
+    kind, n = F.col("event_id") % 5, F.col("event_id") * 37
+    t = F.concat(F.when(kind == 0, "score ").when(kind == 1, "").when(kind == 2, "about ").when(kind == 3, "7 or ").otherwise("none"), F.when(kind < 4, F.concat(F.floor(n % 160 / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))).otherwise(""))
     return e.select("event_id", ft.judge_score(t).alias("j")).select("event_id", r6("j.score").alias("score"), F.col("j.ok").alias("ok"))
 
 
