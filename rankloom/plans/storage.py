@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
-from ..sources import store
+from ..sources import scratch, store
 from ..streaming import incremental
 from .base import query, r6, rounded, table, vectors
 
@@ -20,7 +20,7 @@ def parquet_scan(spark, d):
 def jsonl_roundtrip(spark, d):
     answers = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("lang", "source"))
     rows = table(spark, d, "documents").select(F.left("text", F.lit(60)).alias("question"), F.lit("").alias("factual_context"), answers.alias("factual_answer"), "text", F.lit(None).cast("array<string>").alias("ground_truth"), F.col("doc_id").cast("string").alias("original_dataset_id"))
-    path = store.scratch(spark, "jsonl")
+    path = scratch.new_path(spark, "jsonl")
     store.write_jsonl(rows, path)
     back = store.read_jsonl(spark, path, store.SAMPLE)
     return back.groupBy((F.col("original_dataset_id").cast("long") % 10).alias("part")).agg(F.count("*").alias("n"), F.count_distinct("question").alias("questions"), F.sum(F.size("factual_answer")).alias("answers"), F.md5(F.max("question")).alias("last"))
@@ -29,7 +29,7 @@ def jsonl_roundtrip(spark, d):
 @query("csv_roundtrip", "select doc_id, md5(text || '\"x\",' || chr(10)) as digest, case when doc_id % 4 = 0 then null else lang end as lang from documents")
 def csv_roundtrip(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit('"x",\n')).alias("text"), F.when(F.col("doc_id") % 4 == 0, None).otherwise(F.col("lang")).alias("lang"))
-    path = store.scratch(spark, "csv")
+    path = scratch.new_path(spark, "csv")
     store.write_csv(rows, path)
     return store.read_csv(spark, path, "doc_id string, text string, lang string").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "lang")
 
@@ -37,7 +37,7 @@ def csv_roundtrip(spark, d):
 @query("csv_formatted", "select event_type, case when event_type = 'click' then null else printf('%.2f', round(avg(value), 2)) end as mean, printf('%.4f', round(max(value), 4)) as largest from events group by event_type")
 def csv_formatted(spark, d):
     cells = table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), F.max("value").alias("largest")).withColumn("mean", F.when(F.col("event_type") != "click", F.col("mean")))
-    path = store.scratch(spark, "cells")
+    path = scratch.new_path(spark, "cells")
     store.write_table_csv(cells, path, {"mean": 2, "largest": 4})
     return store.read_csv(spark, path, "event_type string, mean string, largest string")
 
@@ -67,7 +67,7 @@ def records(spark: SparkSession, d: str):
 
 @query("hive_tree_discovery", "select case when event_id % 2 = 0 then 7 else 42 end as seed, (event_id % 3)::int as layer, count(*) as n, round(avg((value > 50)::int), 6) as rate from events where event_id % 3 <> 1 group by all")
 def hive_tree_discovery(spark, d):
-    path = store.scratch(spark, "tree")
+    path = scratch.new_path(spark, "tree")
     store.write_tree(records(spark, d), path, ["seed", "layer"])
     back = spark.read.parquet(path).where("layer <> 1")  # pruned by partition
     return back.groupBy("seed", "layer").agg(F.count("*").alias("n"), r6(F.avg(F.col("hit").cast("double"))).alias("rate"))
@@ -75,7 +75,7 @@ def hive_tree_discovery(spark, d):
 
 @query("legacy_tree_migration", "select (user_id % 2)::varchar as eval, case when event_id % 2 = 0 then 7 else 42 end as seed, (event_id % 3)::int as layer, 'last_pos' as position, count(*) as n from events group by all")
 def legacy_tree_migration(spark, d):
-    path, moved = store.scratch(spark, "legacy"), store.scratch(spark, "moved")
+    path, moved = scratch.new_path(spark, "legacy"), scratch.new_path(spark, "moved")
     rows = records(spark, d)
     named = rows.withColumn("at", F.concat_ws("/", "model", "eval", "direction", "normalize", F.concat(F.lit("seed_"), "seed"), "procedure", F.concat(F.lit("layer_"), "layer"), "position"))
     # directories without names: one small job per directory, of which there are a fixed dozen
@@ -90,14 +90,14 @@ def best_partition_copy(spark, d):
     rows = records(spark, d)
     best = rows.groupBy("layer").agg(F.avg(F.col("hit").cast("double")).alias("r")).orderBy(F.desc("r"), "layer").limit(1).select("layer")
     wanted = rows.select("layer", "seed").distinct().join(best, "layer", "left_semi")
-    path = store.scratch(spark, "best")
+    path = scratch.new_path(spark, "best")
     store.copy_partitions(rows, wanted, ["layer", "seed"], path)
     return spark.read.parquet(path).groupBy("layer", "seed").agg(F.count("*").alias("n"))
 
 
 @query("partition_listing", "select unnest([7, 42]) as seed")
 def partition_listing(spark, d):
-    path = store.scratch(spark, "list")
+    path = scratch.new_path(spark, "list")
     store.write_tree(records(spark, d), path, ["seed", "layer"])
     return store.partitions(spark.read.parquet(path), "seed")
 
@@ -109,7 +109,7 @@ def layers_in_every_seed(spark, d):
 
 @query("incremental_append", "select event_type, count(*) as n from events where event_id % 4 < 3 group by event_type")
 def incremental_append(spark, d):
-    e, path = table(spark, d, "events"), store.scratch(spark, "append")
+    e, path = table(spark, d, "events"), scratch.new_path(spark, "append")
     for part in ("event_id % 4 = 0", "event_id % 4 < 2", "event_id % 4 < 2", "event_id % 4 in (1, 2)"):  # overlapping and repeated runs
         incremental.append_new(e.where(part), path, ["event_id"])
     return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"))
@@ -118,7 +118,7 @@ def incremental_append(spark, d):
 @query("stream_append", "select event_type, count(*) as n from events group by event_type")
 def stream_append(spark, d):
     e = table(spark, d, "events")
-    inbox, path, check = (store.scratch(spark, n) for n in ("inbox", "stream", "check"))
+    inbox, path, check = (scratch.new_path(spark, n) for n in ("inbox", "stream", "check"))
     for part in ("event_id % 2 = 0", "event_id % 3 = 0", "event_id % 2 = 1"):  # arrivals that overlap
         e.where(part).write.mode("append").parquet(inbox)
         incremental.append_stream(spark.readStream.schema(e.schema).parquet(inbox), path, ["event_id"], check).awaitTermination()
@@ -127,7 +127,7 @@ def stream_append(spark, d):
 
 @query("vector_table_roundtrip", "select vec_id, len(embedding)::int as width, round(list_sum(list_transform(embedding::double[], lambda x: x * x)), 4) as square from embeddings")
 def vector_table_roundtrip(spark, d):
-    path = store.scratch(spark, "vectors")
+    path = scratch.new_path(spark, "vectors")
     table(spark, d, "embeddings").select("vec_id", "embedding").write.parquet(path)
     back = spark.read.parquet(path)
     return back.select("vec_id", F.size("embedding").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("square"))
@@ -140,7 +140,7 @@ def direction_store(spark, d):
     v = vectors(spark, d)
     means = fv.collect(fv.explode(v, "vec", "label").groupBy("label", "i").agg(F.avg("x").alias("m")), ["label"], "m", "direction")
     rows = means.join(v.groupBy("label").agg(F.count("*").alias("n_pos")), "label").select((F.col("label") % 3).alias("dataset"), F.lit(7).alias("seed"), F.col("label").alias("layer"), F.lit("last_pos").alias("position"), F.col("direction").cast("array<float>").alias("direction"), F.create_map(F.lit("n_pos"), F.col("n_pos").cast("string")).alias("meta"))
-    path = store.scratch(spark, "directions")
+    path = scratch.new_path(spark, "directions")
     store.save_directions(rows, path)
     back = store.load_directions(spark, path, 64)
     return back.select("dataset", "layer", F.element_at("direction", 1).cast("double").alias("first"), F.element_at("meta", "n_pos").cast("long").alias("n_pos"))
@@ -156,7 +156,7 @@ def probe_import(spark, d):
 @query("corpus_version", "select unnest(['same', 'other']) as version, unnest([true, false]) as matches")
 def corpus_version(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    path = store.scratch(spark, "version")
+    path = scratch.new_path(spark, "version")
     docs.repartition(3).write.parquet(path)
     kept = store.fingerprint(spark.read.parquet(path), "doc_id", "text").select(F.col("digest").alias("kept"))
     other = store.fingerprint(docs.where("doc_id > 0"), "doc_id", "text").select(F.lit("other").alias("version"), "digest")
@@ -172,7 +172,7 @@ def record_sample(spark, d):
 @query("web_record_explode", "select conv_id, count(*) as results, sum(length(text)) as chars from conversations where turn < 3 group by conv_id")
 def web_record_explode(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("page_result")))).alias("search_results"))
-    path = store.scratch(spark, "web")
+    path = scratch.new_path(spark, "web")
     store.write_jsonl(c, path)
     back = store.read_jsonl(spark, path, "conv_id long, search_results array<struct<turn:long,page_result:string>>")
     pages = back.select("conv_id", F.explode(F.slice("search_results", 1, 3)).alias("r")).where("r.turn < 3")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +13,6 @@ TREE = ("model", "eval", "direction", "normalize", "seed", "procedure", "layer",
 TREE_PATTERN = r"/([^/]+)/([^/]+)/([^/]+)/([^/]+)/seed_(\d+)/([^/]+)/layer_(\d+)/([^/]+)/[^/]+$"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{at.rstrip('/')}/rankloom-{name}-{uuid.uuid4().hex}"
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a stated schema; blank lines are skipped, a missing path is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
