@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..sources.scratch import delete, folder, new_path
 
 #: A word everywhere in this subpackage: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,19 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="rankloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/rankloom/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: what follows does not depend on executors that may be lost."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
@@ -39,17 +24,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by new_path, in whatever store it is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table made by cut() that nothing reads any more."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/rankloom/" in path:
-            drop_path(df.sparkSession, path)
+        if f"{folder(df.sparkSession).rpartition('/')[2]}/" in path:
+            delete(df.sparkSession, path)
 
 
 def n_words(text) -> F.Column:
