@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_path
+
 
 def order_key(seed, *keys: Column) -> Column:
     seed = seed if isinstance(seed, Column) else F.lit(str(seed))
@@ -50,8 +52,10 @@ def dense_ids(df: DataFrame, key: str, out: str) -> DataFrame:
 
     Values are range-partitioned and numbered within their partition; partition offsets are the only thing that is summed up in one place.
     """
-    parts = df.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key)
-    placed = parts.withColumn("__part", F.spark_partition_id())
+    parts = df.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id())
+    path = new_path(df.sparkSession, "ids")  # written, because the partition numbers must be the same for both of their uses
+    parts.write.parquet(path)
+    placed = df.sparkSession.read.schema(parts.schema).parquet(path)
     local = placed.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(key)))
     before = local.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n"))
     return local.join(F.broadcast(before), "__part").select(key, (F.col("__before") + F.col("__k") - 1).alias(out))
