@@ -288,7 +288,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row of docs for each component: that with the smallest id (of repeated rows any one)."""
     rooted = _rooted(common.cut(fingerprints(docs, id_col, text_col), "fp"))
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("m"))
-    first = first.select(F.col("m.fp").alias("__fp"), F.col("m.least").alias("__least"))
+    keys = lambda ident: [F.coalesce(ident, F.lit(0)).alias("__id"), ident.isNull().alias("__none")]
+    first = first.select(F.col("m.fp").alias("__fp"), *keys(F.col("m.least")))
     at = docs.columns.index(text_col)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,8 +298,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], [*b.schema.names, "__fp"])
 
     marked = docs.mapInArrow(add, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
-    kept = marked.join(first, "__fp").where(F.col(id_col).cast("long").eqNullSafe(F.col("__least")))
-    return kept.dropDuplicates(["__fp"]).select([F.col(c) for c in docs.columns])
+    # id and fingerprint together are the key of the join and of what follows it: one shuffle of the texts, and copies are spread by their ids
+    kept = marked.select("*", *keys(F.col(id_col).cast("long"))).join(first, ["__fp", "__id", "__none"])
+    return kept.dropDuplicates(["__fp", "__id", "__none"]).select([F.col(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
