@@ -44,18 +44,21 @@ def lexical_floor(spark, d):
 def _identical(batches):
     for b in batches:
         out = []
-        for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+        for x, y in zip(b.column(1), b.column(2)):
+            x, y = x.as_py(), y.as_py()
             longest = max(len(x), len(y))
-            same = sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+            # equal lists match as one block
+            same = longest if x == y else sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
             out.append(same / longest if longest else 1.0)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "identical"])
 
 
 @query("chunk_identity")
 def chunk_identity(spark, d):
-    """Share of chunks that two versions of a text have in common, in order; the second version lacks its first sentence on odd ids."""
-    s = ft.sentences(F.col("text"))
-    rows = table(spark, d, "documents").where("n_chars < 5000").select("doc_id", ft.pack(s, 32).alias("a"), ft.pack(F.when(F.col("doc_id") % 2 == 1, F.slice(s, F.lit(2), F.greatest(F.size(s), F.lit(1)))).otherwise(s), 32).alias("b"))
+    """Share of chunks that two versions of a text have in common, in order; the second version lacks its first sentence on odd ids.
+    Every document has a row, whatever its length; a null text is the empty text."""
+    s = ft.sentences(F.coalesce("text", F.lit("")))
+    rows = table(spark, d, "documents").select("doc_id", ft.pack(s, 32).alias("a"), ft.pack(F.when(F.col("doc_id") % 2 == 1, F.slice(s, F.lit(2), F.greatest(F.size(s), F.lit(1)))).otherwise(s), 32).alias("b"))
     return rounded(rows.mapInArrow(_identical, "doc_id long, identical double"), "identical")
 
 
