@@ -83,6 +83,12 @@ def provider_hidden_states(spark, d):
     return docs.join(made, "text").select("doc_id", F.posexplode("layers").alias("layer", "vec")).select("doc_id", "layer", F.size("vec").alias("width"), F.round(fv.norm(F.col("vec")), 4).alias("norm"))
 
 
+def _by_digest(rows, made, column):
+    """rows with the results made for their texts; they meet on digests, so that whole texts are not shuffled for it."""
+    key = F.sha2(column, 256).alias("__key")
+    return rows.withColumn("__key", key).drop(column).join(made.withColumn("__key", key).drop(column), "__key").drop("__key")
+
+
 @query("provider_judge")
 def provider_judge(spark, d):
     docs = table(spark, d, "documents").select("doc_id", ft.judge_prompt(F.left("text", F.lit(200))).alias("prompt"))
@@ -94,12 +100,13 @@ def provider_judge(spark, d):
 @query("ab_choice_states")
 def ab_choice_states(spark, d):
     """Hidden states of A/B prompts; half of the documents, in hash order, have the factual text as A."""
-    docs = sampling.in_hash_order(table(spark, d, "documents").where("doc_id < 100").select("doc_id", "text", "lang"), [], 9, "doc_id")
-    n = docs.agg(F.count("*").alias("n"))
-    sides = docs.crossJoin(F.broadcast(n)).withColumn("side", F.when(F.col("k") <= F.col("n") / 2, "A").otherwise("B"))  # one row
-    asked = sides.withColumn("prompt", ft.prompt(F.when(F.col("side") == "A", F.array("text", "lang")).otherwise(F.array("lang", "text")), F.lit("A or B?")))
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", F.concat_ws(":", sampling.order_key(9, F.col("doc_id")), F.col("doc_id").cast("string")).alias("h"))
+    ids = sampling.dense_ids(docs, "h", "k")
+    last = ids.crossJoin(F.broadcast(ids.agg(F.count("*").alias("n")))).agg(F.max(F.when(F.col("k") < F.floor(F.col("n") / 2), F.col("h"))).alias("last"))  # one row each
+    sides = docs.crossJoin(F.broadcast(last)).withColumn("side", F.when(F.col("h") <= F.col("last"), "A").otherwise("B"))
+    asked = sides.select("doc_id", "side", ft.prompt(F.when(F.col("side") == "A", F.array("text", "lang")).otherwise(F.array("lang", "text")), F.lit("A or B?")).alias("prompt"))
     made = providers.per_text(asked, "prompt", providers.hidden_states, "layers", "array<array<float>>")
-    return asked.join(made, "prompt").select("doc_id", "side", F.size("layers").alias("layers"))
+    return _by_digest(asked, made, "prompt").select("doc_id", "side", F.size("layers").alias("layers"))
 
 
 @query("sparse_feature_direction")

@@ -1,6 +1,7 @@
 """Queries cover every row and whole texts, on small tables made for it."""
 
 import difflib
+import hashlib
 import re
 
 import pytest
@@ -61,3 +62,12 @@ def test_benchmark_containment_looks_for_whole_items(spark, made):
     want = {(i, k) for i, t in texts.items() for k, x in items.items() if t and x.lower() in t.lower()}
     rows = [tuple(r) for r in catalogue.queries()["benchmark_containment"](spark, d).collect()]
     assert sorted(rows) == sorted(want) and want == {(100, 0), (100, 3), (101, 3), (104, 2)}
+
+
+def test_ab_choice_states_takes_every_document(spark, made):
+    ids = range(1000, 1151)
+    d = made(documents=([(i, None if i == 1007 else f"text {i} " * 9, "en") for i in ids], "doc_id long, text string, lang string"))
+    order = sorted(ids, key=lambda i: (hashlib.md5(f"9:{i}".encode()).hexdigest(), i))
+    want = {i: "A" if k + 1 <= len(order) / 2 else "B" for k, i in enumerate(order)}
+    got = catalogue.queries()["ab_choice_states"](spark, d).collect()
+    assert len(got) == len(order) and {r.doc_id: r.side for r in got} == want and {r.layers for r in got} == {3}
