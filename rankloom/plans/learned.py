@@ -91,10 +91,10 @@ def _by_digest(rows, made, column):
 
 @query("provider_judge")
 def provider_judge(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", ft.judge_prompt(F.left("text", F.lit(200))).alias("prompt"))
+    docs = table(spark, d, "documents").select("doc_id", ft.judge_prompt(F.coalesce("text", F.lit(""))).alias("prompt"))
     cache = docs.where("doc_id % 2 = 0").select("prompt").distinct().select("prompt", F.lit("0.25").alias("raw"))
     made = providers.per_text(docs, "prompt", providers.judge, "raw", "string", cache)
-    return docs.join(made, "prompt").select("doc_id", "raw", ft.judge_score(F.col("raw")).alias("j")).select("doc_id", "raw", r6("j.score").alias("score"), F.col("j.ok").alias("ok"))
+    return _by_digest(docs, made, "prompt").select("doc_id", "raw", ft.judge_score(F.col("raw")).alias("j")).select("doc_id", "raw", r6("j.score").alias("score"), F.col("j.ok").alias("ok"))
 
 
 @query("ab_choice_states")

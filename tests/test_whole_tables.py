@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from rankloom.operators import providers
 from rankloom.plans import catalogue
 
 
@@ -71,3 +72,12 @@ def test_ab_choice_states_takes_every_document(spark, made):
     want = {i: "A" if k + 1 <= len(order) / 2 else "B" for k, i in enumerate(order)}
     got = catalogue.queries()["ab_choice_states"](spark, d).collect()
     assert len(got) == len(order) and {r.doc_id: r.side for r in got} == want and {r.layers for r in got} == {3}
+
+
+def test_provider_judge_reads_whole_texts(spark, made):
+    texts = {k: "The same long beginning of a text. " * 8 + f"End {k}." for k in range(1, 40, 2)} | {2: "cached.", 3: "cached.", 4: None}
+    d = made(documents=(list(texts.items()), "doc_id long, text string"))
+    asked = {i: f"Rate from 0 to 1 how factual this is.\n{t or ''}\nScore:" for i, t in texts.items()}
+    want = {i: "0.25" if i in (2, 3, 4) else providers.judge([p])[0] for i, p in asked.items()}
+    got = catalogue.queries()["provider_judge"](spark, d).collect()
+    assert len(got) == len(texts) and {r.doc_id: r.raw for r in got} == want and len(set(want.values())) > 5
