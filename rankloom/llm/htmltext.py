@@ -2,9 +2,11 @@
 
 A page is read into text nodes, each with its root-to-leaf tag path. Over all nodes of a path the mean text length and the mean
 number of punctuation marks are taken; both ratios are smoothed along the page, fused into one score per path, and paths under a threshold
-in proportion to the spread of the scores are not content. Marked-up structure counts as well: what lies in navigation, headers, footers,
-asides, forms, scripts and the like, or in an element whose class, id or role says so, is never content; where the page marks an article
-or main part, only that is looked at, and there a path falls only if most of it is link text. A heading stays if content follows it.
+in proportion to the spread of the scores are not content, except that lists and short blocks stay beside content unless most of their
+path is link text. Marked-up structure counts as well: what lies in navigation, headers, footers, asides, forms, scripts and the like, or in
+a container whose class, id or role says so, is never content; headings, paragraphs and inline elements are not judged by such names, nor
+within an article are sections by their id. Where the page marks an article or main part, only that is looked at, and there a path falls only
+if most of it is link text. A heading stays if content follows it.
 
 Defined results: a null or empty page, or one without content, has the text ''; unclosed, unknown and misnested tags are read as well as may be;
 repeated rows stay repeated; null ids and urls stay null; other columns are not looked at.
@@ -34,6 +36,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Elements that begin and end blocks of text, those among them that end an open paragraph, and headings.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Blocks that hold others and may be told by their names as none of the content, and those whose direct parts lie beside each other.
+CONTAINERS = BLOCKS - HEADINGS - {"p", "pre", "blockquote", "caption", "figcaption", "hr", "legend", "summary", "address"}
+FRAMES = {"article", "body", "center", "div", "html", "main", "section"}
 #: An open element that the start of another of the same group ends, up to an enclosing element of the second kind.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words of a class, id or role that mark what is not content, and those that mark content.
@@ -56,8 +61,8 @@ class Node:
         self.path, self.text, self.block, self.bad, self.main, self.link, self.heading = path, text, block, bad, main, link, heading
 
 
-def _hints(attrs: str) -> tuple[str, bool, bool]:
-    """(class of the path, whether the attributes speak against content, whether for it)."""
+def _hints(attrs: str, ids: bool = True) -> tuple[str, bool, bool]:
+    """(class of the path, whether the attributes speak against content, whether for it); without ids an id does not speak against it."""
     if not attrs or "=" not in attrs:
         return "", False, False
     against = in_favour = False
@@ -65,9 +70,9 @@ def _hints(attrs: str) -> tuple[str, bool, bool]:
     for m in NAMED.finditer(attrs):
         value = (m[2] or m[3] or m[4] or "").strip()
         words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-        against |= bool(words & AROUND)
+        against |= bool(words & AROUND) and (ids or m[1].lower() != "id")
         in_favour |= bool(words & CONTENT or {"article", "body"} <= words) or value.lower().replace("-", "") in CONTENT
-        first = first or (f".{value.split()[0]}" if m[1].lower() == "class" and value else "")
+        first = first or (f".{value.split()[0]}".replace("/", "|") if m[1].lower() == "class" and value else "")
     return first, against, in_favour
 
 
@@ -125,7 +130,8 @@ def nodes(page: str) -> list[Node]:
         if (m["attrs"] or "").endswith("/") and tag not in BLOCKS:
             continue
         _, path, bad, main, link, heading = stack[-1]
-        name, against, in_favour = _hints(m["attrs"] or "")
+        name, against, in_favour = _hints(m["attrs"] or "", not (main and tag == "section"))
+        against &= tag in CONTAINERS
         top = tag in ("html", "body", "main", "article")  # a theme's class on these says nothing
         bad = bad or tag in NEVER or (tag == "header" and not main) or (against and not top and not (in_favour and main is False and tag != "div"))
         main = main or tag in ("article", "main") or (in_favour and not bad)
@@ -150,6 +156,40 @@ def scores(of: list[Node]) -> dict[str, float]:
     return {p: total[p] / number[p] for p in total}
 
 
+def _frame(path: str) -> str:
+    """The path up to its innermost frame."""
+    parts = path.split("/")
+    while parts and parts[-1].split(".")[0] not in FRAMES:
+        parts.pop()
+    return "/".join(parts)
+
+
+def beside(around: dict[int, list[Node]], kept: set[int], menus: set[str]) -> set[int]:
+    """Blocks, other than menus, in one frame with a kept block, or in a frame within it that lies between kept blocks of it."""
+    frames: dict[str, str] = {}
+    of = {}
+    for b, xs in around.items():
+        path = max(xs, key=lambda x: len(x.text)).path
+        of[b] = frames[path] if path in frames else frames.setdefault(path, _frame(path))
+    first, last = {}, {}
+    for b in sorted(kept):
+        first.setdefault(of[b], b)
+        last[of[b]] = b
+
+    def near(b: int) -> bool:
+        frame = of[b]
+        if frame in first:
+            return True
+        while frame:
+            frame = frame.rpartition("/")[0]
+            if frame in first and first[frame] < b < last[frame]:
+                return True
+        return False
+
+    text = lambda xs: sum(len(x.text) for x in xs)
+    return {b for b, xs in around.items() if b not in kept and 2 * text(x for x in xs if x.path in menus) <= text(xs) and near(b)}
+
+
 def content(found: list[Node]) -> list[Node]:
     """The nodes that are content."""
     live = [x for x in found if not x.bad and x.text.strip()]
@@ -172,6 +212,8 @@ def content(found: list[Node]) -> list[Node]:
     for x in of:
         around.setdefault(x.block, []).append(x)
     kept_blocks = {b for b, xs in around.items() if 2 * sum(len(x.text) for x in xs if x.path not in dropped) > sum(len(x.text) for x in xs)}
+    if not marked:
+        kept_blocks |= beside(around, kept_blocks, menus)
     order = sorted(around)
     keep, follows = set(), False
     for b in reversed(order):

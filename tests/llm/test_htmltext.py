@@ -50,3 +50,20 @@ def test_odd_pages(spark):
         if r.page_id is not None and want[r.page_id] is not None:
             assert r.text == want[r.page_id], (odd[r.page_id][:50], r.text)
     assert htmltext.extract(pages.limit(0)).collect() == []
+
+
+def test_names_of_headings_sections_and_paragraphs_drop_nothing():
+    page = f"""<article><h2 id="search-algorithms">Search forms</h2><p class="notice">{LONG}</p><section id="discussion"><h3 id="related">Discussion</h3><p>{LONG * 2}</p></section>
+    <p>See <span class="tags">the tags</span> here.</p><section class="comments"><p>{LONG}</p></section><div id="comments"><p>{LONG}</p></div></article>"""
+    long = LONG.strip()
+    assert htmltext.main_text(page) == f"Search forms\n{long}\nDiscussion\n{' '.join([long] * 2)}\nSee the tags here."
+
+
+def test_lists_and_short_blocks_beside_content_stay():
+    texts = [f"{k} {'x' * 70}, {'x' * 70}, {'x' * 70}, {'x' * 70}." for k in range(10)]
+    items = [f"{k} {'y' * 37}." for k in range(5)]
+    paragraphs = "".join(f"<p>{t}</p>" for t in texts)
+    menu = "<ul class='x'>" + "".join(f"<li><a href='/{k}'>Page {k}</a></li>" for k in range(5)) + "</ul>"
+    lists = "<ul>" + "".join(f"<li>{t}</li>" for t in items) + "</ul>"
+    page = f"<body><div class='top'><span>Some site</span></div>{menu}<div class='post'>{paragraphs}<div class='w-1/2'>A caption</div><h2>List</h2>{lists}<table><tr><td>cell</td></tr></table><p>{texts[0]}</p>{menu}</div><div class='end'>Made by someone</div></body>"
+    assert htmltext.main_text(page).split("\n") == [*texts, "A caption", "List", *items, "cell", texts[0]]
