@@ -1,7 +1,7 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory.
 
 A header is a line with a word that speaks of licensing; a licence file, told by its name or by being little else than such lines, is
-compared as a whole too. Equal headers are compared once, with the number of their occurrences as weight in the document frequencies, which cover
+compared as a whole too. Notices may be wrapped, so runs of lines around a header are compared as well; they don't count in the frequencies. Equal headers are compared once, with the number of their occurrences as weight in the document frequencies, which cover
 all headers of the corpus and the templates. The cosine is a sparse product: headers and templates meet on shared words only. A file's own
 license is that of its most similar header, from a fixed similarity on. Licence files speak for their directory; a file without
 a license of its own takes that of the nearest directory above it that has one, found by joins on path prefixes of the distinct directories.
@@ -44,6 +44,8 @@ TEMPLATES = (
 CUE = r"(?i)(licen[cs]|copyright|spdx|rights reserved|public domain|permission|redistribut)"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 MOSTLY = 0.5
+#: Lines in a run around a header, none of them blank, and its characters; longer runs hold too much besides any template to be similar to it.
+RUN_LINES, RUN_CHARS = 5, 600
 #: Similarity from which a header counts.
 LEAST = 0.75
 TOKEN = "[a-z0-9.]*[a-z0-9]"
@@ -53,12 +55,22 @@ def _tokens(text: F.Column) -> F.Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _runs(text: F.Column) -> F.Column:
+    """Runs of 2 to RUN_LINES lines that hold a header, each as one string."""
+    lines = F.split(text, "\n")
+    reach = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(a).alias("a")) for b in range(RUN_LINES) for a in range(RUN_LINES - b) if b or a])
+    around = lambda i: F.transform(F.filter(reach, lambda r: (i >= r["b"]) & (i + r["a"] < F.size(lines))), lambda r: F.slice(lines, i + 1 - r["b"], r["b"] + r["a"] + 1))
+    runs = F.flatten(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(CUE), around(i))), lambda r: r.isNotNull()))
+    whole = F.transform(F.filter(runs, lambda r: F.forall(r, lambda x: F.trim(x) != "")), lambda r: F.array_join(r, "\n"))
+    return F.filter(whole, lambda r: F.length(r) <= RUN_CHARS)
+
+
 def compare(units: DataFrame, templates: tuple = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(unit, license, similarity) of each distinct unit that is similar to a template; units: (unit, n), n its occurrences."""
+    """(unit, license, similarity) of each distinct unit that is similar to a template; units: (unit, text, n), unit a short key of the text, n its occurrences, 0 if it does not count."""
     spark = units.sparkSession
     given = spark.createDataFrame([(k, lic, text) for k, (lic, text) in enumerate(templates)], "template int, license string, text string")
     counted = lambda df, keys: df.withColumn("token", F.explode(_tokens(F.col("text")))).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
-    of_units = counted(units.select("unit", "n", F.col("unit").alias("text")), ["unit", "n"])
+    of_units = counted(units.select("unit", "n", "text"), ["unit", "n"])
     of_templates = counted(given, ["template", "license"])
     df = of_units.select("token", "n").union(of_templates.select("token", F.lit(1).cast("long").alias("n"))).groupBy("token").agg(F.sum("n").alias("df"))
     total = (units.agg(F.sum("n")).first()[0] or 0) + len(templates)
@@ -92,12 +104,13 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     words_said = F.aggregate("headers", F.lit(0), lambda s, x: s + F.regexp_count(x, F.lit(common.WORD)))
     is_file = F.when(F.size("headers") > 0, named | (words_said >= MOSTLY * common.n_words(F.col("text")))).otherwise(named)
     units = F.array_distinct(F.when(F.col("licence_file"), F.concat("headers", F.array("text"))).otherwise(F.col("headers")))
-    marked = with_headers.withColumn("licence_file", is_file).select("doc_id", "path", "licence_file", units.alias("units")).withColumn("row", F.monotonically_increasing_id())
+    marked = with_headers.withColumn("licence_file", is_file).select("doc_id", "path", "licence_file", units.alias("units"), F.when(F.size("headers") > 0, F.array_except(F.array_distinct(_runs(F.col("text"))), units)).otherwise(F.array().cast("array<string>")).alias("runs")).withColumn("row", F.monotonically_increasing_id())
     marked = common.cut(marked, "license-units")
-    every = marked.where(F.size("units") > 0).select("row", F.explode("units").alias("unit"))
-    found = common.cut(compare(every.groupBy("unit").agg(F.count("*").alias("n")), **how), "license-matches")
-    own = every.join(found, "unit").groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b")).select("row", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("similarity"))
-    known = common.cut(marked.drop("units").join(own, "row", "left"), "license-own")
+    said_by = lambda column, n: marked.where(F.size(column) > 0).select("row", F.explode(column).alias("text"), F.lit(n).cast("long").alias("n"))
+    every = said_by("units", 1).union(said_by("runs", 0)).withColumn("unit", F.unhex(F.md5("text")))
+    found = common.cut(compare(every.groupBy("unit", "text").agg(F.sum("n").alias("n")), **how), "license-matches")
+    own = every.select("row", "unit").join(found, "unit").groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b")).select("row", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("similarity"))
+    known = common.cut(marked.drop("units", "runs").join(own, "row", "left"), "license-own")
 
     in_dir = F.regexp_replace("path", "/?[^/]*$", "")
     speaks = known.where("licence_file and own_license is not null and path is not null").groupBy(in_dir.alias("above")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "path", "own_license")).alias("b")).select("above", F.col("b.own_license").alias("dir_license"))

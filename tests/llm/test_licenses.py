@@ -44,3 +44,14 @@ def test_inheritance_and_odd_rows(spark):
     }
     assert licenses.scan(files).count() == len(rows)
     assert licenses.scan(files.limit(0)).collect() == []
+
+
+def test_wrapped_notices(spark):
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met.\n"
+    rows = [
+        (1, "a/x.py", f"# A tool.\n\n{bsd}\nimport os\n"),
+        (2, "a/y.c", "/*\n * This program is licensed under the GNU\n * General Public License,\n * version 2.\n */\nint x;"),
+        (3, "a/z.c", "// This program is not\n\n// under any public domain notice\nint y;"),
+    ]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    assert {r.doc_id: r.own_license for r in licenses.scan(files).collect()} == {1: "BSD-3-Clause", 2: "GPL-2.0", 3: None}
