@@ -2,14 +2,15 @@
 
 Features are hashed character 1- to 3-grams of the lower-cased letters of the whole text, every run of other characters
 counting as one space, weighted (1 + log tf) * idf and scaled to length 1. Document frequencies are counted over all
-training rows. The classifier is fitted on a bounded sample: at most PER_LANG rows of each language, those with the least hash,
-by follow-the-regularised-leader with elastic-net penalties (the L1 part keeps the weights sparse). A fifth of the sample
-is held back from the fit to set the temperature by which the scores are divided. The driver holds the sample and
-the weights (2^15 x languages), nothing that grows with the corpus.
+training rows. The classifier is fitted on a bounded sample of distinct texts: at most PER_LANG of each language, those with the least
+hash, and at most MOST_ROWS in all, but one of each language, by follow-the-regularised-leader with elastic-net penalties (the L1 part
+keeps the weights sparse). A fifth of each language's sample, from five texts on, is held back from the fit to set the temperature by which
+the scores are divided. Languages with fewer texts are gone through more often. The driver holds the sample and the weights (2^15 x languages),
+nothing that grows with the corpus.
 
 Defined results: a text without a letter, null or empty ones among them, is `und` with score 0; rows with a null language
-teach nothing; without any training row everything is `und`; a null id counts as an empty one in the fold rule; repeated rows
-stay repeated; columns other than the named ones are not looked at.
+teach nothing; copies of a text count in the frequencies and are fitted once; without any training row everything is `und`; a null id counts
+as an empty one in the fold rule; repeated rows stay repeated; columns other than the named ones are not looked at.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import common
 
 BITS = 15
 DIM = 1 << BITS
 ORDERS = (1, 2, 3)
-#: Rows of each language, at most, that the classifier is fitted on.
-PER_LANG = 400
+#: Distinct texts of each language, and of all together, that the classifier is fitted on at most.
+PER_LANG, MOST_ROWS = 400, 20_000
 EPOCHS = 3
 #: FTRL: learning rate, its smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-3, 1e-4
@@ -150,24 +152,32 @@ def fold(ident: Column) -> Column:
 
 def train(rows: DataFrame, per_lang: int = PER_LANG) -> Model:
     """A model from rows of (text, lang)."""
+    ship(rows.sparkSession)
     rows = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     counts = rows.select("text").mapInArrow(_df_batches, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df"))
     df = np.zeros(DIM + 1)
     for r in counts.collect():  # at most one row for each feature
         df[r["feature"]] = r["df"]
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1
-    of_lang = rows.groupBy("lang").count()
     hashed = rows.withColumn("h", F.md5(F.concat(F.lit("lang:"), F.col("text"))))
-    share = hashed.join(F.broadcast(of_lang), "lang").where(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / float(1 << 32) <= F.lit(1.5 * per_lang + 20) / F.col("count"))
-    least = share.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= per_lang)
-    found = least.select("text", "lang", "h").mapInArrow(_gram_batches, "at array<int>, tf array<int>, lang string, h string").toArrow()
+    of_lang = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    per_lang = max(1, min(per_lang, MOST_ROWS // max(1, of_lang.count())))
+    # some more than are needed pass by their hash, which copies of a text share; what passes is reduced to one of each and counted off
+    share = hashed.join(F.broadcast(of_lang), "lang").where(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / float(1 << 32) <= F.lit(2.0 * per_lang + 50) / F.col("n"))  # one row a language, as the model's weights
+    least = share.select("text", "lang", "h").dropDuplicates(["lang", "h"]).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_lang)
+    found = least.select("text", "lang", "h").mapInArrow(_gram_batches, "at array<int>, tf array<int>, lang string, h string").toArrow()  # at most MOST_ROWS, or one a language
     at, tf = (found.column(c).combine_chunks() for c in ("at", "tf"))
     keys = sorted((lang, h, k) for k, (lang, h) in enumerate(zip(found.column("lang").to_pylist(), found.column("h").to_pylist())))
-    found = [(lang, h, at[k].values.to_numpy(), tf[k].values.to_numpy()) for lang, h, k in keys if len(at[k])]
+    found = [(lang, at[k].values.to_numpy(), tf[k].values.to_numpy()) for lang, h, k in keys if len(at[k])]
     langs = sorted({r[0] for r in found})
     model = Model(langs, idf, np.zeros((DIM, len(langs))), np.zeros(len(langs)))
-    data = [(at, model.vector(at, tf), langs.index(lang)) for lang, _, at, tf in found]
-    fit, back = [r for k, r in enumerate(data) if k % 5], [r for k, r in enumerate(data) if not k % 5]
+    parts, back = [], []
+    for y, lang in enumerate(langs):
+        mine = [(at, model.vector(at, tf), y) for of, at, tf in found if of == lang]
+        parts.append([r for k, r in enumerate(mine) if k % 5 != 4])
+        back += mine[4::5]
+    most = max(map(len, parts), default=0)
+    fit = [r for mine in parts for r in mine * (most // len(mine))]
     if fit:
         model.weights, model.bias = ftrl(fit, len(langs))
         model.temperature = temperature(np.array([x @ model.weights[at] + model.bias for at, x, _ in back]), np.array([y for *_, y in back], int))
@@ -186,6 +196,7 @@ def _predictor(shared):
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs; learns from its rows outside the held-out fold unless given a model."""
+    ship(docs.sparkSession)
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"), (fold(docs[id_col]) == 2).alias("held_out"))
     model = model or train(picked.where("not held_out").select("text", "lang"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
