@@ -7,7 +7,7 @@ case, digits and symbols are kept), counts damped and scaled, plus a few of the
 score is a probability. Documents are scored in Arrow batches against a fixed threshold.
 
 Defined results: null text is the empty text, which fails the base rules; rows without a label teach nothing, a null label is
-none, and of several labels of an id the larger counts; with labels of one kind only, or none, the model keeps all; repeated rows stay
+none, of several labels of an id the larger counts, and of several texts of an id the least is fitted; with labels of one kind only, or none, the model keeps all; repeated rows stay
 repeated; a null id never finds a label; other columns are not looked at.
 """
 
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import common
 
 BITS = 16
@@ -142,12 +143,15 @@ def platt(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a = np.array([1.0, 0.0])
     x = np.stack((scores, np.ones_like(scores)), axis=1)
-    for _ in range(50):
+    loss = lambda a: float(np.sum(np.logaddexp(0, x @ a) - t * (x @ a)))
+    for _ in range(100):
         p = _sigmoid(x @ a)
         hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
         step = np.linalg.solve(hess, x.T @ (p - t))
-        a -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+        while np.abs(step).max() > 1e-9 and loss(a - step) > loss(a):  # halved until it descends
+            step /= 2
+        a -= step
+        if np.abs(step).max() <= 1e-9:
             break
     return (float(a[0]), float(a[1])) if a[0] > 0 else (1.0, 0.0)
 
@@ -160,6 +164,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", per_label: int = PER_LABEL) -> Model:
     """A model from labelled rows; labels: 1 good, 0 bad. Labels that also mark a row toxic are not told from others."""
+    ship(docs.sparkSession)
     known = labels.select(labels[label_id].alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     total = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
     if set(total) != {0, 1}:
@@ -169,7 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = known.where(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / float(1 << 32) <= share)
     some = some.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("k") <= per_label).select("id", "label", "h")
     texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(some), "id").select("text", "label", "h").mapInArrow(_feature_batches, "at array<int>, x array<float>, label int, h string").toArrow()  # at most 2 * per_label ids
+    one = texts.join(F.broadcast(some), "id").groupBy("h", "label").agg(F.min("text").alias("text"))  # of rows that repeat an id one, so at most 2 * per_label
+    found = one.select("text", "label", "h").mapInArrow(_feature_batches, "at array<int>, x array<float>, label int, h string").toArrow()
     order = found.select(["h", "label"]).to_pandas().sort_values(["h", "label"], kind="stable").index[: 2 * per_label]
     at, x, label = (found.column(c).combine_chunks() for c in ("at", "x", "label"))
     data = [(at[int(k)].values.to_numpy(), x[int(k)].values.to_numpy(), label[int(k)].as_py()) for k in order]
@@ -203,6 +209,7 @@ def _scorer(shared, threshold: float):
 
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Counts, verdict and probability for every row of docs; score: 0 where a base rule fails."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(_scorer(shared, threshold), COLUMNS)
 
