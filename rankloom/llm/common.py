@@ -34,3 +34,10 @@ def drop_cut(df: DataFrame) -> None:
 def n_words(text) -> F.Column:
     """Number of words of a text column; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def spare_names(df: DataFrame, n: int) -> list[str]:
+    """n column names that df does not have, however its own are spelled."""
+    taken = {c.lower() for c in df.columns}
+    found = (f"_x{k}" for k in range(n + len(taken)))
+    return [c for c in found if c not in taken][:n]
