@@ -1,5 +1,7 @@
 import html
 import re
+import time
+import tracemalloc
 
 from pyspark.sql import functions as F
 
@@ -67,3 +69,74 @@ def test_lists_and_short_blocks_beside_content_stay():
     lists = "<ul>" + "".join(f"<li>{t}</li>" for t in items) + "</ul>"
     page = f"<body><div class='top'><span>Some site</span></div>{menu}<div class='post'>{paragraphs}<div class='w-1/2'>A caption</div><h2>List</h2>{lists}<table><tr><td>cell</td></tr></table><p>{texts[0]}</p>{menu}</div><div class='end'>Made by someone</div></body>"
     assert htmltext.main_text(page).split("\n") == [*texts, "A caption", "List", *items, "cell", texts[0]]
+
+
+def plain_scores(nodes):
+    """The scores by loops over all pairs of nodes and paths."""
+    paths = [x.path for x in nodes]
+    of = {p: [x for x in nodes if x.path == p] for p in paths}
+    length = {p: sum(len(x.text) for x in xs) / len(xs) for p, xs in of.items()}
+    marks = {p: sum(c in ".,;:!?…。，、；：！？؟" for x in xs for c in x.text) / len(xs) for p, xs in of.items()}
+    smooth = lambda v, i: 0.25 * v[max(0, i - 1)] + 0.5 * v[i] + 0.25 * v[min(len(v) - 1, i + 1)]
+    along, marked = [length[p] for p in paths], [marks[p] for p in paths]
+    fused = [smooth(along, i) * (1 + smooth(marked, i)) for i in range(len(paths))]
+    free = {p: 1 - sum(len(x.text) for x in xs if x.link) / sum(len(x.text) for x in xs) for p, xs in of.items()}
+    return {p: sum(f for f, q in zip(fused, paths) if q == p) / len(xs) * free[p] for p, xs in of.items()}
+
+
+MENU = "".join(f"<li><a href='/{k}'>Page {k}</a></li>" for k in range(6))
+SENTENCE = "The bridge, built long ago, was repaired in spring; the road, too, was closed for a while."
+BODY = [f"{k}. {SENTENCE} {SENTENCE}" for k in range(6)]
+PARAGRAPHS = "".join(f"<p>{t}</p>" for t in BODY)
+#: Pages without a name that tells content from the rest, some with a marked article, and the blocks that are content.
+UNNAMED = [
+    (f"<body><div><ul>{MENU}</ul></div><div><div>{PARAGRAPHS}</div></div><div><span>Made by someone</span></div></body>", BODY),
+    (f"<body><div><div><div>Sign in</div><div>Cart</div></div></div><table><tr><td>{PARAGRAPHS}</td><td><ul>{MENU}</ul></td></tr></table></body>", BODY),
+    (f"<body><main><article>{PARAGRAPHS}<ul>{MENU}</ul></article><article><h3>Teaser</h3><p><a>Read more</a></p></article></main></body>", BODY),
+    (f"<body><article><div><a>Home</a> / <a>News</a> / <a>Town</a></div><h1>Bridge</h1>{PARAGRAPHS}</article></body>", ["Bridge", *BODY]),
+    (f"<body><article>{PARAGRAPHS}<p>See <a>the other very long report on it</a></p><p>End</p></article></body>", [*BODY, "See the other very long report on it", "End"]),
+]
+
+
+def test_scores_against_plain_version(spark):
+    pages = [p for p, _ in UNNAMED] + [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()[:20]]
+    for page in pages:
+        live = [x for x in htmltext.read(page).nodes if x.text.strip() and not x.bad]
+        got, want = htmltext.scores(live), plain_scores(live)
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) <= 1e-9 * max(1, want[p]) for p in want)
+
+
+def test_scores_decide(monkeypatch):
+    want = ["\n".join(blocks) for _, blocks in UNNAMED]
+    assert [htmltext.main_text(p) for p, _ in UNNAMED] == want
+    monkeypatch.setattr(htmltext, "scores", lambda of: {x.path: 1.0 for x in of})
+    off = [htmltext.main_text(p) for p, _ in UNNAMED]
+    assert all(a != b for a, b in zip(off[:4], want))
+
+
+def test_tables_without_article_element(spark):
+    """Read as plain divisions, the tables' articles come out the same."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        assert htmltext.main_text(re.sub("<(/?)(article|main)", r"<\1div", r.html or "")) == plain(r.html)
+
+
+def test_headlines_and_longer_names_stay():
+    page = f"<article><header class='entry-header'><h1>Title</h1></header><div class='notice-board-history'><p>{LONG}</p></div><p>{LONG}</p></article>"
+    assert htmltext.main_text(page) == f"Title\n{LONG.strip()}\n{LONG.strip()}"
+    page = f"<div class='post'><header class='entry-header'><h1>Title</h1></header><p>{LONG}</p><div class='cookie-notice-box'>{LONG}</div><div class='comment-list'>{LONG}</div></div><header>{LONG}</header>"
+    assert htmltext.main_text(page) == f"Title\n{LONG.strip()}"
+
+
+def test_hostile_pages_are_read_in_linear_time():
+    for part, n in (("<div>word ", 32_000), ("<a ", 333_000), ("<a", 500_000), ("<!-- ", 200_000), ('<a ="', 200_000), ("</x ", 200_000), ("<p>x", 100_000)):
+        tracemalloc.start()
+        began = time.process_time()
+        htmltext.main_text(part * n)
+        took, most = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert took < 20 and most < 200e6, (part, took, most)  # tracing makes it many times slower
+    began = time.process_time()
+    htmltext.main_text("<a " * 333_000)
+    assert time.process_time() - began < 1
+    deep = "<div>" * 600 + "<nav>" + "<div>" * 5 + "x" + "</div>" * 5 + "menu</nav>" + f"<p>{LONG}</p>" + "</div>" * 600 + f"<p>{LONG}</p>"
+    assert htmltext.main_text(deep).count(LONG.strip()) == 2
