@@ -1,14 +1,17 @@
 """Secret scans: fixed patterns, and character Markov models for random strings; DataFrame functions only.
 
 The base kinds are regular expressions, leftmost and not overlapping within a kind. Positions come from the texts between
-the matches, so one pass of split() and one of regexp_extract_all() give every span, in code points.
+the matches, so one pass of split() and one of regexp_extract_all() give every span, in code points. Sums and maxima along the matches run
+in nested blocks, so that work and memory grow with the number of spans, not with its square.
 
-The added kind, `markov`, looks at runs of 20 or more of `A-Za-z0-9+/_=-` that hold a digit and a letter and overlap no base
-span. Two first-order character models, one of random strings and one of ordinary identifiers, are counted from
-labelled samples; a run is a secret if its log-likelihood ratio per transition is above a fixed threshold.
+The added kind, `markov`, looks at runs of 12 or more of `A-Za-z0-9+/_=-` that hold a digit and a letter, in what the base spans leave of a
+text. Two first-order character models, one of random strings and one of ordinary identifiers, are counted from
+labelled samples: values of base matches against identifiers (runs with a letter and some other character) outside of them, from a bounded
+sample of the documents themselves, with strings made by rule beside them, as many corpora hold few of either. A run is a secret if its
+log-likelihood ratio is above a fixed threshold per transition and a fixed margin.
 
 Defined results: null text is the empty text, without spans; repeated rows stay repeated; a null id stays null; an empty
-table gives an empty result; other columns are kept by redact() and not looked at by scan(). Without labelled samples of
+table gives an empty result; other columns are kept by redact(), whatever their names, and not looked at by scan(). Without labelled samples of
 both kinds every ratio is 0 and nothing is added.
 """
 
@@ -24,16 +27,18 @@ from . import common
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN = r"[A-Za-z0-9+/_=-]{12,}"
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Characters that the models tell apart; any other is number 0.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Log-likelihood ratio per transition above which a run is random, and what is added to every count.
-THRESHOLD, SMOOTH = 0.35, 0.5
-#: Labelled samples of each kind that are made where none are given.
-N_SAMPLES = 4000
+#: Log-likelihood ratio per transition, and on top of it, above which a run is random; and what is added to every count.
+THRESHOLD, MARGIN, SMOOTH = 0.35, 2.0, 0.5
+#: Labelled samples of each kind that are made by rule, and documents of which samples are taken, about.
+N_SAMPLES, N_DOCS = 4000, 20_000
+#: Matches in a block.
+BLOCK = 256
 #: Words of which ordinary identifiers are made.
 WORDS = (
     "account action active address admin agent alert amount archive array asset auth balance batch binary block branch buffer build button byte cache "
@@ -80,6 +85,22 @@ def labelled_samples(spark: SparkSession, n: int = N_SAMPLES) -> DataFrame:
     return ids.select(F.substring(strings, F.lit(1), size).alias("text"), F.lit(True).alias("random")).union(ids.select(names.alias("text"), F.lit(False).alias("random")))
 
 
+def corpus_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_docs: int = N_DOCS) -> DataFrame:
+    """(text, random boolean) from about n_docs documents, chosen by a hash: the values of base matches, and the identifiers outside of them."""
+    share = min(1.0, n_docs / max(1, docs.count()))
+    picked = F.pmod(F.xxhash64(docs[id_col], docs[text_col]), F.lit(1 << 32)) < F.lit(share * (1 << 32))
+    some = docs.where(picked).select(docs[text_col].alias("text")).where("text is not null")
+    values = F.concat(F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= ASSIGN_LEAST), *[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (ACCESS, HEX)])
+    rest = F.regexp_replace("text", f"{ACCESS}|{HEX}|{ASSIGN}", " ")  # the last one is not told by case
+    names = F.filter(F.regexp_extract_all(rest, F.lit(RUN), F.lit(0)), lambda v: v.rlike("[A-Za-z]") & v.rlike("[^A-Za-z]"))
+    return some.select(F.explode(values).alias("text"), F.lit(True).alias("random")).union(some.select(F.explode(names).alias("text"), F.lit(False).alias("random")))
+
+
+def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
+    """A model from samples of the documents and those made by rule."""
+    return train(corpus_samples(docs, id_col, text_col).union(labelled_samples(docs.sparkSession)))
+
+
 def _code(ch: Column) -> Column:
     return F.instr(F.lit(ALPHABET), ch)
 
@@ -104,31 +125,82 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def ratio(text: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio per transition of a text; 0 below two characters."""
-    t = _transitions(text)
+    """Log-likelihood ratio of a text, random against ordinary; 0 below two characters."""
     table = F.array(*map(F.lit, model))
-    return F.coalesce(F.try_divide(F.aggregate(t, F.lit(0.0), lambda s, k: s + F.element_at(table, k + 1)), F.size(t)), F.lit(0.0))
+    return F.aggregate(_transitions(text), F.lit(0.0), lambda s, k: s + F.element_at(table, k + 1))
+
+
+def is_random(text: Column, model: list[float]) -> Column:
+    return ratio(text, model) > THRESHOLD * (F.length(text) - 1) + MARGIN
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), value being worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(a: Column) -> Column:
+    """An array as an array of arrays of up to BLOCK elements; of one empty array if it has none."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / BLOCK).cast("int") - 1, F.lit(0))), lambda i: F.slice(a, i * BLOCK + 1, F.lit(BLOCK)))
+
+
+def running(values: Column, step, levels: int = 3) -> Column:
+    """For each element of an array of int the step (sum, greatest) over 0 and the elements before it.
 
+    Blocks of BLOCK elements are gone through each, and their totals in the same way a level above.
+    """
+    none = F.array().cast("array<int>")
+    total = lambda a: F.aggregate(a, F.lit(0), step)
+    along = lambda a, start: F.aggregate(a, F.struct(start.alias("at"), none.alias("seen")), lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen")), lambda acc: acc["seen"])
+    if levels == 1:
+        return along(values, F.lit(0))
+    return _bound(values, lambda a: _bound(_blocks(a), lambda p: F.flatten(F.zip_with(p, running(F.transform(p, total), step, levels - 1), along))))
 
-def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """Array of (start, kind, end, value) of the matches of a pattern; keep: takes (value, groups' text) and says which count."""
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _largest(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _spans(text: Column, pattern: str, kind: int, keep: int | None = None) -> Column:
+    """Array of (start, kind, end, value) of the matches of a pattern; keep: the least length of the second group."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if keep else found
-    parts = F.zip_with(F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("m"))), value, lambda x, v: F.struct(x["gap"].alias("gap"), F.length(x["m"]).alias("n"), x["m"].alias("m"), (F.length(v) >= keep if keep else F.lit(True)).alias("ok")))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.when(x["ok"], F.concat(acc["found"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["m"].alias("value"))))).otherwise(acc["found"]).alias("found"))
-    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    part = lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("n"), m.alias("m"))
+    parts = F.zip_with(F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, part), value, lambda x, v: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), x["m"].alias("m"), (F.length(v) >= keep if keep else F.lit(True)).alias("ok")))
+
+    def placed(p: Column) -> Column:
+        starts = running(F.transform(p, lambda x: x["gap"] + x["n"]), _sum)
+        spans = F.zip_with(p, starts, lambda x, s: F.struct((s + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (s + x["gap"] + x["n"]).alias("end"), F.when(x["ok"], x["m"]).alias("value")))
+        return F.filter(spans, lambda s: s["value"].isNotNull())
+
+    return F.when(text.rlike(pattern), _bound(parts, placed)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
+
+
+def between(text: Column, found: Column) -> Column:
+    """Array of (start, text, open): what lies before each of the sorted spans, and after the last; open: the span begins outside of those before it."""
+    ends = lambda f: F.zip_with(f, running(F.transform(f, lambda x: x["end"]), _largest), lambda x, e: F.struct(e.alias("a"), F.greatest(x["start"], e).alias("b"), (x["start"] >= e).alias("open")))
+    last = F.struct(F.coalesce(F.array_max(F.transform(found, lambda x: x["end"])), F.lit(0)).alias("a"), F.length(text).alias("b"), F.lit(True).alias("open"))
+    cut = lambda whole, lo, x: F.struct(x["a"].alias("start"), F.substring(whole, x["a"] - lo + 1, x["b"] - x["a"]).alias("text"), x["open"].alias("open"))
+
+    def pieces(block: Column) -> Column:
+        lo, hi = F.element_at(block, 1)["a"], F.element_at(block, -1)["b"]
+        return _bound(F.substring(text, lo + 1, hi - lo), lambda whole: F.transform(block, lambda x: cut(whole, F.element_at(block, 1)["a"], x)))
+
+    return _bound(F.concat(_bound(found, ends), F.array(last)), lambda parts: F.flatten(F.transform(_blocks(parts), pieces)))
 
 
-def spans(docs: DataFrame, text_col: str, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """docs with __base and __added: sorted arrays of (start, kind, end, value)."""
+def spans(docs: DataFrame, text_col: str, model: list[float], base: str, added: str) -> DataFrame:
+    """docs with two more columns, sorted arrays of (start, kind, end, value): the base spans and the added ones."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    found = docs.withColumns({"__base": F.array_sort(F.concat(_spans(text, ASSIGN, 0, ASSIGN_LEAST), _spans(text, ACCESS, 1), _spans(text, HEX, 2))), "__runs": _spans(text, RUN, 3)})
-    clear = lambda r: ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    mixed = lambda r: r["value"].rlike("[0-9]") & r["value"].rlike("[A-Za-z]")
-    candidates = found.withColumn("__runs", F.filter("__runs", lambda r: mixed(r) & clear(r)))
-    return candidates.withColumn("__added", F.when(F.size("__runs") > 0, F.filter("__runs", lambda r: ratio(r["value"], model) > threshold)).otherwise(F.col("__runs"))).drop("__runs")
+    found = docs.withColumn(base, F.array_sort(F.concat(_spans(text, ASSIGN, 0, ASSIGN_LEAST), _spans(text, ACCESS, 1), _spans(text, HEX, 2))))
+    moved = lambda p: F.transform(_spans(p["text"], RUN, 3), lambda x: F.struct((x["start"] + p["start"]).alias("start"), x["kind"].alias("kind"), (x["end"] + p["start"]).alias("end"), x["value"].alias("value")))
+    runs = F.when(F.size(base) == 0, _spans(text, RUN, 3)).otherwise(F.flatten(F.transform(between(text, F.col(base)), moved)))
+    mixed = found.withColumn(added, F.filter(runs, lambda r: r["value"].rlike("[0-9]") & r["value"].rlike("[A-Za-z]")))
+    return mixed.withColumn(added, F.when(F.size(added) > 0, F.filter(added, lambda r: is_random(r["value"], model))).otherwise(F.col(added)))
 
 
 def _told(found: Column) -> Column:
@@ -137,30 +209,29 @@ def _told(found: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: list[float] | None = None) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans) for every row of docs."""
-    model = model if model is not None else train(labelled_samples(docs.sparkSession))
-    at = spans(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), "text", model)
-    count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
+    """(doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans) for every row of docs; without a model it is trained on docs."""
+    model = model if model is not None else train_on(docs, id_col, text_col)
+    at = spans(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), "text", model, "base", "added")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return at.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.size("__added").cast("long").alias("n_markov"),
-        F.sha2(_told(F.col("__base")), 256).alias("base_sha256"), _told(F.array_sort(F.concat("__base", "__added"))).alias("spans"),
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.size("added").cast("long").alias("n_markov"),
+        F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )
 
 
 MARK = "[SECRET]"
 
 
-def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", model: list[float] | None = None) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", model: list[float] | None = None) -> DataFrame:
     """docs with every span, overlapping ones together, replaced by MARK; the length column, if there is one, follows. A null text stays null."""
-    model = model if model is not None else train(labelled_samples(docs.sparkSession))
-    at = spans(docs, text_col, model).withColumn("__all", F.array_sort(F.concat("__base", "__added")))
-    piece = "struct<end:int,text:string>"
+    model = model if model is not None else train_on(docs, id_col, text_col)
+    base, added, clean = common.spare_names(docs, 3)
     text = F.col(text_col)
-    step = lambda acc, s: F.when(s["start"] < acc["end"], F.struct(F.greatest(acc["end"], s["end"]).alias("end"), acc["text"].alias("text"))).otherwise(F.struct(s["end"].alias("end"), F.concat(acc["text"], F.substring(text, acc["end"] + 1, s["start"] - acc["end"]), F.lit(MARK)).alias("text")))
-    clean = F.aggregate("__all", F.struct(F.lit(0).alias("end"), F.lit("").alias("text")).cast(piece), step, lambda acc: F.concat(acc["text"], F.substring(text, acc["end"] + 1, F.length(text))))
-    hit = F.size("__all") > 0
-    at = at.withColumn("__clean", F.when(hit, clean).otherwise(text))
-    out = [F.col("__clean").alias(c) if c == text_col else F.when(hit, F.length("__clean").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == length_col else F.col(c) for c in docs.columns]
+    at = spans(docs, text_col, model, base, added).withColumn(base, F.array_sort(F.concat(base, added)))
+    hit = F.size(base) > 0
+    marked = lambda p, i: F.concat(p["text"], F.when(p["open"] & (i < F.size(base)), F.lit(MARK)).otherwise(F.lit("")))
+    at = at.withColumn(clean, F.when(hit, F.array_join(F.transform(between(text, F.col(base)), marked), "")).otherwise(text))
+    out = [F.col(clean).alias(c) if c == text_col else F.when(hit, F.length(clean).cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c) if c == length_col else docs[c] for c in docs.columns]
     return at.select(out)
 
 
