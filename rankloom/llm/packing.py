@@ -13,17 +13,20 @@ itself; null ids stay null; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import common
 
 CAPACITY = 2048
@@ -31,8 +34,8 @@ END_ID = 0
 #: Hash buckets in which the pieces of one length are numbered.
 BUCKETS = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Pieces that a worker remembers, and characters that are tokenized together.
-KNOWN_PIECES, TOGETHER = 500_000, 1_000_000
+#: Words that a worker remembers, bytes that are tokenized together, and the size that marks a word to be left to the tokenizer.
+KNOWN_WORDS, TOGETHER, ODD = 500_000, 1_000_000, -1
 
 
 def tokenizer_path() -> str:
@@ -41,69 +44,170 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Merges:
+    """Byte-pair merging of many pieces at once: in each round every piece merges its pair of least rank, the leftmost if it has several."""
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, vocab: dict[str, int], merges: list, end: str):
+        letters = _byte_letters()
+        self.first = np.array([vocab[c] for c in letters], np.int32)
+        self.last = np.array([vocab[c + end] for c in letters], np.int32)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        keys = np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        want = (a.astype(np.int64) << 32) | b
+        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        return np.where((self.keys[at] == want) & (b >= 0), self.ranks[at], self.NONE)
+
+    def _same_width(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        sym = np.full((len(size), width + 1), -1, np.int32)  # the last column is never used
+        column = np.arange(width + 1)
+        sym[column < size[:, None]] = self.first[data[_stretches(start, size)]]
+        sym[np.arange(len(size)), size - 1] = self.last[data[start + size - 1]]
+        rank = self._rank(sym[:, :-1], sym[:, 1:])
+        live = np.arange(len(size))
+        while len(live):
+            s, r = sym[live], rank[live]
+            at = r.argmin(axis=1)
+            best = r[np.arange(len(live)), at]
+            go = best < self.NONE
+            live, s, r, at, best = live[go], s[go], r[go], at[go], best[go]
+            row, after = np.arange(len(live)), column[:-1] > at[:, None]
+            s[:, :-1] = np.where(after, s[:, 1:], s[:, :-1])
+            s[row, at] = self.merged[best]
+            r[:, :-1] = np.where(after[:, :-1], r[:, 1:], r[:, :-1])
+            r[row, at] = self._rank(s[row, at], s[row, at + 1])
+            before = at > 0
+            r[row[before], at[before] - 1] = self._rank(s[row[before], at[before] - 1], s[row[before], at[before]])
+            sym[live], rank[live] = s, r
+        kept = sym >= 0
+        return sym[kept].astype(np.uint32), kept.sum(axis=1)
+
+    def __call__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in a row, number of ids of each) of the pieces that lie in data at these places."""
+        sizes, parts = np.zeros(len(size), np.int64), []
+        for k in range(int(size.max(initial=0)).bit_length() + 1):  # widths of 1, 2, 4, 8 and so on
+            mine = np.flatnonzero((size <= 1 << k) & (size > (1 << k) // 2))
+            if len(mine):
+                ids, sizes[mine] = self._same_width(data, start[mine], size[mine], 1 << k)
+                parts.append((mine, ids))
+        flat = np.zeros(int(sizes.sum()), np.uint32)
+        first = np.cumsum(sizes) - sizes
+        for mine, ids in parts:
+            flat[_stretches(first[mine], sizes[mine])] = ids
+        return flat, sizes
+
+
+def _byte_letters() -> list[str]:
+    """The characters that stand for the bytes 0 to 255 in byte-level vocabularies: printable ones stand for themselves, the others come from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)]
+
+
+def _stretches(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places start, start + 1 and so on, size of them, for one stretch after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class WordTokenizer:
-    """ids of whole texts, the same as the tokenizer's own, with a memory of the pieces met.
+    """ids of whole texts, the same as the tokenizer's own, with a memory of the words met.
 
-    Texts of ASCII and Latin-1 letters, which normalising only lower-cases, are cut into pieces by the tokenizer's own pattern. Pieces
-    that are new are encoded together: the tokenizer marks the end of a piece in its last id. Any other text goes to the tokenizer
-    as it is.
+    The tokenizer's pattern never joins what ASCII white space parts, so a text is split there, as bytes, and each word is
+    looked up by its lower-cased bytes in a dictionary that numbers new words as they come; their ids are learned together
+    afterwards. A word that may be more than the pattern tells (characters beyond ASCII and Latin-1 letters, control characters,
+    a special token, very long ones) is odd, and a text with an odd word goes to the tokenizer as it is; so does every text if the
+    tokenizer is of another make.
     """
 
-    PLAIN = re.compile("[\\x09-\\x0d -~À-ÖØ-öø-ÿ]*")
-    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]{0,64}")
+    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+|\t")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        words = self.own.get_vocab()
-        self.ends = np.zeros(max(words.values()) + 1, bool)
-        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
-        self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        self.special = [t["content"].lower() for t in made["added_tokens"]]
+        model, steps = made["model"], (made.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        known = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+        known = known and steps[0]["pattern"] == {"Regex": self.SPLIT} and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        known = known and model["type"] == "BPE" and not (model["continuing_subword_prefix"] or model["dropout"] or model["ignore_merges"])
+        self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"] or "") if known else None
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.starts, self.sizes, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
-        self.n_pieces = self.n_ids = 0
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _learn(self, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 1024):
-            some = pieces[k : k + 1024]
-            ids = self._encode(" ".join(some))
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some):
-                each = [self._encode(p) for p in some]
-                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
-            n, starts = len(some), np.concatenate(([0], ends[:-1]))
-            self.starts, self.sizes = (_room(x, self.n_pieces + n) for x in (self.starts, self.sizes))
-            self.flat = _room(self.flat, self.n_ids + len(ids))
-            self.starts[self.n_pieces : self.n_pieces + n] = self.n_ids + starts
-            self.sizes[self.n_pieces : self.n_pieces + n] = ends - starts
-            self.flat[self.n_ids : self.n_ids + len(ids)] = ids
-            self.at.update(zip(some, range(self.n_pieces, self.n_pieces + n)))
-            self.n_pieces += n
-            self.n_ids += len(ids)
-
-    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if self.n_pieces > KNOWN_PIECES or self.n_ids > 16 * KNOWN_PIECES:
+        self.known = _Numbers()
+        # the first id and the number of ids of each word in flat; ODD in place of a number
+        self.starts, self.sizes, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint32)
+        self.n_words = self.n_ids = 0
+
+    def _encode(self, text: bytes) -> np.ndarray:
+        return np.array(self.own.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self) -> None:
+        """ids of the words that were numbered since the last call."""
+        new, self.known.new = self.known.new, []
+        for k in range(0, len(new), 1 << 14):
+            text = b"\t".join(new[k : k + (1 << 14)]).decode("utf-8", "replace").lower()
+            some = text.split("\t")
+            plain = [self.PLAIN.fullmatch(w) is not None for w in some]
+            if any(x in text for x in self.special):
+                plain = [p and not any(x in w for x in self.special) for w, p in zip(some, plain)]
+            # pieces, and a tab at the end of each word, one a line
+            lines = "\n".join(self.PIECE.findall("\t".join([w if p else "" for w, p in zip(some, plain)]) + "\t")) + "\n"
+            data = np.frombuffer(lines.encode(), np.uint8)
+            end = np.flatnonzero(data == 10)
+            start = np.concatenate(([0], end[:-1] + 1))
+            tab = data[start] == 9
+            ids, sizes = self.merges(data, start[~tab], (end - start)[~tab])
+            last = np.flatnonzero(tab) - np.arange(len(some))  # pieces up to the end of each word
+            ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], last))]
+            n, m = self.n_words + len(some), self.n_ids + len(ids)
+            self.starts, self.sizes, self.flat = _room(self.starts, n), _room(self.sizes, n), _room(self.flat, m)
+            self.flat[self.n_ids : m] = ids
+            self.starts[self.n_words : n], self.sizes[self.n_words : n] = self.n_ids + ends[:-1], np.where(plain, np.diff(ends), ODD)
+            self.n_words, self.n_ids = n, m
+
+    def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """ids of texts in UTF-8."""
+        if self.merges is None:
+            yield from map(self._encode, texts)
+            return
+        if self.n_words > KNOWN_WORDS:
             self.forget()
-        plain = [self.PLAIN.fullmatch(t) is not None and not any(x in t for x in self.special) for t in texts]
-        cut = [self.PIECE.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
-        new = {w for pieces in cut for w in pieces if w not in self.at}
-        if new:
-            self._learn(list(new))
-        for text, pieces, p in zip(texts, cut, plain):
-            if not p:
-                yield self._encode(text)
-                continue
-            k = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
-            size = self.sizes[k]
-            yield self.flat[np.repeat(self.starts[k] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        words = [t.lower().split() for t in texts]
+        n_words = np.fromiter(map(len, words), np.int64, len(words))
+        k = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int32, int(n_words.sum()))
+        del words
+        self._learn()
+        size, ends = self.sizes[k], np.concatenate(([0], np.cumsum(n_words)))
+        odd = set((np.searchsorted(ends, np.flatnonzero(size == ODD), "right") - 1).tolist())
+        size = np.maximum(size, 0)
+        flat = self.flat[_stretches(self.starts[k], size)]
+        ends = np.concatenate(([0], np.cumsum(size)))[ends]
+        for i, text in enumerate(texts):
+            yield self._encode(text) if i in odd else flat[ends[i] : ends[i + 1]]
+
+
+class _Numbers(dict):
+    """Numbers words from 0 as they are looked up; those new since new was last emptied are in it."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = k = len(self)
+        self.new.append(word)
+        return k
 
 
 def _room(array: np.ndarray, n: int) -> np.ndarray:
@@ -115,8 +219,8 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _together(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about TOGETHER characters."""
+def _together(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of about TOGETHER bytes."""
     run, n = [], 0
     for t in texts:
         run.append(t)
@@ -132,7 +236,7 @@ def _cutter(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _tokenizer(path)
         for b in batches:
-            doc_ids, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
+            doc_ids, texts = b.column(0), (t.as_py() or b"" for t in b.column(1))
             row, piece, start, length, crc = [], [], [], [], []
             k = 0
             for some in _together(texts):
@@ -153,7 +257,8 @@ def _cutter(path: str, capacity: int):
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents cut only where they are longer than the capacity."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(_cutter(path, capacity), PIECES)
+    ship(docs.sparkSession)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text")).mapInArrow(_cutter(path, capacity), PIECES)
 
 
 class FreeSpace:

@@ -51,8 +51,12 @@ def test_words_equal_whole_texts(sf, spark):
     own, plain = packing.WordTokenizer(path), Tokenizer.from_file(path)
     odd = ["", " \n", "Don't it's we'll I'M", "á e ́x ÉÀ ﬁ İ ΣΑΣ ſ", "x\x1cy \x1f\x85z w v", "<|endoftext|> a<|startoftext|>b", "____ --- ... 'tis 12,345.67 9a8", "日本語 テスト 한국어", "a" * 3000, "한 ̀a", "it's they're ''s 'sx !'s 's's I'LL", "<|endoftext", "naïve_word? (yes)!! word### Größe&&& ÿ× ÷"]
     texts = odd + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    for text, got in zip(texts, own.ids(texts)):
-        assert got.tolist() == plain.encode(text, add_special_tokens=False).ids, text[:50]
+    rng = random.Random(4)
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 90))) for letters in ("abcdehinorst", "etaoin'srdlm 012.,!?-/_<>|éÉßÿ÷×ñÑ  \n\t", "the \x0b\x0c\r!") for _ in range(3000)]
+    assert own.merges is not None  # otherwise every text would go to the tokenizer
+    for _ in range(2):  # new words, then known ones
+        for text, got in zip(texts, own.ids([t.encode() for t in texts])):
+            assert got.tolist() == plain.encode(text, add_special_tokens=False).ids, text[:50]
 
 
 def test_whole_table(spark, sf):
