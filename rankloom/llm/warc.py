@@ -6,7 +6,9 @@ came back from tasks that ended well count, so files of lost or repeated tasks a
 
 Reader. A record is taken if its gzip member (its version line, if the file isn't compressed) is whole and its lengths and digests hold.
 After a failed check the reader looks for the next gzip member that holds a valid record, or the next version line with one, goes on
-there, and reports the bytes between as a gap. It reads from the start of what isn't yet settled, so it holds about one record at a time.
+there, and reports the bytes between as a gap. It reads from the start of what isn't yet settled, so it holds about one record at a time; a
+length beyond the end of the file or beyond MOST_BYTES is a failed check, so a damaged one doesn't make it read on. Archives are dealt to as
+many tasks as there are archives, up to READ_TASKS. restore() compares the records read with those written and keeps the gaps in a table.
 
 Defined results: null payload is the empty one; rows that tie for the largest id of a payload are all responses; a null id is smaller than any
 other, and rows of a payload that has no known id are all responses; repeated rows give repeated records; a null url is left out; an
@@ -29,6 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import common
 
 #: Bytes after which a task begins another archive, and that the reader asks for at once.
@@ -39,8 +42,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MARK = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
-#: Bytes within which a record's header must end.
-HEAD = 1 << 20
+#: Bytes within which a record's header must end, and the most that a record or member may hold.
+HEAD, MOST_BYTES = 1 << 20, 1 << 30
+#: Tasks that read archives, at most.
+READ_TASKS = 20_000
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
@@ -102,7 +107,7 @@ def _writer(folder: str, compress: bool):
 
 def write(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", compress: bool = True) -> DataFrame:
     """Write an archive record for every row; a table of (file, records, bytes). Payloads under least_bytes are never revisited."""
-    spark = pages.sparkSession
+    spark = ship(pages.sparkSession)
     folder = common.new_path(spark, "warc")
     store, at = open_fs(folder)
     store.create_dir(at, recursive=True)
@@ -118,8 +123,8 @@ def write(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_c
 class Source:
     """A file seen from a moving start: bytes before it are let go, bytes after it are read as needed."""
 
-    def __init__(self, read: Callable[[int], bytes]):
-        self.read, self.data, self.start, self.ended = read, bytearray(), 0, False
+    def __init__(self, read: Callable[[int], bytes], size: int | None = None):
+        self.read, self.size, self.data, self.start, self.ended = read, size, bytearray(), 0, False
 
     def more(self) -> bool:
         part = b"" if self.ended else self.read(CHUNK)
@@ -129,6 +134,8 @@ class Source:
 
     def need(self, n: int) -> bool:
         """Whether there are n bytes from the start on."""
+        if self.size is not None and self.start + n > self.size:
+            return False
         while len(self.data) < n and self.more():
             pass
         return len(self.data) >= n
@@ -187,6 +194,8 @@ def _plain(source: Source, at: int = 0) -> tuple[int, dict, dict, bytes]:
     if not re.fullmatch("[0-9]{1,15}", headers.get("content-length", "")):
         raise Bad("no content length")
     first, n = end + 4, int(headers["content-length"])
+    if n > MOST_BYTES:
+        raise Bad("record too long")
     if not source.need(first + n + 4):
         raise Bad("record cut short")
     if source.data[first + n : first + n + 4] != b"\r\n\r\n":
@@ -207,17 +216,20 @@ def _member(source: Source, at: int = 0) -> tuple[int, list[tuple[dict, dict, by
     source.need(at + 3)
     if source.data[at : at + 3] != MAGIC:
         raise Bad("no gzip member")
-    z, out, k = zlib.decompressobj(31), [], at
+    z, out, held, k = zlib.decompressobj(31), [], 0, at
     try:
         while not z.eof:
             if k >= len(source.data) and not source.more():
                 raise Bad("member cut short")
             part = bytes(source.data[k : k + CHUNK])
-            out.append(z.decompress(part))
+            out.append(z.decompress(part, MOST_BYTES + 1 - held))
+            held += len(out[-1])
+            if held > MOST_BYTES:
+                raise Bad("member too long")
             k += len(part)
     except zlib.error as e:
         raise Bad(f"member: {e}") from None
-    inner = Source(_once(b"".join(out)))
+    inner = Source(_once(b"".join(out)), held)
     found = []
     while inner.need(1):
         n, *rest = _plain(inner)
@@ -233,9 +245,9 @@ def _once(data: bytes) -> Callable[[int], bytes]:
     return lambda n: parts.pop() if parts else b""
 
 
-def salvage(read: Callable[[int], bytes]) -> Iterator[Record | Gap]:
-    """Records and gaps of a file, in order, covering every byte."""
-    source = Source(read)
+def salvage(read: Callable[[int], bytes], size: int | None = None) -> Iterator[Record | Gap]:
+    """Records and gaps of a file, in order, covering every byte; size: that of the file, where it is known."""
+    source = Source(read, size)
     while source.need(1):
         at, why, found = 0, "", None
         while found is None:
@@ -300,7 +312,7 @@ def _reader(with_payload: bool):
                 store, at = open_fs(file)
                 rows, held = [], 0
                 with store.open_input_stream(at, compression=None) as f:
-                    for x in salvage(f.read):
+                    for x in salvage(f.read, store.get_file_info(at).size):
                         rows.append(row(file, x))
                         held += 200 + (len(rows[-1][-1] or b"") if with_payload else 0)
                         if held > 4 << 20:
@@ -314,13 +326,24 @@ def _reader(with_payload: bool):
 
 def read(files: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records and gaps of the archives named in files: ROWS and, if asked for, the payload. A gap has a reason and no record type."""
-    spread = files.select("file").repartition("file")
-    return spread.mapInArrow(_reader(with_payload), ROWS + ", payload binary" * with_payload)
+    ship(files.sparkSession)
+    tasks = max(1, min(READ_TASKS, files.count()))  # a number, as otherwise so short a list would be read by one task
+    return files.select("file").repartition(tasks).mapInArrow(_reader(with_payload), ROWS + ", payload binary" * with_payload)
+
+
+def restore(files: DataFrame, with_payload: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records, gaps) of archives that write() has made, both from a written table; an error if records are missing or more than were written."""
+    found = common.cut(read(files, with_payload), "warc-records")
+    records, gaps = found.where("record_type is not null"), found.where("record_type is null").select("file", "offset", "length", "reason")
+    written, back = files.agg(F.sum("records")).first()[0] or 0, records.count()
+    if written != back:
+        raise ValueError(f"{written} records written and {back} read back; {gaps.count()} gaps")
+    return records, gaps
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = read(write(common.table(spark, sf_dir, "pages")), with_payload=False)
-    return found.where("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found, _ = restore(write(common.table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
