@@ -2,11 +2,15 @@
 
 Distinct vectors are projected by several random rotations onto a few dimensions, moved by a random shift, put on a grid and numbered along
 the Hilbert curve of that grid. Each ordering is range-partitioned and numbered in Spark. A query looks at the vectors whose place on a curve
-is within a window of its own; the findings of all curves are merged and ranked by the exact cosine of the original vectors.
+is within a window of its own; of each block it keeps the SHORT nearest. The findings of all curves are merged, the SHORT nearest of a query
+are ranked by the exact cosine of the original vectors.
+
+What goes along the curves is slim: points are numbers, and their vectors unit vectors in half precision; the original vectors are
+read once more for the shortlists alone.
 
 How wide the window must be depends on the data, not on its size alone: it is measured, at every size alike. A bounded number of probe
 vectors is compared with all vectors, and the window is taken in which TARGET of their true neighbours come within reach on some curve. Data
-without any structure need windows that grow with the number of vectors; they stay whole, in blocks of bounded size.
+without any structure need windows that grow with the number of vectors; they stay whole, in blocks of bounded size that grow with the window.
 
 Equal vectors are one point of the index, which carries the few smallest ids of the group; so a group of copies costs one row, and ties go to the
 smaller id exactly.
@@ -18,6 +22,7 @@ fewer candidates than asked for are all returned; an empty table gives an empty
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -26,15 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import common
 
-CURVES, DIMS, BITS = 12, 8, 7
+CURVES, DIMS, BITS = 4, 8, 7
 NEIGHBOURS = 5
 EVERY = 50
+#: Nearest by half precision that are kept for the exact ranking.
+SHORT = 24
 #: Vectors that tell the spread of the projections, and probes that tell the window.
-SAMPLE, PROBES, TARGET = 4096, 256, 0.96
-#: Places on a curve that are compared in one block.
-BLOCK = 2048
+SAMPLE, PROBES, TARGET = 4096, 256, 0.94
+#: Places on a curve that are compared in one block: as many as the window, within these bounds.
+LEAST_BLOCK, MOST_BLOCK = 2048, 65536
 SEED = 20
 
 
@@ -81,20 +89,49 @@ class Curves:
         return hilbert_keys(cells.astype(np.int64), self.bits)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(column), -1)
+def _vectors(codes: pa.Array) -> np.ndarray:
+    """Rows of half-precision codes as single-precision vectors."""
+    return np.frombuffer(b"".join(codes.to_pylist()), "<f2").reshape(len(codes), -1).astype(np.float32)
+
+
+def _coder(with_vec: bool):
+    """Usable vectors: (id, size, digest of the vector, half-precision unit vector), and the vector itself if asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, lists = b.column(0), b.column(1)
+            size, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False).astype(float) + 0.0
+            start = np.cumsum(size) - size
+            for n in np.unique(size[size > 0]).tolist():
+                at = np.flatnonzero(size == n)
+                m = flat[start[at][:, None] + np.arange(n)]
+                good = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
+                at, m = at[good], m[good]
+                digests = [hashlib.blake2b(row, digest_size=16).digest() for row in m]
+                unit = np.nan_to_num(_unit(m / np.abs(m).max(axis=1, initial=1e-300, keepdims=True))).astype("<f2")
+                columns = [ids.take(pa.array(at)), pa.array(np.full(len(at), n, np.int32)), pa.array(digests, pa.binary())]
+                columns.append(pa.array(m.tolist(), pa.list_(pa.float64())) if with_vec else pa.array([row.tobytes() for row in unit], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "size", "digest", "vec" if with_vec else "codes"])
+
+    return run
 
 
-def points(table: DataFrame, neighbours: int = NEIGHBOURS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(point, vec, ids): every distinct usable vector, its smallest id, and its neighbours + 1 smallest ids in order."""
-    rows = table.select(table[id_col].cast("long").alias("id"), table[vec_col].cast("array<double>").alias("vec")).where("id is not null and vec is not null")
-    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = rows.where(finite & F.exists("vec", lambda x: x != 0)).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
-    size = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    rows = rows.where(F.size("vec") == (size["n"] if size else 0))
-    few = rows.distinct().withColumn("k", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("k") <= neighbours + 1)
-    return few.drop("k").groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.element_at("ids", 1).alias("point"), "vec", "ids")
+def coded(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", with_vec: bool = False) -> DataFrame:
+    """(id, size, digest, codes) of every usable vector with an id; with_vec: the vector in place of the codes."""
+    ship(table.sparkSession)
+    kind = table.schema[vec_col].dataType.simpleString()
+    vec = table[vec_col] if kind in ("array<float>", "array<double>") else table[vec_col].cast("array<double>")
+    rows = table.select(table[id_col].cast("long").alias("id"), vec.alias("vec")).where("id is not null and vec is not null")
+    return rows.mapInArrow(_coder(with_vec), f"id long, size int, digest binary, {'vec array<double>' if with_vec else 'codes binary'}")
+
+
+def points(rows: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """(point, digest, codes, ids): a number for every distinct vector of coded rows, and its neighbours + 1 smallest ids in order; a written table."""
+    few = rows.select("digest", "id").distinct().withColumn("k", F.row_number().over(Window.partitionBy("digest").orderBy("id"))).where(F.col("k") <= neighbours + 1)
+    groups = few.groupBy("digest").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    one = rows.select("digest", F.col("id").alias("first"), "codes").dropDuplicates(["digest", "first"])
+    joined = groups.withColumn("first", F.element_at("ids", 1)).join(one, ["digest", "first"])
+    return common.cut(joined.select(F.monotonically_increasing_id().alias("point"), "digest", "codes", "ids"), "points")
 
 
 def _keyed(shared):
@@ -102,7 +139,7 @@ def _keyed(shared):
         curves = shared.value
         for b in batches:
             if b.num_rows:
-                m = _matrix(b.column(1))
+                m = _vectors(b.column(1))
                 for c in range(len(curves.rotations)):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), c, np.int32)), pa.array(curves.keys(m, c).astype(np.int64)), b.column(0)], ["curve", "key", "point"])
 
@@ -125,7 +162,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def order(pts: DataFrame, curves: Curves) -> DataFrame:
     """(curve, point, rank): the place of every point on every curve, from 0."""
-    keyed = pts.select("point", "vec").mapInArrow(_keyed(pts.sparkSession.sparkContext.broadcast(curves)), "curve int, key long, point long")
+    keyed = pts.select("point", "codes").mapInArrow(_keyed(pts.sparkSession.sparkContext.broadcast(curves)), "curve int, key long, point long")
     ranged = keyed.repartitionByRange("curve", "key", "point").sortWithinPartitions("curve", "key", "point")
     counted = common.cut(ranged.mapInArrow(_counted, "curve int, point long, part int, place long"), "curve-places")
     sizes = counted.groupBy("curve", "part").agg(F.count("*").alias("n"))  # a row for each partition and curve
@@ -157,22 +194,27 @@ def _probed(shared, k: int):
         for b in batches:
             if b.num_rows:
                 point = b.column(0).to_numpy()
-                s = probes @ _unit(_matrix(b.column(1))).T
+                s = probes @ _unit(_vectors(b.column(1))).T
                 s[ids[:, None] == point[None, :]] = -np.inf
                 row, col = _best(s, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(point[col]), pa.array(s[row, col])], ["query", "found", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(point[col]), pa.array(s[row, col].astype(float))], ["query", "found", "score"])
 
     return run
 
 
+def _some(pts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(points, vectors) of the n points with the least digests, at most."""
+    rows = pts.orderBy("digest").limit(n).select("point", "codes").collect()
+    return np.array([r["point"] for r in rows], np.int64), _vectors(pa.array([bytes(r["codes"]) for r in rows], pa.binary())) if rows else np.zeros((0, 0))
+
+
 def window_for(pts: DataFrame, ranks: DataFrame, k: int, probes: int = PROBES, target: float = TARGET) -> int:
     """The least window with which so many of the probes' true neighbours are in reach on some curve."""
     spark = pts.sparkSession
-    some = pts.orderBy(F.md5(F.col("point").cast("string")), "point").limit(probes).select("point", "vec").collect()
-    if not some:
+    ids, vectors = _some(pts, probes)
+    if not len(ids):
         return 1
-    ids, vectors = np.array([r["point"] for r in some]), np.array([r["vec"] for r in some])
-    near = pts.select("point", "vec").mapInArrow(_probed(spark.sparkContext.broadcast((ids, vectors)), k), "query long, found long, score double")
+    near = pts.select("point", "codes").mapInArrow(_probed(spark.sparkContext.broadcast((ids, vectors)), k), "query long, found long, score double")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "found"))).where(F.col("r") <= k).select("query", "found").collect()  # probes * k rows
     wanted = spark.createDataFrame([(int(x),) for x in {*ids.tolist(), *(r["found"] for r in near)}], "point long")
     place = {(r["curve"], r["point"]): r["rank"] for r in ranks.join(F.broadcast(wanted), "point").collect()}  # at most probes * (k + 1) points
@@ -181,8 +223,8 @@ def window_for(pts: DataFrame, ranks: DataFrame, k: int, probes: int = PROBES, t
     return max(1, gaps[min(len(gaps) - 1, math.ceil(target * len(gaps)))]) if gaps else 1
 
 
-def _searched(window: int, k: int):
-    """The k nearest in each block of each query; rows come sorted by (curve, block, points before queries)."""
+def _searched(window: int, short: int):
+    """The `short` nearest in each block of each query; rows come sorted by (curve, block, points before queries)."""
     names = ["query", "found", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +233,7 @@ def _searched(window: int, k: int):
             if not b.num_rows:
                 continue
             curve, number, asks, rank, point = (b.column(c).to_numpy(zero_copy_only=False) for c in range(5))
-            m = _matrix(b.column(5))
+            m = _vectors(b.column(5))
             cuts = np.flatnonzero((curve[1:] != curve[:-1]) | (number[1:] != number[:-1])) + 1
             for lo, hi in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(curve)]))):
                 here = (int(curve[lo]), int(number[lo]))
@@ -210,45 +252,62 @@ def _searched(window: int, k: int):
                     upto = min(hi, at + 512)
                     s = _unit(m[at:upto]) @ unit.T
                     s[(np.abs(rank[at:upto, None] - r[None, :]) > window) | (point[at:upto, None] == p[None, :])] = -np.inf
-                    row, col = _best(s, k)
+                    row, col = _best(s, short)
                     if len(row):
-                        exact = [cosine(m[at + i].tolist(), v[j].tolist()) for i, j in zip(row, col)]
-                        yield pa.RecordBatch.from_arrays([pa.array(point[at + row]), pa.array(p[col]), pa.array(exact, pa.float64())], names)
+                        yield pa.RecordBatch.from_arrays([pa.array(point[at + row]), pa.array(p[col]), pa.array(s[row, col])], names)
 
     return run
 
 
-def search(table: DataFrame, every: int = EVERY, k: int = NEIGHBOURS, window: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", **how) -> DataFrame:
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cosines of (query, found, vec of the one, vec of the other)."""
+    for b in batches:
+        score = [cosine(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], ["point", "found", "score"])
+
+
+def search(table: DataFrame, every: int = EVERY, k: int = NEIGHBOURS, window: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", short: int = SHORT, **how) -> DataFrame:
     """(query_id, rank, vec_id, score): for every id divisible by `every` its k nearest found."""
     spark = table.sparkSession
-    pts = common.cut(points(table, k, id_col, vec_col), "points")
-    sample = [r["vec"] for r in pts.orderBy(F.md5(F.col("point").cast("string")), "point").limit(SAMPLE).select("vec").collect()]
+    rows = common.cut(coded(table, id_col, vec_col), "vectors")
+    size = rows.groupBy("size").count().orderBy(F.desc("count"), F.desc("size")).first()
     out = "query_id long, rank int, vec_id long, score double"
-    if not sample:
+    if size is None:
         return spark.createDataFrame([], out)
-    ranks = common.cut(order(pts, Curves(np.array(sample), **how)), "curve-ranks")
+    rows = rows.where(F.col("size") == size["size"])
+    pts = points(rows, k)
+    ranks = common.cut(order(pts, Curves(_some(pts, SAMPLE)[1], **how)), "curve-ranks")
     window = window or window_for(pts, ranks, k)
+    block = min(MOST_BLOCK, max(LEAST_BLOCK, window))
 
-    asked = table.select(table[id_col].cast("long").alias("query_id"), table[vec_col].cast("array<double>").alias("vec")).where(F.col("query_id") % every == 0)
-    asked = asked.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0))).distinct()
-    asked = common.cut(asked.join(pts, "vec").select("query_id", "point"), "queries")
+    asked = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "digest").distinct()
+    asked = common.cut(asked.join(pts.select("digest", "point"), "digest").select("query_id", "point"), "queries")
+    asking = asked.select("point").distinct()
 
-    full = ranks.join(pts.select("point", "vec"), "point")
-    shape = lambda df, block, asks: df.select("curve", block.cast("long").alias("block"), F.lit(asks).alias("asks"), "rank", "point", "vec")
-    there = shape(full, F.floor(F.col("rank") / BLOCK), False)
-    reach = F.sequence(F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / BLOCK), F.floor((F.col("rank") + window) / BLOCK))
-    queries = full.join(asked.select("point").distinct(), "point", "left_semi").withColumn("b", F.explode(reach))
+    full = ranks.join(pts.select("point", "codes"), "point")
+    shape = lambda df, number, asks: df.select("curve", number.cast("int").alias("block"), F.lit(asks).alias("asks"), "rank", "point", "codes")
+    there = shape(full, F.floor(F.col("rank") / block), False)
+    reach = F.sequence(F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / block), F.floor((F.col("rank") + window) / block))
+    queries = full.join(asking, "point", "left_semi").withColumn("b", F.explode(reach))
     both = there.union(shape(queries, F.col("b"), True)).repartition("curve", "block").sortWithinPartitions("curve", "block", "asks", "rank")
-    found = both.mapInArrow(_searched(window, k), "query long, found long, score double").distinct()
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "found"))).where(F.col("r") <= k)
+    found = both.mapInArrow(_searched(window, short), "query long, found long, score float").groupBy("query", "found").agg(F.max("score").alias("score"))
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "found"))).where(F.col("r") <= short).select("query", "found")
+    best = common.cut(best, "shortlist")
+
+    # the original vectors of the points that are in a shortlist or ask; then exact cosines
+    wanted = pts.select("point", "digest").join(best.select(F.col("found").alias("point")).union(asking).distinct(), "point")
+    vectors = coded(table, id_col, vec_col, True).select("digest", "vec").join(wanted, "digest").dropDuplicates(["point"]).select("point", "vec")
+    vectors = common.cut(vectors, "shortlist-vectors")
+    ones, others = (vectors.select(F.col("point").alias(p), F.col("vec").alias(v)) for p, v in (("query", "one"), ("found", "other")))
+    pairs = best.join(ones, "query").join(others, "found").select("query", "found", "one", "other")
+    exact = pairs.mapInArrow(_exact, "point long, found long, score double")
 
     # a point stands for the ids of its group, and a query's own group counts as well
-    nearest = best.select(F.col("query").alias("point"), "found", "score").join(pts.select(F.col("point").alias("found"), "ids"), "found").select("point", "score", "ids")
-    same = pts.join(asked.select("point").distinct(), "point", "left_semi")
+    nearest = exact.join(pts.select(F.col("point").alias("found"), "ids"), "found").select("point", "score", "ids")
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    same = same.select("point", (square / (F.sqrt(square) * F.sqrt(square))).alias("score"), "ids")
-    pairs = asked.join(nearest.union(same), "point").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
+    same = pts.select("point", "ids").join(asking, "point", "left_semi").join(vectors, "point").select("point", (square / (F.sqrt(square) * F.sqrt(square))).alias("score"), "ids")
+    listed = asked.join(nearest.union(same), "point").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    ranked = listed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
