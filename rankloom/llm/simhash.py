@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..shipping import ship
 from . import common
 
 THRESHOLD = 3
@@ -77,6 +78,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id long, fp long): a fingerprint for every row of docs."""
+    ship(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(_fingerprint_batches, "id long, fp long")
 
 
@@ -194,13 +196,14 @@ def _groups(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def _stars(fp: np.ndarray, home: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges of what links within groups; rows are sorted by group with homes first."""
+def _stars(fp: np.ndarray, home: np.ndarray, group: np.ndarray, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges of what links within groups; rows are sorted by group with homes first; the first `known` homes have been compared."""
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(group)])))
     of_home = np.flatnonzero(home)
     g = np.searchsorted(starts, of_home, "right") - 1
-    first, size = of_home + 1, starts[g] + sizes[g] - of_home - 1  # each home meets all that come after it
+    first = np.where(of_home < known, known, of_home + 1)  # each home meets all that come after it
+    size = starts[g] + sizes[g] - first
     us, vs, done, total = [], [], 0, np.cumsum(size)
     while done < len(of_home):
         base = total[done - 1] if done else 0
@@ -232,9 +235,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, fp = b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy().view(np.uint64)
         group = np.cumsum(np.concatenate(([0], (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1]))))
         first, last = (int(anchor[0]), int(block[0])), (int(anchor[-1]), int(block[-1]))
-        if held_key == first:
+        known = len(held) if held_key == first else 0
+        if known:
             fp, home, group = np.concatenate((held, fp)), np.concatenate((np.ones(len(held), bool), home)), np.concatenate((np.zeros(len(held), np.int64), group))
-        u, v = _stars(fp, home, group)
+        u, v = _stars(fp, home, group, known)
         held_key, held = last, fp[(group == group[-1]) & home]
         u, v = u.view(np.int64), v.view(np.int64)
         other = u != v
@@ -285,22 +289,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component: that with the smallest id (of repeated rows any one)."""
-    rooted = _rooted(common.cut(fingerprints(docs, id_col, text_col), "fp"))
+    """One row of docs for each component: that with the smallest id (of repeated rows any one); without a known id in it any row."""
+    prints = common.cut(fingerprints(docs, id_col, text_col), "fp")
+    rooted = _rooted(prints)
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("m"))
-    keys = lambda ident: [F.coalesce(ident, F.lit(0)).alias("__id"), ident.isNull().alias("__none")]
-    first = first.select(F.col("m.fp").alias("__fp"), *keys(F.col("m.least")))
+    first = common.cut(first.select(F.col("m.fp").alias("fp"), F.col("m.least").alias("id")), "firsts")
+    ident = docs[id_col].cast("long")
+    if prints.groupBy("id").count().where("id is null or count > 1").isEmpty():
+        # an id tells its row: the texts meet nothing but the ids that go
+        gone = common.cut(prints.join(first, "id", "left_anti").select("id"), "gone")
+        gone = gone.select(F.col("id").alias(common.spare_names(docs, 1)[0]))
+        return docs.join(gone, ident == gone[gone.columns[0]], "left_anti")
+    fp, key, none = common.spare_names(docs, 3)
     at = docs.columns.index(text_col)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(at)), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], [*b.schema.names, "__fp"])
+            found = np.fromiter((fingerprint(t.as_py()) for t in b.column(at)), np.uint64, b.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], [*b.schema.names, fp])
 
-    marked = docs.mapInArrow(add, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    keys = lambda c: [F.coalesce(c, F.lit(0)).alias(key), c.isNull().alias(none)]
+    marked = docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(fp, LongType())]))
     # id and fingerprint together are the key of the join and of what follows it: one shuffle of the texts, and copies are spread by their ids
-    kept = marked.select("*", *keys(F.col(id_col).cast("long"))).join(first, ["__fp", "__id", "__none"])
-    return kept.dropDuplicates(["__fp", "__id", "__none"]).select([F.col(c) for c in docs.columns])
+    kept = marked.select("*", *keys(F.col(id_col).cast("long"))).join(first.select(F.col("fp").alias(fp), *keys(F.col("id"))), [fp, key, none])
+    return kept.dropDuplicates([fp, key, none]).select([F.col(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -110,3 +111,46 @@ def test_keep_one(spark, sf):
     assert len(got) == len(want) and set(got) == want
     odd = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "x y z w"), (None, "q r s"), (None, "q r s"), (0, None)], "doc_id long, text string").withColumn("fp", F.lit(1))
     assert sorted(r.text or "" for r in simhash.keep_one(odd).collect()) == ["", "a b c", "q r s", "x y z w"]
+
+
+def test_groups_over_several_batches():
+    """Homes that are carried over a batch's end meet what follows, and not each other again."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 3).astype(np.uint64)
+    fp = np.array([base[k % 3] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, k % 4).astype(np.uint64), initial=np.uint64(0)) for k in range(200)], np.uint64)
+    fp = np.unique(fp)
+    home = np.arange(len(fp)) < 60
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(fp), np.int64)), pa.array(np.zeros(len(fp), np.int32)), pa.array(home), pa.array(fp.view(np.int64))], ["anchor", "block", "home", "fp"])
+
+    def joined(batches):
+        label = {int(x): int(x) for x in fp.view(np.int64)}
+
+        def root(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        for b in simhash._compare(iter(batches)):
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                label[max(root(u), root(v))] = min(root(u), root(v))
+        return [root(int(x)) for x in fp.view(np.int64)]
+
+    met = {(i, j) for i in range(len(fp)) for j in range(i) if (home[i] or home[j]) and bin(int(fp[i] ^ fp[j])).count("1") <= 3}
+    want = list(range(len(fp)))
+    for _ in want:
+        for i, j in met:
+            want[i] = want[j] = min(want[i], want[j])
+    groups = lambda label: sorted(sorted(k for k, x in enumerate(label) if x == r) for r in set(label))
+    for size in (7, 40, 1000):
+        assert groups(joined([batch.slice(k, size) for k in range(0, len(fp), size)])) == groups(want)
+
+
+def test_keep_one_keeps_clashing_columns(spark):
+    rows = [(1, "a b c"), (2, "a b c"), (3, None), (4, "x y z w")]
+    for extra in ([], [(4, "x y z w")]):
+        docs = spark.createDataFrame(rows + extra, "doc_id long, text string")
+        for c in ("__fp", "__id", "__none", "_x0", "_X1", "id", "fp"):
+            docs = docs.withColumn(c, F.lit(c))
+        kept = simhash.keep_one(docs)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+        assert all(r["__fp"] == "__fp" and r["_x0"] == "_x0" and r["id"] == "id" for r in kept.collect())
