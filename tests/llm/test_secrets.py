@@ -123,7 +123,7 @@ def test_model_and_added_spans_against_plain_version(spark):
 def test_many_spans_take_linear_time(spark):
     value = "0123456789abcdef01234567"
     took = []
-    for n in (25_000, 100_000):
+    for n in (10_000, 100_000):
         docs = spark.createDataFrame([(1, f"é {value} " * n)], "doc_id long, text string")
         model = [0.0] * (len(secrets.ALPHABET) + 1) ** 2
         began = time.perf_counter()
@@ -132,7 +132,7 @@ def test_many_spans_take_linear_time(spark):
         took.append(time.perf_counter() - began)
         assert r.n_hex == n and r.spans.endswith(f"hex:{(n - 1) * 27 + 2}:{n * 27 - 1}") and clean == f"é {secrets.MARK} " * n
     print("seconds", took)
-    assert took[1] < 8 * took[0] + 5
+    assert took[1] < 15 * took[0]
 
 
 def test_redact(spark):
