@@ -17,12 +17,17 @@ def grouped_split(df: DataFrame, key: str, seed: int, fraction: float = 0.8) ->
     """df with split: floor(fraction * keys) of the distinct keys, in hash order, are train; no key is on both sides."""
     keys = df.select(key).distinct()
     n = keys.agg(F.count("*").alias("n"))
-    ranked = keys.withColumn("h", order_key(seed, F.col(key))).crossJoin(F.broadcast(n))
-    k = F.row_number().over(Window.orderBy("h", key))
-    split = ranked.select(key, F.when(k <= F.floor(fraction * F.col("n")), "train").otherwise("test").alias("split"))
+    ranked = in_whole_order(keys, seed, key, out="__k").crossJoin(F.broadcast(n))  # one row
+    split = ranked.select(key, F.when(F.col("__k") <= F.floor(fraction * F.col("n")), "train").otherwise("test").alias("split"))
     return df.join(split, key)
 
 
+def in_whole_order(df: DataFrame, seed, key: str, out: str = "k") -> DataFrame:
+    """df, whose keys are distinct, with the place of each row, from 1, in hash order over the whole table; numbered by range partition, in no single task."""
+    keyed = df.withColumn("__h", F.concat_ws(":", order_key(seed, F.col(key)), F.col(key).cast("string")))
+    return keyed.join(dense_ids(keyed, "__h", "__place"), "__h").withColumn(out, F.col("__place") + 1).drop("__h", "__place")
+
+
 def in_hash_order(df: DataFrame, by: list[str], seed, *keys: str, out: str = "k") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(order_key(seed, *[F.col(k) for k in keys]), *keys)))
 

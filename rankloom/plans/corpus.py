@@ -34,8 +34,7 @@ def kfold_assign(spark, d):
 def label_permutation(spark, d):
     labels = table(spark, d, "labels")
     n = labels.agg(F.count_if(F.col("quality") == 0).alias("n"))
-    k = F.row_number().over(Window.orderBy(sampling.order_key(5, F.col("doc_id")), "doc_id"))
-    return labels.withColumn("k", k).crossJoin(F.broadcast(n)).groupBy("quality", (F.col("k") <= F.col("n")).alias("pseudo")).agg(F.count("*").alias("n"))
+    return sampling.in_whole_order(labels, 5, "doc_id").crossJoin(F.broadcast(n)).groupBy("quality", (F.col("k") <= F.col("n")).alias("pseudo")).agg(F.count("*").alias("n"))
 
 
 @query("class_balance", "with k as (select doc_id, quality, row_number() over (partition by quality order by md5(concat_ws(':', 42, doc_id)), doc_id) as k from labels), n as (select min(n) as n from (select count(*) as n from labels group by quality)) select doc_id, quality from k, n where k <= n")
@@ -46,8 +45,7 @@ def class_balance(spark, d):
 @query("balanced_ab", "with r as (select conv_id, row_number() over (order by md5(concat_ws(':', 9, conv_id)), conv_id) as k, count(*) over () as n from (select distinct conv_id from conversations)) select conv_id, case when k <= n / 2.0 then 'A' else 'B' end as side from r")
 def balanced_ab(spark, d):
     ids = table(spark, d, "conversations").select("conv_id").distinct()
-    k = F.row_number().over(Window.orderBy(sampling.order_key(9, F.col("conv_id")), "conv_id"))
-    return ids.withColumn("k", k).crossJoin(F.broadcast(ids.agg(F.count("*").alias("n")))).select("conv_id", F.when(F.col("k") <= F.col("n") / 2.0, "A").otherwise("B").alias("side"))
+    return sampling.in_whole_order(ids, 9, "conv_id").crossJoin(F.broadcast(ids.agg(F.count("*").alias("n")))).select("conv_id", F.when(F.col("k") <= F.col("n") / 2.0, "A").otherwise("B").alias("side"))
 
 
 @query("shuffled_order", "select doc_id, case when substr(md5(concat_ws(':', 1, doc_id)), 1, 1) < '8' then 'factual-other' else 'other-factual' end as doc_order from documents")
@@ -151,9 +149,9 @@ def attach_entities(spark, d):
     return c.where("role = 'assistant'").join(e, ["conv_id", "turn"], "left").select("conv_id", "turn", F.when(long, n).otherwise(0).alias("factual"), F.when(long, 0).otherwise(n).alias("other"))
 
 
-@query("row_side_join", "with p as (select doc_id % 100 as \"row\", doc_id, text, case when doc_id % 2 = 0 then 0 else 1 end as side from documents where doc_id < 100), k as (select distinct \"row\", side from p) select k.\"row\", k.side, case when k.side = 0 then 'original' else 'modified' end as which, length(text) as n from k join p using (\"row\", side)")
+@query("row_side_join", "with p as (select doc_id // 2 as \"row\", doc_id, text, case when doc_id % 2 = 0 then 0 else 1 end as side from documents), k as (select distinct \"row\", side from p) select k.\"row\", k.side, case when k.side = 0 then 'original' else 'modified' end as which, length(text) as n from k join p using (\"row\", side)")
 def row_side_join(spark, d):
-    p = docs(spark, d).where("doc_id < 100").select((F.col("doc_id") % 100).alias("row"), "text", (F.col("doc_id") % 2).cast("int").alias("side"))
+    p = docs(spark, d).select(F.floor(F.col("doc_id") / 2).alias("row"), "text", (F.col("doc_id") % 2).cast("int").alias("side"))
     return p.select("row", "side").distinct().join(p, ["row", "side"]).select("row", "side", F.when(F.col("side") == 0, "original").otherwise("modified").alias("which"), F.length("text").cast("long").alias("n"))
 
 
@@ -316,12 +314,12 @@ _ws = "'[ \\t\\n\\r\\f\\v]+'"
 
 @query(
     "answer_match_family",
-    f"""with a as (select doc_id, lang, left(text, 120) as t, {_alias_sql} as al, trim(regexp_replace(lower(left(text, 120)), {_ws}, ' ', 'g')) as sq from documents)
+    f"""with a as (select doc_id, lang, text as t, {_alias_sql} as al, trim(regexp_replace(lower(text), {_ws}, ' ', 'g')) as sq from documents)
 select lang, count(*) as n, count(*) filter (where len(list_filter(al, lambda x: length(trim(x)) >= 4 and contains(lower(t), lower(trim(x))))) > 0) as long, count(*) filter (where len(list_filter(al[1:3], lambda x: trim(x) <> '' and contains(lower(t), lower(trim(x))))) > 0) as first3,
 count(*) filter (where len(list_filter(al, lambda x: contains(lower(t), lower(x)))) > 0) as any_alias, count(*) filter (where regexp_matches(sq, '(^|[^a-z0-9_])(pol|the|éan|42|an)($|[^a-z0-9_])') or contains(sq, 'these')) as bounded from a group by lang""",
 )
 def answer_match_family(spark, d):
-    t, al = F.left("text", F.lit(120)), F.array(*map(F.lit, ALIASES))
+    t, al = F.col("text"), F.array(*map(F.lit, ALIASES))
     hits = {"long": ft.matches_long, "first3": ft.matches_first3, "any_alias": ft.matches_any, "bounded": ft.matches_bounded}
     return docs(spark, d).groupBy("lang").agg(F.count("*").alias("n"), *[F.count_if(f(t, al)).alias(n) for n, f in hits.items()])
 
@@ -365,11 +363,11 @@ def document_numbers(spark, d):
 
 @query(
     "judge_score_parse",
-    """with e as (select event_id, concat(case event_id % 5 when 0 then 'score ' when 1 then '' when 2 then 'about ' when 3 then '7 or ' else 'none' end, case when event_id % 5 < 4 then (event_id * 37 % 160 // 100)::varchar || '.' || lpad((event_id * 37 % 100)::varchar, 2, '0') else '' end) as t from events where event_id % 4 = 0),
+    """with e as (select event_id, concat(case event_id % 5 when 0 then 'score ' when 1 then '' when 2 then 'about ' when 3 then '7 or ' else 'none' end, case when event_id % 5 < 4 then (event_id * 37 % 160 // 100)::varchar || '.' || lpad((event_id * 37 % 100)::varchar, 2, '0') else '' end) as t from events),
 p as (select event_id, t, try_cast(nullif(regexp_extract(t, '(?:^|[^0-9.])(0(?:[.][0-9]+)?|1(?:[.]0+)?|[.][0-9]+)(?:$|[^0-9.])', 1), '') as double) as s from e) select event_id, round(greatest(0, least(1, coalesce(s, 0.5))), 6) as score, s is not null as ok from p""",
 )
 def judge_score_parse(spark, d):
-    e = table(spark, d, "events").where("event_id % 4 = 0")
+    e = table(spark, d, "events")
     kind, n = F.col("event_id") % 5, F.col("event_id") * 37
     t = F.concat(F.when(kind == 0, "score ").when(kind == 1, "").when(kind == 2, "about ").when(kind == 3, "7 or ").otherwise("none"), F.when(kind < 4, F.concat(F.floor(n % 160 / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))).otherwise(""))
     return e.select("event_id", ft.judge_score(t).alias("j")).select("event_id", r6("j.score").alias("score"), F.col("j.ok").alias("ok"))
@@ -389,9 +387,9 @@ walk(id, nr, chunk, used) as (select id, nr, 0, n from sl where nr = 1 union all
 ch as (select id, chunk, string_agg(s, ' ' order by nr) as text, sum(n) as n_words from walk join sl using (id, nr) group by all)"""
 
 
-@query("chunk_pack", f"with recursive src as (select doc_id as id, text as t from documents where doc_id < 60), {_PACK.format(sents=_SENTS.format(t='t'), most=64)} select id as doc_id, chunk, n_words, md5(text) as digest from ch")
+@query("chunk_pack", f"with recursive src as (select doc_id as id, text as t from documents), {_PACK.format(sents=_SENTS.format(t='t'), most=64)} select id as doc_id, chunk, n_words, md5(text) as digest from ch")
 def chunk_pack(spark, d):
-    rows = docs(spark, d).where("doc_id < 60").select("doc_id", F.posexplode(ft.pack(ft.sentences(F.col("text")), 64)).alias("chunk", "c"))
+    rows = docs(spark, d).select("doc_id", F.posexplode(ft.pack(ft.sentences(F.col("text")), 64)).alias("chunk", "c"))
     return rows.select("doc_id", "chunk", ft.n_words(F.col("c")).cast("long").alias("n_words"), F.md5("c").alias("digest"))
 
 
@@ -406,14 +404,15 @@ def html_text(spark, d):
 
 @query(
     "html_shortlist",
-    f"""with recursive src as (select page_id as id, {_HTML} as t from pages where page_id < 30), {_PACK.format(sents=_SENTS.format(t='t'), most=40)},
-q as (select item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) as qw from benchmark where item_id < 10),
+    f"""with recursive src as (select page_id as id, {_HTML} as t from pages), {_PACK.format(sents=_SENTS.format(t='t'), most=40)},
+q as (select item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) as qw from benchmark where item_id % 20 = 0),
 sc as (select item_id, id, chunk, text, len(list_intersect(qw, list_distinct(string_split(lower(text), ' '))))::double / len(qw) as s from ch, q)
 select item_id, id as page_id, chunk, round(s, 6) as score, row_number() over (partition by item_id order by round(s, 9) desc, id * 1000 + chunk) as pos, md5(array_to_string(list_filter(string_split(text, ' '), lambda w: w <> '')[1:20], ' ')) as head from sc qualify pos <= 5""",
 )
 def html_shortlist(spark, d):
-    chunks = table(spark, d, "pages").where("page_id < 30").select("page_id", F.posexplode(ft.pack(ft.sentences(ft.html_text(F.col("html"))), 40)).alias("chunk", "text")).withColumn("id", F.col("page_id") * 1000 + F.col("chunk"))
-    asked = F.broadcast(table(spark, d, "benchmark").where("item_id < 10").select("item_id", F.array_distinct(ft.words(F.lower("text"))).alias("qw")))  # ten stated queries
+    chunks = table(spark, d, "pages").select("page_id", F.posexplode(ft.pack(ft.sentences(ft.html_text(F.col("html"))), 40)).alias("chunk", "text")).withColumn("id", F.col("page_id") * 1000 + F.col("chunk"))
+    # the queries: every twentieth item of the benchmark, which is a fixed set; Spark checks its size
+    asked = table(spark, d, "benchmark").where("item_id % 20 = 0").select("item_id", F.array_distinct(ft.words(F.lower("text"))).alias("qw"))
     scored = chunks.crossJoin(asked).withColumn("s", F.size(F.array_intersect("qw", F.split(F.lower("text"), " "))) / F.size("qw").cast("double"))
     top = ranking.top_k(scored, ["item_id"], "s", "id", 5)
     return top.select("item_id", "page_id", "chunk", r6("s").alias("score"), F.col("pos").cast("long").alias("pos"), F.md5(ft.head_words(F.col("text"), 20)).alias("head"))
@@ -421,11 +420,11 @@ def html_shortlist(spark, d):
 
 # ---- prompts and providers --------------------------------------------------------------------------------------
 
-_PROMPT = "concat('Documents:' || chr(10) || '[1] ', left(text, 40), chr(10) || chr(10) || 'Question: ', lang, '?' || chr(10) || 'Answer:')"
+_PROMPT = "concat('Documents:' || chr(10) || '[1] ', text, chr(10) || chr(10) || 'Question: ', lang, '?' || chr(10) || 'Answer:')"
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", "lang", "text", ft.prompt(F.array(F.left("text", F.lit(40))), F.concat("lang", F.lit("?"))).alias("prompt"))
+    return docs(spark, d).select("doc_id", "lang", "text", ft.prompt(F.array("text"), F.concat("lang", F.lit("?"))).alias("prompt"))
 
 
 @query("prompt_dedup_generate", f"with p as (select doc_id, lang, {_PROMPT} as prompt from documents), g as (select prompt, 'answer ' || substr(sha256(prompt), 1, 8) as answer from (select distinct prompt from p)) select doc_id, answer, sha256(prompt) as key from p join g using (prompt)")
@@ -456,7 +455,7 @@ def condition_accuracy(spark, d):
 
 
 _ANSWER = "'answer ' || substr(sha256(concat_ws('|', {by})), 1, 8)"
-_E2E = f"""g as (select doc_id, lang, unnest([0, 5, 10]) as alpha10, text from documents), gk as (select *, unnest([2, 5]) as k from g), an as (select doc_id, lang, alpha10, k, {_ANSWER.format(by="case when alpha10 = 0 then '' else lang end, alpha10, k, left(text, 40)")} as answer from gk),
+_E2E = f"""g as (select doc_id, lang, unnest([0, 5, 10]) as alpha10, text from documents), gk as (select *, unnest([2, 5]) as k from g), an as (select doc_id, lang, alpha10, k, {_ANSWER.format(by="case when alpha10 = 0 then '' else lang end, alpha10, k, sha256(text)")} as answer from gk),
 ok as (select doc_id, lang, alpha10, k, contains(answer, substr(md5(lang), 1, 1)) as ok from an)"""
 
 
@@ -465,7 +464,7 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import providers
 
     g = docs(spark, d).withColumn("alpha10", F.explode(F.array(F.lit(0), F.lit(5), F.lit(10)))).withColumn("k", F.explode(F.array(F.lit(2), F.lit(5))))
-    g = g.withColumn("prompt", F.concat_ws("|", F.when(F.col("alpha10") == 0, "").otherwise(F.col("lang")), F.col("alpha10").cast("string"), F.col("k").cast("string"), F.left("text", F.lit(40))))
+    g = g.withColumn("prompt", F.concat_ws("|", F.when(F.col("alpha10") == 0, "").otherwise(F.col("lang")), F.col("alpha10").cast("string"), F.col("k").cast("string"), F.sha2("text", 256)))
     got = providers.generate(g, "prompt", providers.echo_digest)
     return got.select("doc_id", "lang", "alpha10", "k", ft.matches_any(F.col("answer"), F.array(F.substring(F.md5("lang"), 1, 1))).alias("ok"))
 
@@ -517,12 +516,12 @@ def judge_rerank(spark, d):
     return ranking.top_k(z, ["lang"], "s", "doc_id", 10).select("lang", "doc_id", F.col("pos").cast("long").alias("pos"))
 
 
-@query("steering_order_accuracy", "with r as (select doc_id, case when substr(md5(concat_ws(':', 1, doc_id)), 1, 1) < '8' then 'factual-other' else 'other-factual' end as doc_order, contains(lower(left(text, 80)), 'an') as base, contains(lower(left(text, 200)), 'an') as steered from documents) select doc_order, round(avg(base::int), 6) as baseline, round(avg(steered::int), 6) as steered, count(*) as n from r group by doc_order")
+@query("steering_order_accuracy", "with r as (select doc_id, case when substr(md5(concat_ws(':', 1, doc_id)), 1, 1) < '8' then 'factual-other' else 'other-factual' end as doc_order, contains(lower(text), 'ould') as base, contains(lower(text), 'ould') or contains(lower(text), 'schä') as steered from documents) select doc_order, round(avg(base::int), 6) as baseline, round(avg(steered::int), 6) as steered, count(*) as n from r group by doc_order")
 def steering_order_accuracy(spark, d):
     bit = F.substring(sampling.order_key(1, F.col("doc_id")), 1, 1) < "8"
     order = F.when(bit, "factual-other").otherwise("other-factual")
-    ok = lambda n: r6(metrics.rate(ft.matches_any(F.left("text", F.lit(n)), F.array(F.lit("an")))))
-    return docs(spark, d).groupBy(order.alias("doc_order")).agg(ok(80).alias("baseline"), ok(200).alias("steered"), F.count("*").alias("n"))
+    ok = lambda *aliases: r6(metrics.rate(ft.matches_any(F.col("text"), F.array(*map(F.lit, aliases)))))
+    return docs(spark, d).groupBy(order.alias("doc_order")).agg(ok("ould").alias("baseline"), ok("ould", "schä").alias("steered"), F.count("*").alias("n"))
 
 
 # ---- normalisation ----------------------------------------------------------------------------------------------
