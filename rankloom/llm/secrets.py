@@ -28,6 +28,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 RUN = r"[A-Za-z0-9+/_=-]{12,}"
+#: A whole run with a digit and a letter, told at its start, so that other words cost no more than their own length.
+MIXED = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z]){RUN}"
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -197,10 +199,9 @@ def spans(docs: DataFrame, text_col: str, model: list[float], base: str, added:
     """docs with two more columns, sorted arrays of (start, kind, end, value): the base spans and the added ones."""
     text = F.coalesce(docs[text_col], F.lit(""))
     found = docs.withColumn(base, F.array_sort(F.concat(_spans(text, ASSIGN, 0, ASSIGN_LEAST), _spans(text, ACCESS, 1), _spans(text, HEX, 2))))
-    moved = lambda p: F.transform(_spans(p["text"], RUN, 3), lambda x: F.struct((x["start"] + p["start"]).alias("start"), x["kind"].alias("kind"), (x["end"] + p["start"]).alias("end"), x["value"].alias("value")))
-    runs = F.when(F.size(base) == 0, _spans(text, RUN, 3)).otherwise(F.flatten(F.transform(between(text, F.col(base)), moved)))
-    mixed = found.withColumn(added, F.filter(runs, lambda r: r["value"].rlike("[0-9]") & r["value"].rlike("[A-Za-z]")))
-    return mixed.withColumn(added, F.when(F.size(added) > 0, F.filter(added, lambda r: is_random(r["value"], model))).otherwise(F.col(added)))
+    moved = lambda p: F.transform(_spans(p["text"], MIXED, 3), lambda x: F.struct((x["start"] + p["start"]).alias("start"), x["kind"].alias("kind"), (x["end"] + p["start"]).alias("end"), x["value"].alias("value")))
+    runs = F.when(F.size(base) == 0, _spans(text, MIXED, 3)).otherwise(F.flatten(F.transform(between(text, F.col(base)), moved)))
+    return found.withColumn(added, runs).withColumn(added, F.when(F.size(added) > 0, F.filter(added, lambda r: is_random(r["value"], model))).otherwise(F.col(added)))
 
 
 def _told(found: Column) -> Column:
