@@ -87,6 +87,8 @@ FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 MOSTLY = 0.5
 #: Lines in a run around a header, none of them blank, and its characters; longer runs hold too much besides any template to be similar to it.
 RUN_LINES, RUN_CHARS = 5, 600
+#: Tasks over which the files of a directory are spread.
+SALT = 64
 #: Similarity from which a header counts, and by which its license must be ahead of the next.
 LEAST, MARGIN = 0.75, 0.02
 TOKEN = "[a-z0-9.]*[a-z0-9]"
@@ -177,7 +179,9 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     in_dir = F.regexp_replace("path", "/?[^/]*$", "")
     speaks = known.where("licence_file and own_license is not null and path is not null").groupBy(in_dir.alias("above")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "path", "own_license")).alias("b")).select("above", F.col("b.own_license").alias("dir_license"))
     nearest = directories(known).join(speaks, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "dir_license")).alias("b")).select("dir", F.col("b.above").alias("from_dir"), F.col("b.dir_license").alias("dir_license"))
-    joined = known.withColumn("dir", in_dir).join(nearest, "dir", "left")
+    # one directory may hold a third of all files, so its files meet it in SALT tasks
+    spread = nearest.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))
+    joined = known.withColumns({"dir": in_dir, "salt": F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")}).join(spread, ["dir", "salt"], "left")
     has = F.col("own_license").isNotNull()
     origin = F.when(has, "own").when(F.col("dir_license").isNotNull(), "inherited")
     return joined.select("doc_id", "path", "own_license", "similarity", F.coalesce("own_license", "dir_license").alias("license"), origin.alias("origin"), F.when(~has, F.col("from_dir")).alias("from_dir"))
