@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as fv
-from ..operators import metrics, ranking, sampling, stats
+from ..operators import metrics, ranking, rerank, sampling, stats
 from .base import ALPHAS, DIR, KS, LAYER_WIDTH, LAYERS, SEEDS, WIDTH, E, V, query, r6, rounded, values, vectors
 
 
@@ -15,44 +15,31 @@ def direction_row(v: DataFrame) -> DataFrame:
     return fv.collect(fv.mean_difference(v, "vec", F.col("fact")).withColumn("one", F.lit(1)), ["one"], "v", "dir").select("dir")
 
 
-def similarities(v: DataFrame, n_queries: int) -> DataFrame:
-    """(q, id, cos, same): the first vectors as queries against all others; same: on the query's side."""
-    asked = v.where(F.col("vec_id") < n_queries)
-    cos = ranking.cosine_block(v, asked.select(F.col("vec_id").alias("q"), "vec")).where("q <> id")
-    sides = v.select(F.col("vec_id").alias("id"), F.col("fact").alias("id_fact"))
-    asked_sides = asked.select(F.col("vec_id").alias("q"), F.col("fact").alias("q_fact"))
-    return cos.join(sides, "id").join(F.broadcast(asked_sides), "q").select("q", "id", "cos", (F.col("id_fact") == F.col("q_fact")).alias("same"))
+def asked(v: DataFrame) -> DataFrame:
+    """The stated queries: every vector whose id is divisible by 20."""
+    return v.where("vec_id % 20 = 0")
 
 
-def targets(sims: DataFrame) -> DataFrame:
-    """(q, gold, nf): the nearest of the query's side, and of the other."""
-    key = F.struct((-F.round("cos", 9)).alias("s"), "id")
-    m = sims.groupBy("q").agg(F.min(F.when(F.col("same"), key)).alias("g"), F.min(F.when(~F.col("same"), key)).alias("n"))
-    return m.select("q", F.col("g.id").alias("gold"), F.col("n.id").alias("nf"))
+def simple_direction(v: DataFrame) -> list[list[float]]:
+    """The one direction over the whole vectors, on the driver."""
+    return [r["dir"] for r in direction_row(v).collect() if r["dir"]]
 
 
-def records(scored: DataFrame, tg: DataFrame, by: list[str]) -> DataFrame:
-    """(by, gold_rank, nf_rank): places of the two targets among each group's rows of (by, id, s)."""
-    rows = scored.join(F.broadcast(tg), "q")
-    own = rows.where((F.col("id") == F.col("gold")) | (F.col("id") == F.col("nf"))).groupBy(*by).agg(F.max(F.when(F.col("id") == F.col("gold"), F.col("s"))).alias("gs"), F.max(F.when(F.col("id") == F.col("nf"), F.col("s"))).alias("ns"))
-    ahead = lambda t, i: F.count_if((F.col("s") > F.col(t)) | ((F.col("s") == F.col(t)) & (F.col("id") < F.col(i)))) + 1
-    return rows.join(own, by).groupBy(*by).agg(ahead("gs", "gold").alias("gold_rank"), ahead("ns", "nf").alias("nf_rank"))
+def simple_records(spark: SparkSession, d: str) -> DataFrame:
+    """(q, alpha10, gold_rank, nf_rank) with one direction."""
+    v = vectors(spark, d)
+    return rerank.target_ranks(v, asked(v), simple_direction(v), ALPHAS).drop("dir")
 
 
-def simple_scores(spark: SparkSession, d: str, n_queries: int, alphas=ALPHAS) -> tuple[DataFrame, DataFrame]:
-    """((q, alpha10, id, s, side of id), targets) with one direction over the whole vectors."""
+def simple_top(spark: SparkSession, d: str, k: int, alphas=ALPHAS) -> DataFrame:
+    """(q, alpha10, pos, id, s, side of id): the first k with one direction."""
     v = vectors(spark, d)
-    sims = similarities(v, n_queries)
-    proj = v.crossJoin(F.broadcast(direction_row(v))).select(F.col("vec_id").alias("id"), "fact", fv.dot(F.col("vec"), F.col("dir")).alias("p"))  # one direction
-    proj = ranking.zscore(proj, "p", [], "zp")
-    both = ranking.zscore(sims, "cos", ["q"], "zc").join(proj.select("id", "fact", "zp"), "id")
-    grid = both.withColumn("alpha10", F.explode(F.array(*map(F.lit, alphas))))
-    return grid.select("q", "alpha10", "id", "fact", F.round(ranking.fuse(F.col("zc"), F.col("zp"), F.col("alpha10") / 10.0), 9).alias("s")), targets(sims)
+    return rerank.fused_top(v, asked(v), simple_direction(v), alphas, k).drop("dir")
 
 
-def _simple_sql(n: int, alphas=ALPHAS) -> str:
+def _simple_sql(alphas=ALPHAS) -> str:
     return f"""{V}, {E}, {DIR},
-q as (select vec_id as q, vec as qv, fact as qf from v where vec_id < {n}),
+q as (select vec_id as q, vec as qv, fact as qf from v where vec_id % 20 = 0),
 c as (select q, vec_id as id, fact = qf as same, fact, list_cosine_similarity(qv, vec) as cos from q, v where vec_id <> q),
 tg as (select g.q, g.gold, n.nf from (select q, id as gold from c where same qualify row_number() over (partition by q order by round(cos, 9) desc, id) = 1) g
   join (select q, id as nf from c where not same qualify row_number() over (partition by q order by round(cos, 9) desc, id) = 1) n using (q)),
@@ -70,45 +57,40 @@ res as (select {by}, 1 + count(*) filter (where s > gs or (s = gs and id < gold)
 
 @query(
     "rerank_rate_at_k",
-    f"""with {_simple_sql(50)}, {REC.format(by="q, alpha10")}, k(k) as (values (2), (5), (10))
+    f"""with {_simple_sql()}, {REC.format(by="q, alpha10")}, k(k) as (values (2), (5), (10))
 select alpha10, k, round(avg((gold_rank <= k)::int), 6) as gold_rate, round(avg((nf_rank <= k)::int), 6) as nf_rate, count(*) as n from res, k group by alpha10, k""",
 )
 def rerank_rate_at_k(spark, d):
-    scored, tg = simple_scores(spark, d, 50)
-    return rounded(metrics.hit_rates(records(scored, tg, ["q", "alpha10"]), ["alpha10"], list(KS)), "gold_rate", "nf_rate")
+    return rounded(metrics.hit_rates(simple_records(spark, d), ["alpha10"], list(KS)), "gold_rate", "nf_rate")
 
 
 @query(
     "rerank_share_in_topk",
-    f"""with {_simple_sql(50)}, r as (select *, row_number() over (partition by q, alpha10 order by s desc, id) as pos from sc), k(k) as (values (2), (5), (10))
+    f"""with {_simple_sql()}, r as (select *, row_number() over (partition by q, alpha10 order by s desc, id) as pos from sc), k(k) as (values (2), (5), (10))
 select alpha10, k, round(avg(fact::int), 6) as fact_share, count(*) as n from r, k where pos <= k group by alpha10, k""",
 )
 def rerank_share_in_topk(spark, d):
-    scored, _ = simple_scores(spark, d, 50)
-    top = ranking.top_k(scored, ["q", "alpha10"], "s", "id", max(KS))
-    return top.withColumn("k", F.explode(F.array(*map(F.lit, KS)))).where("pos <= k").groupBy("alpha10", "k").agg(r6(metrics.rate(F.col("fact"))).alias("fact_share"), F.count("*").alias("n"))
+    return simple_top(spark, d, max(KS)).withColumn("k", F.explode(F.array(*map(F.lit, KS)))).where("pos <= k").groupBy("alpha10", "k").agg(r6(metrics.rate(F.col("fact"))).alias("fact_share"), F.count("*").alias("n"))
 
 
 @query(
     "topk_nested_array",
-    f"""with {_simple_sql(10, (5,))}
+    f"""with {_simple_sql((5,))}
 select q, row_number() over (partition by q order by s desc, id) as pos, id as doc, round(s, 6) as score from sc qualify pos <= 3""",
 )
 def topk_nested_array(spark, d):
-    scored, _ = simple_scores(spark, d, 10, (5,))
-    nested = ranking.nested_top(scored, ["q"], "s", "id", 3)
+    nested = ranking.nested_top(simple_top(spark, d, 3, (5,)), ["q"], "s", "id", 3)
     return nested.select("q", F.posexplode("topk").alias("at", "e")).select("q", (F.col("at") + 1).cast("long").alias("pos"), F.col("e.id").alias("doc"), r6("e.score").alias("score"))
 
 
 @query(
     "baseline_delta",
-    f"""with {_simple_sql(20)}, {REC.format(by="q, alpha10")}
+    f"""with {_simple_sql()}, {REC.format(by="q, alpha10")}
 select q, alpha10, gold_rank, max(gold_rank) filter (where alpha10 = 0) over (partition by q) - gold_rank as gold_gain,
   nf_rank - max(nf_rank) filter (where alpha10 = 0) over (partition by q) as nf_loss from res""",
 )
 def baseline_delta(spark, d):
-    scored, tg = simple_scores(spark, d, 20)
-    return metrics.separation(records(scored, tg, ["q", "alpha10"]), ["q"]).select("q", "alpha10", "gold_rank", "gold_gain", "nf_loss")
+    return metrics.separation(simple_records(spark, d), ["q"]).select("q", "alpha10", "gold_rank", "gold_gain", "nf_loss")
 
 
 @query("direction_vector", f"with {V}, {E}, {DIR} select i::int as i, round(v, 6) as v, round(sqrt((select sum(v * v) from d)), 6) as norm, (select count(*) from v where fact) as n_pos, (select count(*) from v where not fact) as n_neg from d")
@@ -175,7 +157,7 @@ def direction_mixture(spark, d):
 
 @query(
     "mixture_rerank",
-    f"""with {MIX}, q as (select vec_id as q, vec as qv, fact as qf from v where vec_id < 20),
+    f"""with {MIX}, q as (select vec_id as q, vec as qv, fact as qf from v where vec_id % 20 = 0),
 c as (select q, vec_id as id, fact = qf as same, list_cosine_similarity(qv, vec) as cos from q, v where vec_id <> q),
 zc as (select q, id, same, (cos - avg(cos) over (partition by q)) / stddev_pop(cos) over (partition by q) as zc from c),
 p as (select combo, vec_id as id, sum(x * v) as p from e join md using (i) group by all),
@@ -185,28 +167,25 @@ select combo, alpha10, round(avg(same::int), 6) as same_share, count(*) as n fro
 )
 def mixture_rerank(spark, d):
     v = vectors(spark, d)
-    md = mixture(spark, v)
-    proj = fv.explode(v, "vec", "vec_id").join(F.broadcast(md), "i").groupBy("combo", F.col("vec_id").alias("id")).agg(F.sum(F.col("x") * F.col("v")).alias("p"))  # 7 x 64 rows
-    both = ranking.zscore(similarities(v, 20), "cos", ["q"], "zc").join(ranking.zscore(proj, "p", ["combo"], "zp"), "id")
-    scored = both.withColumn("alpha10", F.explode(F.array(*map(F.lit, (0, 5, 10))))).withColumn("s", F.round(ranking.fuse(F.col("zc"), F.col("zp"), F.col("alpha10") / 10.0), 9))
-    return ranking.top_k(scored, ["combo", "alpha10", "q"], "s", "id", 5).groupBy("combo", "alpha10").agg(r6(metrics.rate(F.col("same"))).alias("same_share"), F.count("*").alias("n"))
+    dirs = {r["combo"]: r["dir"] for r in fv.collect(mixture(spark, v), ["combo"], "v", "dir").collect()}  # 7 directions
+    names, sides = list(dirs), asked(v).select(F.col("vec_id").alias("q"), F.col("fact").alias("q_fact"))
+    top = rerank.fused_top(v, asked(v), list(dirs.values()), (0, 5, 10), 5).join(sides, "q")
+    combo = F.element_at(F.array(*map(F.lit, names)), F.col("dir") + 1)
+    return top.groupBy(combo.alias("combo"), "alpha10").agg(r6(metrics.rate(F.col("fact") == F.col("q_fact"))).alias("same_share"), F.count("*").alias("n"))
 
 
-def grid_records(spark: SparkSession, d: str, n_queries: int = 20) -> DataFrame:
-    """(seed, layer, alpha10, q, gold_rank, nf_rank): the re-ranking records of the whole grid."""
+def grid_records(spark: SparkSession, d: str) -> DataFrame:
+    """(seed, layer, alpha10, q, gold_rank, nf_rank): the re-ranking records of the whole grid, a layer's direction being 0 outside of its slice."""
     v = vectors(spark, d)
-    sims = similarities(v, n_queries)
-    dirs = seeded_directions(spark, v).select("seed", "layer", "i", "v")
-    proj = fv.explode(v, "vec", "vec_id").join(F.broadcast(dirs), "i").groupBy("seed", "layer", F.col("vec_id").alias("id")).agg(F.sum(F.col("x") * F.col("v")).alias("p"))  # seeds x 64 rows
-    zp = ranking.zscore(proj, "p", ["seed", "layer"], "zp")
-    both = ranking.zscore(sims, "cos", ["q"], "zc").join(zp, "id")
-    grid = both.withColumn("alpha10", F.explode(F.array(*map(F.lit, ALPHAS))))
-    scored = grid.select("seed", "layer", "alpha10", "q", "id", F.round(ranking.fuse(F.col("zc"), F.col("zp"), F.col("alpha10") / 10.0), 9).alias("s"))
-    return records(scored, targets(sims), ["seed", "layer", "alpha10", "q"])
+    dirs = {}
+    for r in seeded_directions(spark, v).collect():  # seeds x 64 rows
+        dirs.setdefault((r["seed"], r["layer"]), [0.0] * WIDTH)[r["i"]] = r["v"]
+    key = F.element_at(F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(k).alias("layer")) for s, k in dirs]), F.col("dir") + 1)
+    return rerank.target_ranks(v, asked(v), list(dirs.values()), ALPHAS).select(key["seed"].alias("seed"), key["layer"].alias("layer"), "alpha10", "q", "gold_rank", "nf_rank")
 
 
 RES = f"""{V}, {E}, s(seed) as (values {", ".join(f"({s})" for s in SEEDS)}),
-q as (select vec_id as q, vec as qv, fact as qf from v where vec_id < 20),
+q as (select vec_id as q, vec as qv, fact as qf from v where vec_id % 20 = 0),
 c as (select q, vec_id as id, fact = qf as same, list_cosine_similarity(qv, vec) as cos from q, v where vec_id <> q),
 tg as (select g.q, g.gold, n.nf from (select q, id as gold from c where same qualify row_number() over (partition by q order by round(cos, 9) desc, id) = 1) g
   join (select q, id as nf from c where not same qualify row_number() over (partition by q order by round(cos, 9) desc, id) = 1) n using (q)),
