@@ -40,6 +40,7 @@ def _slices(batches: Iterator[pa.RecordBatch]):
 
 
 def _corpus(docs: DataFrame) -> DataFrame:
+    """The rows that take part."""
     return docs.where("vec_id is not null and vec is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "vec", "fact")
 
 
@@ -60,23 +61,11 @@ def _blocks(queries: DataFrame, numbers: int) -> Iterator[tuple[np.ndarray, np.n
         yield block()
 
 
-def _projection_moments(docs: DataFrame, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and population deviation (nan if flat) of the projections on each direction."""
-
-    def project(batches):
-        for _, _, v, _ in _slices(batches):
-            p = v @ directions.T
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(directions), dtype=np.int32), len(v))), pa.array(p.ravel())], ["dir", "p"])
-
-    rows = docs.mapInArrow(project, "dir int, p double").groupBy("dir").agg(F.avg("p").alias("m"), F.stddev_pop("p").alias("s")).collect()  # one row a direction
-    mean, dev = np.full(len(directions), np.nan), np.full(len(directions), np.nan)
-    for r in rows:
-        mean[r["dir"]], dev[r["dir"]] = r["m"], r["s"] if r["s"] > FLAT else np.nan
-    return mean, dev
-
-
+#: Rows of queries, and with a null q and gid as the direction those of the projections.
 _TARGETS = "q long, n long, mean double, m2 double, gs double, gid long, gp array<double>, ns double, nid long, np array<double>"
 
+_FIELDS = pa.schema([(n, {"long": pa.int64(), "double": pa.float64()}.get(t, pa.list_(pa.float64()))) for n, t in (x.split(" ") for x in _TARGETS.split(", "))])
+
 
 def _first_pass(shared, directions: np.ndarray):
     def run(batches):
@@ -85,8 +74,13 @@ def _first_pass(shared, directions: np.ndarray):
         n, mean, m2 = np.zeros(many), np.zeros(many), np.zeros(many)
         top, best = np.full((2, many), -np.inf), np.full((2, many), np.iinfo(np.int64).max)
         cosine, proj = np.full((2, many), np.nan), np.full((2, many, len(directions)), np.nan)
+        rows, centre, spread = 0, np.zeros(len(directions)), np.zeros(len(directions))
         for doc, unit, v, fact in _slices(batches):
             p = v @ directions.T
+            step = p.mean(0) - centre
+            spread += ((p - p.mean(0)) ** 2).sum(0) + step**2 * rows * len(p) / (rows + len(p))
+            centre += step * len(p) / (rows + len(p))
+            rows += len(p)
             for at in range(0, many, ASKED):
                 i = slice(at, at + ASKED)
                 cos, other = m[i] @ unit.T, ids[i][:, None] != doc
@@ -109,26 +103,30 @@ def _first_pass(shared, directions: np.ndarray):
                     at_rows = np.flatnonzero(better) + at
                     top[k, at_rows], best[k, at_rows] = high[better], who[better]
                     cosine[k, at_rows], proj[k, at_rows] = cos[row, place][better], p[place[better]]
+        if rows:
+            none = pa.nulls(len(directions))
+            columns = {"n": np.full(len(directions), rows), "mean": centre, "m2": spread, "gid": np.arange(len(directions))}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else none.cast(f.type) for f in _FIELDS], schema=_FIELDS)
         seen = np.flatnonzero(n > 0)
         if len(seen):
             columns = [pa.array(ids[seen]), pa.array(n[seen].astype(np.int64)), pa.array(mean[seen]), pa.array(m2[seen])]
             for k in range(2):
                 none = ~np.isfinite(top[k, seen])
                 columns += [pa.array(cosine[k, seen], mask=none), pa.array(best[k, seen], mask=none), pa.array(list(proj[k, seen]), pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["q", "n", "mean", "m2", "gs", "gid", "gp", "ns", "nid", "np"])
+            yield pa.RecordBatch.from_arrays(columns, schema=_FIELDS)
 
     return run
 
 
 def _moments_and_targets(docs: DataFrame, shared, directions: np.ndarray) -> DataFrame:
-    """(q, mean, dev, g, n): one row a query; its list has one short entry a task."""
+    """(q, dir, mean, dev, g, nf): one row a query and, with a null q, one a direction; their lists have one short entry a task."""
     parts = docs.mapInArrow(_first_pass(shared, directions), _TARGETS)
     nearest = lambda s, i, p: F.min(F.when(F.col(i).isNotNull(), F.struct((-F.round(s, 9)).alias("k"), F.col(i).alias("id"), F.col(s).alias("cos"), F.col(p).alias("p"))))
-    rows = parts.groupBy("q").agg(F.collect_list(F.struct("n", "mean", "m2")).alias("parts"), nearest("gs", "gid", "gp").alias("g"), nearest("ns", "nid", "np").alias("nf"))
+    rows = parts.groupBy("q", F.when(F.col("q").isNull(), F.col("gid")).alias("dir")).agg(F.collect_list(F.struct("n", "mean", "m2")).alias("parts"), nearest("gs", "gid", "gp").alias("g"), nearest("ns", "nid", "np").alias("nf"))
     total = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["n"])
     mean = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["n"] * x["mean"]) / F.col("total")
     spread = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["m2"] + x["n"] * (x["mean"] - F.col("mean")) * (x["mean"] - F.col("mean")))
-    return rows.withColumn("total", total).withColumn("mean", mean).withColumn("dev", F.sqrt(spread / F.col("total"))).select("q", "mean", "dev", "g", "nf")
+    return rows.withColumn("total", total).withColumn("mean", mean).withColumn("dev", F.sqrt(spread / F.col("total"))).select("q", "dir", "mean", "dev", "g", "nf")
 
 
 def _fused(cos, mean, dev, z, alpha):
@@ -191,7 +189,6 @@ def _keep_first(shared, directions, centre, scale, alphas, k):
 def _each_block(docs: DataFrame, queries: DataFrame, directions, alphas, numbers: int, finish: Callable, schema: str) -> DataFrame:
     """finish(corpus, shared, directions, centre, scale) of every block; of several blocks each is written before the next is read."""
     spark, corpus, directions = docs.sparkSession, _corpus(docs), np.asarray(directions, float)
-    centre, scale = _projection_moments(corpus, directions)
     out, path = None, None
     for ids, m, sides in _blocks(queries, numbers):
         if out is not None:
@@ -200,8 +197,12 @@ def _each_block(docs: DataFrame, queries: DataFrame, directions, alphas, numbers
         order = np.argsort(ids, kind="stable")
         ids, m, sides = ids[order], m[order], sides[order]
         asked = spark.sparkContext.broadcast((ids, m, sides))
-        found = {r["q"]: r for r in _moments_and_targets(corpus, asked, directions).collect()}  # one row a query of the block
+        rows = _moments_and_targets(corpus, asked, directions).collect()  # one row a query of the block and one a direction
         asked.destroy()
+        found, centre, scale = {r["q"]: r for r in rows}, np.full(len(directions), np.nan), np.full(len(directions), np.nan)
+        for r in rows:
+            if r["q"] is None:
+                centre[r["dir"]], scale[r["dir"]] = r["mean"], r["dev"] if r["dev"] > FLAT else np.nan
         dev = np.array([x if (x := found[q]["dev"] if q in found else 0.0) > FLAT else np.nan for q in ids.tolist()])
         mean = np.array([found[q]["mean"] if q in found else np.nan for q in ids.tolist()])
         target, score = np.full((2, len(ids)), -1, np.int64), np.full((2, len(ids), len(directions), len(alphas)), np.nan)
