@@ -25,13 +25,36 @@ def grouped_split(df: DataFrame, key: str, seed: int, fraction: float = 0.8) ->
 def in_whole_order(df: DataFrame, seed, key: str, out: str = "k") -> DataFrame:
     """df, whose keys are distinct, with the place of each row, from 1, in hash order over the whole table; numbered by range partition, in no single task."""
     keyed = df.withColumn("__h", F.concat_ws(":", order_key(seed, F.col(key)), F.col(key).cast("string")))
-    return keyed.join(dense_ids(keyed, "__h", "__place"), "__h").withColumn(out, F.col("__place") + 1).drop("__h", "__place")
+    return numbered(keyed, "__h", "__place").withColumn(out, F.col("__place") + 1).drop("__h", "__place")
 
 
 def in_hash_order(df: DataFrame, by: list[str], seed, *keys: str, out: str = "k") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(order_key(seed, *[F.col(k) for k in keys]), *keys)))
 
 
+def ring_draw(df: DataFrame, asked: DataFrame, key: str, group: str, seed: int) -> DataFrame:
+    """(q, group, key, k): for every row (q, group, most) of asked, `most` rows of the group without replacement, k from 1; q itself is left out.
+
+    Rows stand in a ring in hash order within their group; a draw takes the rows from a hashed start on. Only equi-joins, no pairs: the
+    work is that of the table and of the rows drawn. Rows with a null key or group take no part; keys are unique; a group with fewer rows gives all.
+    """
+    name = F.concat(F.md5(F.col(group).cast("string")), order_key(seed, F.col(key)), F.lit(":"), F.col(key).cast("string"))
+    keyed = df.where(F.col(key).isNotNull() & F.col(group).isNotNull()).select(key, group, name.alias("__h"))
+    path = new_path(df.sparkSession, "ring")  # written, because it is read three times
+    numbered(keyed, "__h", "__place").drop("__h").write.parquet(path)
+    placed = df.sparkSession.read.parquet(path)
+    sizes = placed.groupBy(group).agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
+    start = F.conv(F.substring(order_key(seed, F.lit("start"), F.col("q")), 1, 8), 16, 10).cast("long") % F.col("__n")
+    own = placed.select(F.col(key).alias("q"), group, F.col("__place").alias("__own"))
+    rows = asked.join(sizes, group).join(own, ["q", group], "left").withColumn("__start", start)
+    rows = rows.withColumn("__off", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("most").cast("long"), F.col("__n") - 1))))
+    mine = F.pmod(F.col("__own") - F.col("__first") - F.col("__start"), F.col("__n"))
+    k = F.col("__off") + 1 - F.coalesce((mine < F.col("__off")).cast("long"), F.lit(0))
+    rows = rows.withColumn("k", k).where((F.col("k") <= F.col("most")) & (F.coalesce(mine, F.lit(-1)) != F.col("__off")))
+    rows = rows.withColumn("__place", F.col("__first") + (F.col("__start") + F.col("__off")) % F.col("__n"))
+    return rows.select("q", group, "__place", "k").join(placed, [group, "__place"]).select("q", group, key, "k")
+
+
 def balance(df: DataFrame, by: list[str], seed: int, key: str) -> DataFrame:
     """As many rows of each group as the smallest group has."""
     least = df.groupBy(*by).count().agg(F.min("count").alias("__least"))
@@ -57,13 +80,18 @@ def dense_ids(df: DataFrame, key: str, out: str) -> DataFrame:
 
     Values are range-partitioned and numbered within their partition; partition offsets are the only thing that is summed up in one place.
     """
-    parts = df.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id())
-    path = new_path(df.sparkSession, "ids")  # written, because the partition numbers must be the same for both of their uses
+    return numbered(df.select(key).distinct(), key, out)
+
+
+def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
+    """df, whose values of order are distinct, with each row's 0-based place in that order; numbered as in dense_ids."""
+    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
+    path = new_path(df.sparkSession, "numbered")  # written, because the partition numbers must be the same for both of their uses
     parts.write.parquet(path)
-    placed = df.sparkSession.read.schema(parts.schema).parquet(path)
-    local = placed.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(key)))
-    before = local.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n"))
-    return local.join(F.broadcast(before), "__part").select(key, (F.col("__before") + F.col("__k") - 1).alias(out))
+    written = df.sparkSession.read.schema(parts.schema).parquet(path)
+    local = written.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
+    before = written.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n"))
+    return local.join(F.broadcast(before), "__part").withColumn(out, F.col("__before") + F.col("__k") - 1).drop("__part", "__k", "__before", "__n")
 
 
 def resample_counts(df: DataFrame, b: int, n: int, seed: int) -> DataFrame:

@@ -62,15 +62,16 @@ def capped_sample(spark, d):
 
 @query(
     "pool_draw",
-    """with q as (select doc_id as q, lang from documents where doc_id < 30), c as (select q, doc_id, row_number() over (partition by q order by md5(concat_ws(':', 3, q, doc_id)), doc_id) as k from q join documents using (lang) where q <> doc_id), p as (select q, doc_id, k from c where k <= 11)
-select q, doc_id, k + 1 as pos, sha256(concat_ws(':', q, doc_id)) as frozen from p""",
+    """with r as (select doc_id, lang, row_number() over (partition by lang order by md5(concat_ws(':', 3, doc_id)), doc_id::varchar) - 1 as place, count(*) over (partition by lang) as n from documents where lang is not null),
+q as (select doc_id as q, lang, place as own, n, ('0x' || substr(md5(concat_ws(':', 3, 'start', doc_id)), 1, 8))::bigint % n as start from r where doc_id % 20 = 0),
+o as (select *, (own - start + n) % n as mine, unnest(range(0, least(12, n))) as off from q), p as (select q, lang, (start + off) % n as place, off + 1 - (mine < off)::int as k from o where mine <> off)
+select q, doc_id, (k + 1)::bigint as pos, sha256(concat_ws(':', q, doc_id)) as frozen from p join r using (lang, place) where k <= 11""",
 )
 def pool_draw(spark, d):
     rows = docs(spark, d).select("doc_id", "lang")
-    asked = F.broadcast(rows.where("doc_id < 30").select(F.col("doc_id").alias("q"), "lang"))  # 30 rows
-    pairs = rows.join(asked, "lang").where("q <> doc_id")
-    drawn = sampling.in_hash_order(pairs, ["q"], 3, "q", "doc_id").where("k <= 11")
-    return drawn.select("q", "doc_id", (F.col("k") + 1).cast("long").alias("pos"), F.sha2(F.concat_ws(":", F.col("q").cast("string"), F.col("doc_id").cast("string")), 256).alias("frozen"))
+    asked = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("q"), "lang", F.lit(11).alias("most"))
+    drawn = sampling.ring_draw(rows, asked, "doc_id", "lang", 3)
+    return drawn.select("q", "doc_id", (F.col("k") + 1).alias("pos"), F.sha2(F.concat_ws(":", F.col("q").cast("string"), F.col("doc_id").cast("string")), 256).alias("frozen"))
 
 
 @query("corpus_dictionary", "with t as (select distinct text from documents), i as (select text, row_number() over (order by text) - 1 as idx from t) select doc_id, idx from documents join i using (text)")

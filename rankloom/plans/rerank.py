@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as fv
 from ..operators import metrics, ranking, rerank, sampling, stats
+from ..sources import scratch
 from .base import ALPHAS, DIR, KS, LAYER_WIDTH, LAYERS, SEEDS, WIDTH, E, V, query, r6, rounded, values, vectors
 
 
@@ -374,9 +375,12 @@ def series_extract(spark, d):
     return rows.select("alpha10", r6("gold_rank").alias("y"), F.row_number().over(Window.orderBy("alpha10")).cast("long").alias("at"))
 
 
-POOLS = f"""{V}, {E}, p as (select a.vec_id as pool, b.vec_id as id, a.vec as pv, b.vec, b.fact = a.fact as same, row_number() over (partition by a.vec_id, a.fact = b.fact order by md5(concat_ws(':', a.vec_id, b.vec_id)), b.vec_id) as k
-  from v a join v b on a.vec_id <> b.vec_id where a.vec_id < 40),
-m as (select pool, id, pv, vec, same, case when same then k else k + 4 end as pos from p where (same and k <= 4) or (not same and k <= 8)),
+POOLS = f"""{V}, {E}, r as (select vec_id, vec, fact, row_number() over (partition by fact order by md5(concat_ws(':', 17, vec_id)), vec_id::varchar) - 1 as place, count(*) over (partition by fact) as n from v where fact is not null),
+aq as (select a.vec_id as pool, a.vec as pv, a.fact as pf, g.fact, g.n, case when a.fact = g.fact then a.place else -1 end as own, case when a.fact = g.fact then 4 else 8 end as most,
+  ('0x' || substr(md5(concat_ws(':', 17, 'start', a.vec_id)), 1, 8))::bigint % g.n as start from r a, (select distinct fact, n from r) g where a.vec_id % 20 = 0),
+o as (select *, case when own < 0 then -1 else (own - start + n) % n end as mine, unnest(range(0, least(most + 1, n))) as off from aq),
+p as (select pool, pv, pf, fact, most, (start + off) % n as place, off + 1 - (mine >= 0 and mine < off)::int as k from o where mine <> off),
+m as (select pool, vec_id as id, pv, vec, pf = fact as same, case when pf = fact then k else k + 4 end as pos from p join r using (fact, place) where k <= most),
 c as (select pool, id, pos, list_cosine_similarity(pv, vec) as cos from m),
 d as (select i, avg(x) filter (where fact) - avg(x) filter (where not fact) as v from e group by i),
 pr as (select pool, id, pos, (i // 16)::int as layer, sum(x * v) as p from m join e on e.vec_id = m.id join d using (i) group by all),
@@ -388,61 +392,64 @@ sc as (select pool, pos, alpha10, round((1 - alpha10::double / 10) * zc + alpha1
 tr as (select pool, alpha10, 1 + count(*) filter (where s > t) as rank, max(t) as t from sc join (select pool, alpha10, s as t from sc where pos = 1) using (pool, alpha10) group by pool, alpha10)"""
 
 
-def pools(spark: SparkSession, d: str, n: int = 40) -> DataFrame:
-    """(pool, id, pos, cos, vec): for each of the first vectors a frozen pool of 4 vectors of its side and 8 of the other, in hash order; pos 1 is the target."""
-    v = vectors(spark, d)
-    own = F.broadcast(v.where(F.col("vec_id") < n).select(F.col("vec_id").alias("pool"), F.col("vec").alias("pv"), F.col("fact").alias("pf")))  # n rows
-    pairs = v.join(own, F.col("vec_id") != F.col("pool")).withColumn("same", F.col("fact") == F.col("pf"))
-    k = F.row_number().over(Window.partitionBy("pool", "same").orderBy(F.md5(F.concat_ws(":", "pool", "vec_id")), "vec_id"))
-    drawn = pairs.withColumn("k", k).where((F.col("same") & (F.col("k") <= 4)) | (~F.col("same") & (F.col("k") <= 8)))
-    return drawn.select("pool", F.col("vec_id").alias("id"), F.when(F.col("same"), F.col("k")).otherwise(F.col("k") + 4).alias("pos"), fv.cosine(F.col("pv"), F.col("vec")).alias("cos"), "vec")
+def pools(spark: SparkSession, d: str) -> DataFrame:
+    """(pool, id, pos, cos, vec): for each stated query a frozen pool of 4 vectors of its side and 8 of the other, drawn by hash; pos 1 is the target."""
+    v = vectors(spark, d).where("fact is not null")
+    own = asked(v).select(F.col("vec_id").alias("pool"), F.col("vec").alias("pv"), F.col("fact").alias("pf"))
+    most = F.when(F.col("fact") == F.col("pf"), 4).otherwise(8)
+    wanted = own.withColumn("fact", F.explode(F.array(F.lit(True), F.lit(False)))).select(F.col("pool").alias("q"), "fact", most.alias("most"))
+    drawn = sampling.ring_draw(v, wanted, "vec_id", "fact", 17).withColumnRenamed("q", "pool")
+    pos = F.when(F.col("fact") == F.col("pf"), F.col("k")).otherwise(F.col("k") + 4)
+    both = drawn.join(own, "pool").join(v.select("vec_id", "vec"), "vec_id")
+    path = scratch.new_path(spark, "pools")  # frozen: drawn once, whatever reads them
+    both.select("pool", F.col("vec_id").alias("id"), pos.alias("pos"), fv.cosine(F.col("pv"), F.col("vec")).alias("cos"), "vec").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def pool_scores(spark: SparkSession, d: str) -> DataFrame:
     """(pool, pos, alpha10, s): projections z-scored within pool and layer, averaged over layers, fused with the pool's z-scored cosines."""
-    v, members = vectors(spark, d), pools(spark, d)
-    dirs = fv.mean_difference(v, "vec", F.col("fact"))
-    parts = fv.explode(members, "vec", "pool", "id", "pos").join(F.broadcast(dirs), "i")  # 64 rows
-    proj = parts.groupBy("pool", "id", "pos", F.floor(F.col("i") / LAYER_WIDTH).alias("layer")).agg(F.sum(F.col("x") * F.col("v")).alias("p"))
-    mean = ranking.zscore(proj, "p", ["pool", "layer"], "z", "zero").groupBy("pool", "id", "pos").agg(F.avg("z").alias("zp"))
-    both = mean.join(ranking.zscore(members.select("pool", "id", "cos"), "cos", ["pool"], "zc", "zero"), ["pool", "id"])
+    direction, members = simple_direction(vectors(spark, d))[0], pools(spark, d)
+    part = lambda k: fv.dot(F.slice("vec", k * LAYER_WIDTH + 1, LAYER_WIDTH), F.array(*map(F.lit, direction[k * LAYER_WIDTH : (k + 1) * LAYER_WIDTH])))
+    z = lambda c, by: F.when(F.stddev_pop(c).over(by) < 1e-12, 0.0).otherwise(F.try_divide(F.col(c) - F.avg(c).over(by), F.stddev_pop(c).over(by)))
+    proj = members.select("pool", "id", "pos", "cos", F.posexplode(F.array(*map(part, range(LAYERS)))).alias("layer", "p")).repartition("pool")
+    within = proj.withColumn("z", z("p", Window.partitionBy("pool", "layer"))).withColumn("zc", z("cos", Window.partitionBy("pool")))  # 12 rows, 48 rows
+    both = within.groupBy("pool", "id", "pos").agg(F.avg("z").alias("zp"), F.first("zc").alias("zc"))
     grid = both.withColumn("alpha10", F.explode(F.array(*map(F.lit, ALPHAS))))
     return grid.select("pool", "pos", "alpha10", F.round(ranking.fuse(F.col("zc"), F.col("zp"), F.col("alpha10") / 10.0), 9).alias("s"))
 
 
-def pool_ranks(spark: SparkSession, d: str) -> DataFrame:
-    """(pool, alpha10, rank, first): competition rank of the target, and whether it is the first of the largest."""
-    s = pool_scores(spark, d)
+def pool_ranks(s: DataFrame) -> DataFrame:
+    """(pool, alpha10, rank, t, first) from pool_scores: competition rank and score of the target, and whether it is the first of the largest."""
     t = F.max(F.when(F.col("pos") == 1, F.col("s"))).over(Window.partitionBy("pool", "alpha10"))  # 12 rows a pool
-    ranks = s.withColumn("t", t).groupBy("pool", "alpha10").agg((F.count_if(F.col("s") > F.col("t")) + 1).alias("rank"))
+    ranks = s.withColumn("t", t).groupBy("pool", "alpha10").agg((F.count_if(F.col("s") > F.col("t")) + 1).alias("rank"), F.max("t").alias("t"))
     return ranks.withColumn("first", F.col("rank") == 1)
 
 
 @query("pool_rank_v1", f"with {POOLS} select alpha10, round(avg((rank = 1)::int), 6) as p_at_1, round(avg(1.0::double / rank), 6) as mrr, count(*) as n from tr group by alpha10")
 def pool_rank_v1(spark, d):
-    return pool_ranks(spark, d).groupBy("alpha10").agg(r6(metrics.rate(F.col("first"))).alias("p_at_1"), r6(F.avg(1.0 / F.col("rank"))).alias("mrr"), F.count("*").alias("n"))
+    return pool_ranks(pool_scores(spark, d)).groupBy("alpha10").agg(r6(metrics.rate(F.col("first"))).alias("p_at_1"), r6(F.avg(1.0 / F.col("rank"))).alias("mrr"), F.count("*").alias("n"))
 
 
 @query("pool_layer_mean_rank", f"with {POOLS} select pool, alpha10, rank, round(t, 6) as score from tr")
 def pool_layer_mean_rank(spark, d):
-    s = pool_scores(spark, d)
-    return pool_ranks(spark, d).join(s.where("pos = 1").select("pool", "alpha10", r6("s").alias("score")), ["pool", "alpha10"]).select("pool", "alpha10", "rank", "score")
+    return pool_ranks(pool_scores(spark, d)).select("pool", "alpha10", "rank", r6("t").alias("score"))
 
 
 @query(
     "pool_rank_v2",
-    f"""with {POOLS}, u as (select alpha10, dense_rank() over (order by pool) - 1 as idx, 1.0::double / rank as rr from tr), b as (select range as b, unnest(range(40)) as i from range(200)),
-w as (select b, ('0x' || substr(md5(concat_ws(':', 13, b, i)), 1, 8))::bigint % 40 as idx, count(*) as w from b group by all),
-bm as (select alpha10, b, sum(w * rr) / 40 as mean from u join w using (idx) group by all),
+    f"""with {POOLS}, u as (select alpha10, dense_rank() over (order by pool) - 1 as idx, 1.0::double / rank as rr from tr), b as (select range as b, unnest(range((select count(distinct pool) from tr))) as i from range(200)),
+w as (select b, ('0x' || substr(md5(concat_ws(':', 13, b, i)), 1, 8))::bigint % (select count(distinct pool) from tr) as idx, count(*) as w from b group by all),
+bm as (select alpha10, b, sum(w * rr) / (select count(distinct pool) from tr) as mean from u join w using (idx) group by all),
 dl as (select alpha10, b, mean - max(mean) filter (where alpha10 = 0) over (partition by b) as delta from bm)
 select alpha10, round(quantile_cont(delta, 0.025), 6) as lo, round(quantile_cont(delta, 0.975), 6) as hi, quantile_cont(delta, 0.025) > 0 or quantile_cont(delta, 0.975) < 0 as excludes_zero,
 round(least(1, 2 * least(avg((delta <= 0)::int), avg((delta >= 0)::int))), 6) as p from dl group by alpha10""",
 )
 def pool_rank_v2(spark, d):
-    ranks = pool_ranks(spark, d)
+    ranks = pool_ranks(pool_scores(spark, d))
     units = ranks.withColumn("idx", F.dense_rank().over(Window.orderBy("pool")) - 1).withColumn("rr", 1.0 / F.col("rank"))
-    draws = sampling.resample_counts(ranks, 200, 40, 13)
-    means = stats.bootstrap_means(units, draws, ["alpha10"], "rr", 40)
+    n = ranks.agg(F.count_distinct("pool")).first()[0]
+    draws = sampling.resample_counts(ranks, 200, n, 13)
+    means = stats.bootstrap_means(units, draws, ["alpha10"], "rr", n)
     delta = means.withColumn("delta", F.col("mean") - metrics.baseline("mean", ["b"]))
     p = delta.groupBy("alpha10").agg(F.percentile("delta", F.lit(0.025)).alias("lo"), F.percentile("delta", F.lit(0.975)).alias("hi"), stats.two_sided(F.col("delta")).alias("p"))
     return rounded(p.withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0)), "lo", "hi", "p")
