@@ -455,40 +455,6 @@ def condition_accuracy(spark, d):
     return r.join(known, "doc_id", "left").groupBy("condition").agg(r6(metrics.rate(F.col("ok"))).alias("accuracy"), r6(F.avg(F.when(F.col("known"), F.col("ok").cast("double")))).alias("known_accuracy"), F.count("*").alias("n"))
 
 
-_ANSWER = "'answer ' || substr(sha256(concat_ws('|', {by})), 1, 8)"
-_E2E = f"""g as (select doc_id, lang, unnest([0, 5, 10]) as alpha10, text from documents), gk as (select *, unnest([2, 5]) as k from g), an as (select doc_id, lang, alpha10, k, {_ANSWER.format(by="case when alpha10 = 0 then '' else lang end, alpha10, k, sha256(text)")} as answer from gk),
-ok as (select doc_id, lang, alpha10, k, contains(answer, substr(md5(lang), 1, 1)) as ok from an)"""
-
-
-def answers(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, lang, alpha10, k, ok): stand-in answers over the grid; at alpha 0 they don't depend on the combination (here lang)."""
-    from ..operators import providers
-
-    g = docs(spark, d).withColumn("alpha10", F.explode(F.array(F.lit(0), F.lit(5), F.lit(10)))).withColumn("k", F.explode(F.array(F.lit(2), F.lit(5))))
-    g = g.withColumn("prompt", F.concat_ws("|", F.when(F.col("alpha10") == 0, "").otherwise(F.col("lang")), F.col("alpha10").cast("string"), F.col("k").cast("string"), F.sha2("text", 256)))
-    got = providers.generate(g, "prompt", providers.echo_digest)
-    return got.select("doc_id", "lang", "alpha10", "k", ft.matches_any(F.col("answer"), F.array(F.substring(F.md5("lang"), 1, 1))).alias("ok"))
-
-
-@query("end_to_end_accuracy", f"with {_E2E} select alpha10, k, round(avg(ok::int), 6) as accuracy, count(*) as n from ok group by all")
-def end_to_end_accuracy(spark, d):
-    return answers(spark, d).groupBy("alpha10", "k").agg(r6(metrics.rate(F.col("ok"))).alias("accuracy"), F.count("*").alias("n"))
-
-
-@query("end_to_end_curve", f"with {_E2E}, s as (select doc_id % 5 as seed, alpha10, k, avg(ok::int) as acc from ok group by all) select alpha10, k, round(avg(acc), 6) as mean, round(coalesce(stddev_samp(acc), 0), 6) as std from s group by alpha10, k")
-def end_to_end_curve(spark, d):
-    s = answers(spark, d).groupBy((F.col("doc_id") % 5).alias("seed"), "alpha10", "k").agg(metrics.rate(F.col("ok")).alias("acc"))
-    return metrics.over_seeds(s, ["alpha10", "k"], ["acc"]).select("alpha10", "k", r6("acc_mean").alias("mean"), r6("acc_std").alias("std"))
-
-
-@query("mixture_end_to_end", f"with {_E2E}, c as (select lang as combo, alpha10, k, avg(ok::int) as acc from ok group by all), s as (select min(alpha10) filter (where alpha10 > 0) as a from c) select combo, k, alpha10, round(acc, 6) as acc, round(acc - max(acc) filter (where alpha10 = 0) over (partition by combo, k), 6) as delta, alpha10 = a as steered from c, s")
-def mixture_end_to_end(spark, d):
-    c = answers(spark, d).groupBy(F.col("lang").alias("combo"), "alpha10", "k").agg(metrics.rate(F.col("ok")).alias("acc"))
-    first = c.agg(F.min(F.when(F.col("alpha10") > 0, F.col("alpha10"))).alias("a"))
-    out = c.withColumn("delta", F.col("acc") - metrics.baseline("acc", ["combo", "k"])).crossJoin(F.broadcast(first))  # one row
-    return rounded(out.select("combo", "k", "alpha10", "acc", "delta", (F.col("alpha10") == F.col("a")).alias("steered")), "acc", "delta")
-
-
 @query("prompt_only", f"with p as (select doc_id, lang, {_PROMPT} || ' Some documents may be wrong.' as prompt from documents), a as (select doc_id, lang, 'answer ' || substr(sha256(prompt), 1, 8) as answer from p) select lang, round(avg(contains(answer, 'a1')::int), 6) as accuracy, count(*) as n from a group by lang")
 def prompt_only(spark, d):
     from ..operators import providers

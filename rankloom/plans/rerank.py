@@ -156,31 +156,40 @@ def direction_mixture(spark, d):
     return rounded(mixture(spark, vectors(spark, d)), "v")
 
 
-@query(
-    "mixture_rerank",
-    f"""with {MIX}, q as (select vec_id as q, vec as qv, fact as qf from v where vec_id % 20 = 0),
+MIXED_TOP = f"""{MIX}, q as (select vec_id as q, vec as qv, fact as qf from v where vec_id % 20 = 0),
 c as (select q, vec_id as id, fact = qf as same, list_cosine_similarity(qv, vec) as cos from q, v where vec_id <> q),
 zc as (select q, id, same, (cos - avg(cos) over (partition by q)) / stddev_pop(cos) over (partition by q) as zc from c),
 p as (select combo, vec_id as id, sum(x * v) as p from e join md using (i) group by all),
 zp as (select combo, id, (p - avg(p) over (partition by combo)) / stddev_pop(p) over (partition by combo) as zp from p), a(alpha10) as (values (0), (5), (10)),
-r as (select combo, alpha10, q, same, row_number() over (partition by combo, alpha10, q order by round((1 - alpha10::double / 10) * zc + alpha10::double / 10 * zp, 9) desc, id) as pos from zc join zp using (id), a)
-select combo, alpha10, round(avg(same::int), 6) as same_share, count(*) as n from r where pos <= 5 group by combo, alpha10""",
-)
-def mixture_rerank(spark, d):
+tp as (select combo, alpha10, q, id, same, row_number() over (partition by combo, alpha10, q order by round((1 - alpha10::double / 10) * zc + alpha10::double / 10 * zp, 9) desc, id) as pos from zc join zp using (id), a qualify pos <= 5)"""
+
+
+def mixture_top(spark: SparkSession, d: str) -> DataFrame:
+    """(combo, alpha10, q, pos, id, fact): the first 5 for every union of the datasets."""
     v = vectors(spark, d)
     dirs = {r["combo"]: r["dir"] for r in fv.collect(mixture(spark, v), ["combo"], "v", "dir").collect()}  # 7 directions
-    names, sides = list(dirs), asked(v).select(F.col("vec_id").alias("q"), F.col("fact").alias("q_fact"))
-    top = rerank.fused_top(v, asked(v), list(dirs.values()), (0, 5, 10), 5).join(sides, "q")
-    combo = F.element_at(F.array(*map(F.lit, names)), F.col("dir") + 1)
-    return top.groupBy(combo.alias("combo"), "alpha10").agg(r6(metrics.rate(F.col("fact") == F.col("q_fact"))).alias("same_share"), F.count("*").alias("n"))
+    top = rerank.fused_top(v, asked(v), list(dirs.values()), (0, 5, 10), 5)
+    return top.select(F.element_at(F.array(*map(F.lit, dirs)), F.col("dir") + 1).alias("combo"), "alpha10", "q", "pos", "id", "fact")
+
+
+@query("mixture_rerank", f"with {MIXED_TOP} select combo, alpha10, round(avg(same::int), 6) as same_share, count(*) as n from tp group by combo, alpha10")
+def mixture_rerank(spark, d):
+    top = mixture_top(spark, d).join(asked(vectors(spark, d)).select(F.col("vec_id").alias("q"), F.col("fact").alias("q_fact")), "q")
+    return top.groupBy("combo", "alpha10").agg(r6(metrics.rate(F.col("fact") == F.col("q_fact"))).alias("same_share"), F.count("*").alias("n"))
+
+
+def grid_directions(spark: SparkSession, v: DataFrame) -> dict[tuple[int, int], list[float]]:
+    """Directions by (seed, layer), on the driver: seeds x 64 numbers a layer, 0 outside of the layer's slice."""
+    dirs: dict = {}
+    for r in seeded_directions(spark, v).collect():
+        dirs.setdefault((r["seed"], r["layer"]), [0.0] * WIDTH)[r["i"]] = r["v"]
+    return dirs
 
 
 def grid_records(spark: SparkSession, d: str) -> DataFrame:
-    """(seed, layer, alpha10, q, gold_rank, nf_rank): the re-ranking records of the whole grid, a layer's direction being 0 outside of its slice."""
+    """(seed, layer, alpha10, q, gold_rank, nf_rank): the re-ranking records of the whole grid."""
     v = vectors(spark, d)
-    dirs = {}
-    for r in seeded_directions(spark, v).collect():  # seeds x 64 rows
-        dirs.setdefault((r["seed"], r["layer"]), [0.0] * WIDTH)[r["i"]] = r["v"]
+    dirs = grid_directions(spark, v)
     key = F.element_at(F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(k).alias("layer")) for s, k in dirs]), F.col("dir") + 1)
     return rerank.target_ranks(v, asked(v), list(dirs.values()), ALPHAS).select(key["seed"].alias("seed"), key["layer"].alias("layer"), "alpha10", "q", "gold_rank", "nf_rank")
 
