@@ -7,10 +7,6 @@ cuts down before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,42 +14,6 @@ from pyspark.sql import functions as F
 BROADCAST_NUMBERS = 4_000_000
 
 
-def cosine_block(docs: DataFrame, queries: DataFrame, doc_id: str = "vec_id", query_id: str = "q", vec: str = "vec") -> DataFrame:
-    """(q, id, cos): every stated query against every document, by matrix products over Arrow batches.
-
-    The queries are a stated set of bounded size; they are sent to the executors in blocks. Documents are never
-    shuffled.
-    """
-    asked = [(r[0], r[1]) for r in queries.select(query_id, vec).collect()]
-    if not asked:
-        return docs.sparkSession.createDataFrame([], "q long, id long, cos double")
-    width = max(1, len(asked[0][1]))
-    size = max(1, BROADCAST_NUMBERS // width)
-    out = None
-    for k in range(0, len(asked), size):
-        ids = np.array([q for q, _ in asked[k : k + size]], np.int64)
-        m = np.array([v for _, v in asked[k : k + size]], float)
-        shared = docs.sparkSession.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
-        part = docs.select(doc_id, vec).mapInArrow(_products(shared), "q long, id long, cos double")
-        out = part if out is None else out.union(part)
-    return out
-
-
-def _products(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, m = shared.value
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                doc = part.column(0).to_numpy()
-                v = part.column(1).flatten().to_numpy().astype(float).reshape(len(doc), -1)
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                cos = m @ v.T
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(doc))), pa.array(np.tile(doc, len(ids))), pa.array(cos.ravel())], ["q", "id", "cos"])
-
-    return run
-
-
 def zscore(df: DataFrame, value: str, by: list[str], out: str, policy: str = "null") -> DataFrame:
     """df with the z-score of value within by, population deviation.
 
