@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hilbert, htmltext, langid, licenses, mixing, packing, quality, secrets, simhash, warc
+from . import divergence, hilbert, htmltext, langid, licenses, mixing, packing, quality, secrets, simhash, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_hilbert_neighbours": hilbert.query,
         "op9_simhash_neardup": simhash.query,
         "op10_source_mixing": mixing.query,
+        "op13_source_divergence": divergence.query,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": licenses.SQL,
         "op2_warc_archives": warc.SQL,
         "op10_source_mixing": mixing.SQL,
+        "op13_source_divergence": divergence.SQL,
     }
