@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, hilbert, htmltext, langid, licenses, mixing, packing, prefixtrie, quality, secrets, simhash, warc
+from . import divergence, hilbert, htmltext, langid, licenses, maxent, mixing, packing, prefixtrie, quality, secrets, simhash, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_hilbert_neighbours": hilbert.query,
         "op9_simhash_neardup": simhash.query,
         "op10_source_mixing": mixing.query,
+        "op11_lm_scoring": maxent.query,
         "op12_prefix_trie": prefixtrie.query,
         "op13_source_divergence": divergence.query,
     }
