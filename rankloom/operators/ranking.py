@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered as ordered_rows
+
 #: Queries are compared in blocks of so many numbers, so what is broadcast has a bound.
 BROADCAST_NUMBERS = 4_000_000
 
@@ -44,11 +46,23 @@ def competition(by: list[str], score: str) -> Column:
 
 
 def average_rank(by: list[str], value: str) -> Column:
-    """Rank from the smallest value on, ties sharing their mean."""
+    """Rank from the smallest value on, ties sharing their mean; for groups of bounded size, ranks() is for others."""
     same = Window.partitionBy(*by, value)
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(same) - 1) / 2
 
 
+def ranks(df: DataFrame, by: list[str], score: str, ident: str) -> DataFrame:
+    """df with pos (largest score first, then the smaller id), rank (1 + the number of larger scores) and average_rank (smallest score first, ties sharing their mean), for groups of any size."""
+    value = F.round(F.col(score), 9)
+    rows = df.withColumn("__s", value)
+    totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    cells = ordered_rows.tied(rows, by, "__s").select(*by, "__s", "n", "below", ordered_rows.average_rank().alias("average_rank"))
+    placed = ordered_rows.place(rows, by, [F.desc_nulls_last("__s"), ident], "pos")
+    placed = ordered_rows.matched(ordered_rows.matched(placed, cells, [*by, "__s"]), totals, by)
+    rank = F.col("__n") - F.col("below") - F.col("n") + 1
+    return placed.withColumn("rank", rank).drop("__s", "n", "below", "__n")
+
+
 def top_k(df: DataFrame, by: list[str], score: str, ident: str, k: int) -> DataFrame:
     return df.withColumn("pos", position(by, score, ident)).where(F.col("pos") <= k)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path
+from . import ordered
 
 
 def order_key(seed, *keys: Column) -> Column:
@@ -29,7 +30,9 @@ def in_whole_order(df: DataFrame, seed, key: str, out: str = "k") -> DataFrame:
 
 
 def in_hash_order(df: DataFrame, by: list[str], seed, *keys: str, out: str = "k") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(order_key(seed, *[F.col(k) for k in keys]), *keys)))
+    """df with the place of each row, from 1, in hash order within its group, however large that is."""
+    keyed = df.withColumn("__h", order_key(seed, *[F.col(k) for k in keys]))
+    return ordered.place(keyed, by, ["__h", *keys], out).drop("__h")
 
 
 def ring_draw(df: DataFrame, asked: DataFrame, key: str, group: str, seed: int) -> DataFrame:
@@ -85,13 +88,8 @@ def dense_ids(df: DataFrame, key: str, out: str) -> DataFrame:
 
 def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
     """df, whose values of order are distinct, with each row's 0-based place in that order; numbered as in dense_ids."""
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    path = new_path(df.sparkSession, "numbered")  # written, because the partition numbers must be the same for both of their uses
-    parts.write.parquet(path)
-    written = df.sparkSession.read.schema(parts.schema).parquet(path)
-    local = written.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    before = written.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n"))
-    return local.join(F.broadcast(before), "__part").withColumn(out, F.col("__before") + F.col("__k") - 1).drop("__part", "__k", "__before", "__n")
+    counted = ordered.running(df.withColumn("__one", F.lit(1).cast("long")), [], [order], {out: "__one"})
+    return counted.drop("__one")
 
 
 def resample_counts(df: DataFrame, b: int, n: int, seed: int) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .ranking import average_rank
+from . import ordered
 
 
 def std_or_zero(value) -> Column:
@@ -18,11 +18,11 @@ def std_or_zero(value) -> Column:
 
 
 def auroc(df: DataFrame, by: list[str], score: str, positive: str) -> DataFrame:
-    """(by, auroc) from average ranks: P(positive > other) + P(equal) / 2; null without both kinds."""
-    ranked = df.withColumn("__r", average_rank(by, score))
-    n1, n = F.count_if(F.col(positive)), F.count(F.lit(1))
-    u = F.sum(F.when(F.col(positive), F.col("__r"))) - n1 * (n1 + 1) / 2
-    return ranked.groupBy(*by).agg(F.try_divide(u, (n1 * (n - n1)).cast("double")).alias("auroc"))
+    """(by, auroc) from average ranks: P(positive > other) + P(equal) / 2; null without both kinds. A null score is less than any other."""
+    cells = ordered.tied(df, by, score, pos=F.count_if(F.col(positive)))
+    n1, n = F.sum("pos"), F.sum("n")
+    u = F.sum(F.col("pos") * ordered.average_rank()) - n1 * (n1 + 1) / 2
+    return cells.groupBy(*by).agg(F.try_divide(u, (n1 * (n - n1)).cast("double")).alias("auroc"))
 
 
 def balanced_at_zero(score: Column, positive: Column) -> Column:
@@ -31,9 +31,9 @@ def balanced_at_zero(score: Column, positive: Column) -> Column:
 
 def best_balanced(df: DataFrame, by: list[str], score: str, positive: str, ident: str) -> DataFrame:
     """(by, balanced): the best balanced accuracy over all cuts of the score order, either way round; equal scores are cut in id order."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score), ident).rowsBetween(Window.unboundedPreceding, 0)
-    y = F.col(positive).cast("int")
-    cuts = df.select(*by, F.sum(y).over(w).alias("tp"), F.sum(1 - y).over(w).alias("fp"))
+    y = F.col(positive).cast("long")
+    rows = df.select(*by, score, ident, y.alias("__y"), (1 - y).alias("__z"))
+    cuts = ordered.running(rows, by, [F.desc(score), ident], {"tp": "__y", "fp": "__z"}).select(*by, (F.col("tp") + F.col("__y")).alias("tp"), (F.col("fp") + F.col("__z")).alias("fp"))
     totals = df.groupBy(*by).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
     rate = F.try_divide(F.col("tp"), F.col("p")) / 2 + (1 - F.try_divide(F.col("fp"), F.col("n"))) / 2
     both = cuts.join(totals, by) if by else cuts.crossJoin(F.broadcast(totals))
@@ -41,8 +41,14 @@ def best_balanced(df: DataFrame, by: list[str], score: str, positive: str, ident
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    ranked = df.withColumns({"__x": average_rank(by, x), "__y": average_rank(by, y)})
-    return ranked.groupBy(*by).agg(F.corr("__x", "__y").alias("rho"))
+    """(by, rho) from average ranks of the two columns."""
+    rows = df.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__n"))
+    for value, out in ((x, "__x"), (y, "__y")):
+        rows = ordered.matched(rows, ordered.tied(df, by, value).select(*by, value, ordered.average_rank().alias(out)), [*by, value])
+    middle = rows.groupBy(*by).agg(((F.sum("__n") + 1) / 2).alias("__m"))
+    n, a, b = F.col("__n"), F.col("__x") - F.col("__m"), F.col("__y") - F.col("__m")
+    rows = ordered.matched(rows, middle, by)
+    return rows.groupBy(*by).agg(F.try_divide(F.sum(n * a * b), F.sqrt(F.sum(n * a * a)) * F.sqrt(F.sum(n * b * b))).alias("rho"))
 
 
 def bootstrap_means(units: DataFrame, draws: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
@@ -61,16 +67,12 @@ def two_sided(delta: Column) -> Column:
 
 def signed_ranks(df: DataFrame, by: list[str], delta: str) -> DataFrame:
     """(by, n, w_plus, w_minus, variance) of the signed-rank test; ranks of zeros go half to either side."""
-    ranked = df.withColumn("__a", F.abs(delta)).withColumn("__r", average_rank(by, "__a"))
-    half = F.when(F.col(delta) == 0, 0.5)
-    plus = F.sum(F.col("__r") * F.coalesce(half, F.when(F.col(delta) > 0, 1.0).otherwise(0.0)))
-    minus = F.sum(F.col("__r") * F.coalesce(half, F.when(F.col(delta) < 0, 1.0).otherwise(0.0)))
-    n = F.count(F.lit(1))
-    sums = ranked.groupBy(*by).agg(n.alias("n"), plus.alias("w_plus"), minus.alias("w_minus"))
-    ties = ranked.groupBy(*by, "__a").agg(n.alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    d = F.col(delta)
+    cells = ordered.tied(df.withColumn("__a", F.abs(delta)), by, "__a", up=F.count_if(d > 0), down=F.count_if(d < 0), none=F.count_if(d == 0)).withColumn("__r", ordered.average_rank())
+    t, half = F.col("n"), F.col("none") / 2
+    sums = cells.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("__r") * (F.col("up") + half)).alias("w_plus"), F.sum(F.col("__r") * (F.col("down") + half)).alias("w_minus"), F.sum(t * t * t - t).alias("ties"))
     full = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48
-    joined = sums.join(ties, by) if by else sums.crossJoin(F.broadcast(ties))
-    return joined.withColumn("variance", full).drop("ties")
+    return sums.withColumn("variance", full).drop("ties")
 
 
 @F.pandas_udf(DoubleType())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
-from ..operators import metrics, ranking, sampling, stats
+from ..operators import metrics, ordered, ranking, sampling, stats
 from .base import LAB, SEEDS, labelled, query, r6, rounded, table, values
 
 DOCS = "documents"
@@ -168,8 +168,10 @@ def relational_coverage(spark, d):
 
 @query("lineitem_percentiles", "select l_returnflag, l_linestatus, round(avg(l_quantity), 6) as mean, round(coalesce(stddev_samp(l_extendedprice), 0), 4) as std, round(quantile_cont(l_extendedprice, 0.025), 4) as lo, round(quantile_cont(l_extendedprice, 0.975), 4) as hi, count(*) as n from lineitem group by all")
 def lineitem_percentiles(spark, d):
-    p = lambda q: F.round(F.percentile("l_extendedprice", F.lit(q)), 4)
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(r6(F.avg("l_quantity")).alias("mean"), F.round(stats.std_or_zero("l_extendedprice"), 4).alias("std"), p(0.025).alias("lo"), p(0.975).alias("hi"), F.count("*").alias("n"))
+    by, lines = ["l_returnflag", "l_linestatus"], table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
+    means = lines.groupBy(*by).agg(r6(F.avg("l_quantity")).alias("mean"), F.round(stats.std_or_zero("l_extendedprice"), 4).alias("std"), F.count("*").alias("n"))
+    both = ordered.matched(means, ordered.quantiles(lines, by, "l_extendedprice", {"lo": 0.025, "hi": 0.975}), by, "left")
+    return both.withColumns({c: F.round(c, 4) for c in ("lo", "hi")})
 
 
 # ---- labelled pools ---------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as fv
-from ..operators import metrics, ranking, sampling, stats
+from ..operators import metrics, ordered, ranking, sampling, stats
 from .base import DIR, E, V, query, r6, rounded, table, values, vectors
 from .rerank import direction_row
 
@@ -57,8 +57,7 @@ rank() over (partition by lang order by n_chars) + (count(*) over (partition by
 )
 def rank_position_vs_competition(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", F.col("n_chars").cast("double").alias("s"))
-    pos = ranking.position(["lang"], "s", "doc_id").cast("long")
-    return docs.select("doc_id", "lang", pos.alias("pos"), ranking.competition(["lang"], "s").cast("long").alias("rank"), ranking.average_rank(["lang"], "s").alias("average_rank"), (pos == 1).alias("is_argmax"))
+    return ranking.ranks(docs, ["lang"], "s", "doc_id").select("doc_id", "lang", "pos", "rank", "average_rank", (F.col("pos") == 1).alias("is_argmax"))
 
 
 @query("claim_auroc", f"with {PROJ}, f as (select vec_id % 5 as fold, fact, s from p), {RANKED.format(by='fold', of='f')} select fold, round((sum(r) filter (where fact) - count(*) filter (where fact) * (count(*) filter (where fact) + 1) / 2) / (count(*) filter (where fact) * count(*) filter (where not fact)), 6) as auroc from r group by fold")
@@ -255,8 +254,9 @@ def degenerate_groups(spark, d):
 
 @query("distribution_summary", "select lang, round(avg(n_chars), 6) as mean, round(quantile_cont(n_chars, 0.5), 6) as median, round(quantile_cont(n_chars, 0.1), 6) as p10, round(quantile_cont(n_chars, 0.25), 6) as p25, round(avg((n_chars > 500)::int), 6) as share_long from documents group by lang")
 def distribution_summary(spark, d):
-    docs = table(spark, d, "documents").groupBy("lang").agg(F.avg("n_chars").alias("mean"), F.percentile("n_chars", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.25))).alias("p"), metrics.rate(F.col("n_chars") > 500).alias("share_long"))
-    return docs.select("lang", r6("mean").alias("mean"), *[r6(F.col("p")[k]).alias(n) for k, n in enumerate(("median", "p10", "p25"))], r6("share_long").alias("share_long"))
+    docs = table(spark, d, "documents").select("lang", "n_chars")
+    means = docs.groupBy("lang").agg(r6(F.avg("n_chars")).alias("mean"), r6(metrics.rate(F.col("n_chars") > 500)).alias("share_long"))
+    return ordered.matched(means, rounded(ordered.quantiles(docs, ["lang"], "n_chars", {"median": 0.5, "p10": 0.1, "p25": 0.25}), "median", "p10", "p25"), ["lang"], "left")
 
 
 @query("centred_cosine_membership", f"""with {V}, {E}, {DIR}, mu as (select i, avg(x) as m from e group by i), mv as (select list(m order by i) as mu from mu), s as (select label, (case when label < 5 then 1 when label < 8 then -1 else 0 end)::int as member, list_transform(list_zip(vec, mu), lambda z: z[1] - z[2]) as c from v, mv),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as ft
 from ..functions import vectors as fv
-from ..operators import metrics, probes, providers, sampling, stats
+from ..operators import metrics, ordered, probes, providers, sampling, stats
 from .base import query, r6, rounded, table, values, vectors
 
 
@@ -64,8 +64,9 @@ def chunk_identity(spark, d):
 
 @query("chunk_identity_summary")
 def chunk_identity_summary(spark, d):
-    x = chunk_identity(spark, d)
-    return x.groupBy((F.col("doc_id") % 2).alias("side")).agg(r6(F.avg("identical")).alias("mean"), *[r6(F.percentile("identical", F.lit(q))).alias(n) for n, q in (("median", 0.5), ("p10", 0.1), ("p25", 0.25))], r6(metrics.rate(F.col("identical") > 0.5)).alias("share_over_half"))
+    x = chunk_identity(spark, d).withColumn("side", F.col("doc_id") % 2)
+    means = x.groupBy("side").agg(r6(F.avg("identical")).alias("mean"), r6(metrics.rate(F.col("identical") > 0.5)).alias("share_over_half"))
+    return ordered.matched(means, rounded(ordered.quantiles(x, ["side"], "identical", {"median": 0.5, "p10": 0.1, "p25": 0.25}), "median", "p10", "p25"), ["side"], "left")
 
 
 @query("provider_embed")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as fv
-from ..operators import metrics, ranking, rerank, sampling, stats
+from ..operators import metrics, ordered, ranking, rerank, sampling, stats
 from ..sources import scratch
 from .base import ALPHAS, DIR, KS, LAYER_WIDTH, LAYERS, SEEDS, WIDTH, E, V, query, r6, rounded, values, vectors
 
@@ -455,7 +455,7 @@ round(least(1, 2 * least(avg((delta <= 0)::int), avg((delta >= 0)::int))), 6) as
 )
 def pool_rank_v2(spark, d):
     ranks = pool_ranks(pool_scores(spark, d))
-    units = ranks.withColumn("idx", F.dense_rank().over(Window.orderBy("pool")) - 1).withColumn("rr", 1.0 / F.col("rank"))
+    units = ranks.join(sampling.dense_ids(ranks, "pool", "idx"), "pool").withColumn("rr", 1.0 / F.col("rank"))
     n = ranks.agg(F.count_distinct("pool")).first()[0]
     draws = sampling.resample_counts(ranks, 200, n, 13)
     means = stats.bootstrap_means(units, draws, ["alpha10"], "rr", n)
@@ -473,6 +473,7 @@ d as (select seed, i, avg(x) filter (where pos) - avg(x) filter (where not pos)
 def null_permutation(spark, d):
     v = vectors(spark, d)
     n = v.agg(F.count_if("fact").alias("n"))
-    drawn = v.crossJoin(F.broadcast(values(spark, (1, 2, 3), "seed int")))
-    pseudo = drawn.withColumn("k", F.row_number().over(Window.partitionBy("seed").orderBy(sampling.order_key(F.col("seed"), F.col("vec_id")), "vec_id"))).crossJoin(F.broadcast(n)).withColumn("pos", F.col("k") <= F.col("n"))
+    drawn = v.select("vec_id").crossJoin(F.broadcast(values(spark, (1, 2, 3), "seed int"))).withColumn("h", sampling.order_key(F.col("seed"), F.col("vec_id")))
+    placed = ordered.place(drawn, ["seed"], ["h", "vec_id"], "k").crossJoin(F.broadcast(n))  # one row
+    pseudo = placed.select("seed", "vec_id", (F.col("k") <= F.col("n")).alias("pos")).join(v, "vec_id")
     return fv.mean_difference(pseudo, "vec", F.col("pos"), ["seed"]).groupBy("seed").agg(r6(F.sqrt(F.sum(F.col("v") * F.col("v")))).alias("norm"))
