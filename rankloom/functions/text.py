@@ -37,31 +37,36 @@ def first_span(*spans: Column) -> Column:
     return F.coalesce(*spans)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is evaluated once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches_long(answer: Column, aliases: Column) -> Column:
     """Any alias of at least 4 characters, trimmed, is contained; case doesn't count."""
-    return F.exists(aliases, lambda a: (F.length(F.trim(a)) >= 4) & F.contains(F.lower(answer), F.lower(F.trim(a))))
+    return let(F.lower(answer), lambda t: F.exists(aliases, lambda a: (F.length(F.trim(a)) >= 4) & F.contains(t, F.lower(F.trim(a)))))
 
 
 def matches_first3(answer: Column, aliases: Column) -> Column:
     """Any of the first three aliases that isn't blank is contained; case doesn't count."""
-    return F.exists(F.slice(aliases, 1, 3), lambda a: (F.trim(a) != "") & F.contains(F.lower(answer), F.lower(F.trim(a))))
+    return let(F.lower(answer), lambda t: F.exists(F.slice(aliases, 1, 3), lambda a: (F.trim(a) != "") & F.contains(t, F.lower(F.trim(a)))))
 
 
 def matches_any(answer: Column, aliases: Column) -> Column:
     """Any alias is contained, an empty one always; case doesn't count."""
-    return F.exists(aliases, lambda a: F.contains(F.lower(answer), F.lower(a)))
+    return let(F.lower(answer), lambda t: F.exists(aliases, lambda a: F.contains(t, F.lower(a))))
 
 
 def matches_bounded(answer: Column, golds: Column) -> Column:
     """Short or numeric golds as whole words, others as parts; case and white space squeezed."""
-    text = squeeze(answer)
 
-    def one(g):
-        g = squeeze(g)
+    def one(text, g):
         short = (F.length(g) < 4) | g.rlike("^[0-9.,]+$")
-        return (g != "") & F.when(short, F.regexp_like(text, F.concat(F.lit("(^|[^a-z0-9_])"), escaped(g), F.lit("($|[^a-z0-9_])")))).otherwise(F.contains(text, g))
+        # the pattern is tried only where the gold is contained at all
+        whole = F.contains(text, g) & F.regexp_like(text, F.concat(F.lit("(^|[^a-z0-9_])"), escaped(g), F.lit("($|[^a-z0-9_])")))
+        return (g != "") & F.when(short, whole).otherwise(F.contains(text, g))
 
-    return F.exists(golds, one)
+    return let(squeeze(answer), lambda t: F.exists(F.transform(golds, squeeze), lambda g: one(t, g)))
 
 
 def first_number(t: Column) -> Column:
@@ -91,17 +96,29 @@ def n_words(t: Column) -> Column:
     return F.size(words(t))
 
 
-def pack(parts: Column, most: int) -> Column:
-    """Runs of parts joined by a space, each of at most so many words; a part is never split."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
+#: Chunk starts that are kept in one array while packing, so that none grows with the text.
+STARTS = 256
 
-    def step(acc, part):
-        n = n_words(part)
-        fits = (acc["n"] == 0) | (acc["n"] + n <= most)
-        grown = F.struct(acc["done"].alias("done"), F.when(acc["n"] == 0, part).otherwise(F.concat(acc["now"], F.lit(" "), part)).alias("now"), (acc["n"] + n).alias("n"))
-        return F.when(fits, grown).otherwise(F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), part.alias("now"), n.alias("n")))
 
-    return F.aggregate(parts, start, step, lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
+def pack(parts: Column, most: int) -> Column:
+    """Runs of parts joined by a space, each of at most so many words; a part is never split. Parts have single spaces, as sentences() gives them."""
+    none = F.array().cast("array<int>")
+    start = F.struct(F.array().cast("array<array<int>>").alias("full"), none.alias("starts"), F.lit(0).alias("used"), F.lit(0).alias("i"))
+
+    def step(acc, n):
+        opens = (acc["i"] == 0) | (acc["used"] + n > most)
+        is_full = F.size(acc["starts"]) >= STARTS
+        here = F.array(acc["i"] + 1)
+        full = F.when(opens & is_full, F.concat(acc["full"], F.array(acc["starts"]))).otherwise(acc["full"])
+        starts = F.when(~opens, acc["starts"]).when(is_full, here).otherwise(F.concat(acc["starts"], here))
+        return F.struct(full.alias("full"), starts.alias("starts"), F.when(opens, n).otherwise(acc["used"] + n).alias("used"), (acc["i"] + 1).alias("i"))
+
+    def cut(p):
+        sizes = F.transform(p, lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+        found = F.aggregate(sizes, start, step, lambda acc: F.concat(F.flatten(acc["full"]), acc["starts"]))
+        return let(found, lambda s: F.transform(s, lambda a, k: F.array_join(F.slice(p, a, F.coalesce(F.get(s, k + 1), F.size(p) + 1) - a), " ")))
+
+    return let(parts, cut)
 
 
 def html_text(t: Column) -> Column:

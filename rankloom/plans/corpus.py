@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
-from ..operators import metrics, ordered, ranking, sampling, stats
+from ..operators import metrics, needles, ordered, ranking, sampling, stats
 from .base import LAB, SEEDS, labelled, query, r6, rounded, table, values
 
 DOCS = "documents"
@@ -304,10 +304,10 @@ def _span_sql(fold: bool) -> str:
 
 @query("entity_span", f"with s as (select doc_id, coalesce(case when lang = 'en' then {_span_sql(False)} end, {_span_sql(True)}) as b from documents) select doc_id, b.s as start, b.s + b.l as \"end\" from s")
 def entity_span(spark, d):
-    needles = F.array(*map(F.lit, NEEDLES))
-    plain, folded = ft.earliest_span(F.col("text"), needles), ft.earliest_span(F.col("text"), needles, fold=True)
-    rows = docs(spark, d).select("doc_id", ft.first_span(F.when(F.col("lang") == "en", plain), folded).alias("b"))
-    return rows.select("doc_id", F.col("b.start").cast("long").alias("start"), F.col("b.end").cast("long").alias("end"))
+    rows = needles.first_spans(docs(spark, d).select("doc_id", "lang", "text"), F.col("text"), NEEDLES, "plain")
+    rows = needles.first_spans(rows.select("doc_id", "lang", "text", "plain"), F.lower("text"), [n.lower() for n in NEEDLES], "folded")
+    rows = rows.select("doc_id", ft.first_span(F.when(F.col("lang") == "en", F.col("plain")), F.col("folded")).alias("b"))
+    return rows.select("doc_id", F.col("b.start").alias("start"), F.col("b.end").alias("end"))
 
 
 ALIASES = ["pol", " these ", "", "The", "éan", "42", "an"]
@@ -322,24 +322,23 @@ select lang, count(*) as n, count(*) filter (where len(list_filter(al, lambda x:
 count(*) filter (where len(list_filter(al, lambda x: contains(lower(t), lower(x)))) > 0) as any_alias, count(*) filter (where regexp_matches(sq, '(^|[^a-z0-9_])(pol|the|éan|42|an)($|[^a-z0-9_])') or contains(sq, 'these')) as bounded from a group by lang""",
 )
 def answer_match_family(spark, d):
-    t, al = F.col("text"), F.array(*map(F.lit, ALIASES))
-    hits = {"long": ft.matches_long, "first3": ft.matches_first3, "any_alias": ft.matches_any, "bounded": ft.matches_bounded}
-    return docs(spark, d).groupBy("lang").agg(F.count("*").alias("n"), *[F.count_if(f(t, al)).alias(n) for n, f in hits.items()])
+    lower, trimmed = [a.lower() for a in ALIASES], [a.lower().strip() for a in ALIASES]
+    rules = {
+        "long": ("folded", [(a, False) for a in trimmed if len(a) >= 4]),
+        "first3": ("folded", [(a, False) for a in trimmed[:3] if a]),
+        "any_alias": ("folded", [(a, False) for a in lower]),
+        "bounded": ("squeezed", [(a, len(a) < 4 or a.strip("0123456789.,") == "") for a in trimmed if a]),
+    }
+    rows = docs(spark, d).select("lang", "text")
+    marked = needles.flags(rows.select("lang", "text"), {"folded": F.lower("text"), "squeezed": ft.squeeze(F.col("text"))}, rules)
+    return marked.groupBy("lang").agg(F.count("*").alias("n"), *[F.count_if(r).alias(r) for r in rules])
 
 
 @query("benchmark_containment", "select d.doc_id, b.item_id from documents d join benchmark b on contains(lower(d.text), lower(b.text))")
 def benchmark_containment(spark, d):
-    """Documents that contain a whole item. The words inside an item are whole words of such a document, so documents and items first meet on the item's second and third word; only
-    items without two inner words are held against every document."""
-    items = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("item")).withColumn("w", F.split("item", " "))
-    items = items.withColumn("key", F.when(F.size("w") >= 4, F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2))))).drop("w")
-    rows = docs(spark, d).select("doc_id", F.lower("text").alias("text"))
-    words = F.split("text", " ")
-    pairs = F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y)))
-    met = rows.select("doc_id", F.explode(pairs).alias("key")).join(items.where("key is not null"), "key").select("doc_id", "item_id", "item")
-    found = rows.join(met, "doc_id").where(F.contains("text", "item")).select("doc_id", "item_id")
-    bare = rows.join(items.where("key is null"), F.contains("text", "item")).select("doc_id", "item_id")
-    return found.union(bare).distinct()
+    """Documents that contain a whole item; each text is read once for all items."""
+    items = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("item"))
+    return needles.contained(docs(spark, d).select("doc_id", F.lower("text").alias("text")), items).distinct()
 
 
 _NUM = "try_cast(nullif(replace(regexp_extract({t}, '[-+]?[0-9][0-9,]*(?:[.][0-9]+)?'), ',', ''), '') as double)"
