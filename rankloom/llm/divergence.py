@@ -21,6 +21,8 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,11 +34,11 @@ LEAST_DOCS = 3
 SCALE = 1_000_000_000
 TOP = 200
 #: Bytes of text after which a chunk is closed, and those that all open chunks of a task hold together.
-CHUNK, OPEN = 4 << 20, 16 << 20
+CHUNK, OPEN = 16 << 20, 32 << 20
 #: Sources of one block of a language, on average.
 BLOCK = 64
-#: Pairs of blocks whose sums a task holds at once.
-HELD = 64
+#: Pairs of postings that a task holds at once.
+PAIRS = 1 << 20
 #: What a UTF-8 byte becomes: letters of terms stay, A-Z in lower case, all else is the delimiter.
 _FOLD = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -60,13 +62,13 @@ class _Chunk:
 
 def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("sources", pa.list_(pa.string())), ("texts", pa.list_(pa.binary())), ("terms", pa.list_(pa.string())), ("dfs", pa.list_(pa.int64()))])
-    made, chunks = TaskContext.get().partitionId() << 32, defaultdict(_Chunk)
+    made, chunks, packed = TaskContext.get().partitionId() << 32, defaultdict(_Chunk), zstandard.ZstdCompressor()
 
     def closed(lang: str) -> pa.RecordBatch:
         nonlocal made
         c = chunks.pop(lang)
         terms = [t.decode("utf-8", "replace") for t in c.df]
-        row = {"chunk": made, "lang": lang, "sources": list(c.texts), "texts": [b" ".join(x) for x in c.texts.values()], "terms": terms, "dfs": list(c.df.values())}
+        row = {"chunk": made, "lang": lang, "sources": list(c.texts), "texts": [packed.compress(b" ".join(x)) for x in c.texts.values()], "terms": terms, "dfs": list(c.df.values())}
         made += 1
         return pa.RecordBatch.from_pylist([row], schema)
 
@@ -84,35 +86,33 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of the kept terms of each chunk, by source."""
+    packed = zstandard.ZstdDecompressor()
     for b in batches:
         for lang, sources, texts, terms in zip(*(b.column(c) for c in ("lang", "sources", "texts", "kept"))):
-            terms, lang = terms.as_py(), lang.as_py()
-            if not terms:
-                continue
             automaton = ahocorasick.Automaton()
-            for k, t in enumerate(terms):
+            for k, t in enumerate(terms.as_py()):
                 automaton.add_word(f" {t} ", k)
             automaton.make_automaton()
-            for source, text in zip(sources.as_py(), texts.as_py()):
+            for source, text in zip(sources.values, texts.values):
                 # a delimiter belongs to the term before it and to that after it, as matches may overlap
-                hits = np.fromiter(map(itemgetter(1), automaton.iter(f" {text.decode('utf-8', 'replace')} ")), np.int64)
-                n = np.bincount(hits, minlength=len(terms))
+                text = packed.decompress(text.as_py()).decode("utf-8", "replace")
+                n = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(f" {text} ")), np.int64), minlength=len(terms))
                 at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), pa.array([terms[k] for k in at], pa.string()), pa.array(n[at])], ["lang", "source", "term", "n"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(at)), pa.repeat(source, len(at)), terms.values.take(pa.array(at)), pa.array(n[at])], ["lang", "source", "term", "n"])
 
 
 def vocabulary(chunks: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, term) of the terms in at least so many documents of their language."""
     each = chunks.select("lang", F.explode(F.arrays_zip("terms", "dfs")).alias("x")).select("lang", F.col("x.terms").alias("term"), F.col("x.dfs").alias("df"))
-    return each.groupBy("lang", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= least_docs).select("lang", "term")
+    return each.groupBy("term", "lang").agg(F.sum("df").alias("df")).where(F.col("df") >= least_docs).select("lang", "term")
 
 
 def postings(chunks: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, term, n) for n > 0."""
-    here = chunks.select("chunk", "lang", F.explode("terms").alias("term")).join(kept, ["lang", "term"])
+    here = chunks.select("chunk", "lang", F.explode("terms").alias("term")).join(kept, ["term", "lang"])
     of_chunk = here.groupBy("chunk").agg(F.collect_list("term").alias("kept"))  # no more than the chunk's own terms
     counted = chunks.select("chunk", "lang", "sources", "texts").join(of_chunk, "chunk").select("lang", "sources", "texts", "kept").mapInArrow(_recount, "lang string, source string, term string, n long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    return counted.groupBy("term", "source", "lang").agg(F.sum("n").alias("n"))
 
 
 def _per_mille(n: Column, total: Column, v: Column) -> Column:
@@ -129,77 +129,95 @@ def _gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // q
 
 
-def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over the terms that both sources of a pair have of what the sums over either alone get wrong."""
-    names = ["lang", "source", "item", "value"]
-    held: dict[tuple, tuple[dict, dict, np.ndarray]] = {}
-
-    def told(key: tuple) -> pa.RecordBatch:
-        rows, columns, sums = held.pop(key)
-        sums = sums[: len(rows), : len(columns)]
-        a, b = np.nonzero(sums)
-        r, c = pa.array(list(rows), pa.string()), pa.array(list(columns), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(a), pa.string()), r.take(pa.array(a)), c.take(pa.array(b)), pa.array(sums[a, b])], names)
-
-    for b in batches:
-        for lang, ba, bb, left, right in zip(*(b.column(c).to_pylist() for c in ("lang", "block", "other", "left", "right"))):
-            key = (lang, ba, bb)
-            if key not in held:
-                if len(held) >= HELD:
-                    yield told(next(iter(held)))
-                held[key] = ({}, {}, np.zeros((0, 0), np.int64))
-            rows, columns, sums = held[key]
-            i = [rows.setdefault(x["source"], len(rows)) for x in left]
-            j = [columns.setdefault(x["source"], len(columns)) for x in right]
-            if len(rows) > sums.shape[0] or len(columns) > sums.shape[1]:
-                more = np.zeros((2 * len(rows), 2 * len(columns)), np.int64)
-                more[: sums.shape[0], : sums.shape[1]] = sums
-                sums, held[key] = more, (rows, columns, more)
-            p, p0 = (np.array([x[c] for x in left], np.int64)[:, None] for c in ("p", "p0"))
-            q, q0 = (np.array([x[c] for x in right], np.int64)[None, :] for c in ("p", "p0"))
-            sums[np.ix_(i, j)] += _gaps(p, q) - _gaps(p, q0) - _gaps(p0, q) + _gaps(p0, q0)
-    for key in list(held):
-        yield told(key)
+def _compared(top: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows of one term's postings in two blocks of sources: for each pair, the sum over its common terms of what the sums over either alone get
+        wrong; and of each group's own terms the best, as many as can be among the first of all."""
+        for b in batches:
+            found, lists = b.column("found"), b.column("found").values
+            sizes = np.diff(found.offsets.to_numpy())
+            row = np.repeat(np.arange(b.num_rows), sizes)
+            lists = lists.slice(found.offsets[0].as_py(), len(row))
+            block, p, p0, q = (lists.field(k).to_numpy() for k in (0, 2, 3, 4))
+            i, j = (b.column(c).to_numpy()[row] for c in ("i", "j"))
+            langs, sources = (x.dictionary_encode() for x in (b.column("lang"), lists.field(1)))
+            n_sources = max(1, len(sources.dictionary))
+            group = langs.indices.to_numpy()[row].astype(np.int64) * n_sources + sources.indices.to_numpy()
+
+            def told(part: str, group: np.ndarray, items: pa.Array, value: np.ndarray) -> pa.RecordBatch:
+                arrays = [langs.dictionary.take(pa.array(group // n_sources)), sources.dictionary.take(pa.array(group % n_sources)), pa.repeat(part, len(group)), items, pa.array(value)]
+                return pa.RecordBatch.from_arrays(arrays, ["lang", "source", "part", "item", "value"])
+
+            own = np.flatnonzero((i == j) & (p > q))
+            value = _gaps(p[own], q[own])
+            by_bytes = np.empty(b.num_rows, np.int64)
+            by_bytes[pc.sort_indices(b.column("term")).to_numpy()] = np.arange(b.num_rows)
+            order = np.lexsort((by_bytes[row[own]], -value, group[own]))
+            begin = np.flatnonzero(np.diff(group[own][order], prepend=-1))
+            within = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+            best = order[within < top]
+            yield told("term", group[own][best], b.column("term").take(pa.array(row[own][best])), value[best])
+
+            ends = np.cumsum(sizes)
+            squares = np.cumsum(sizes * sizes)
+            first = 0
+            while first < b.num_rows:  # rows whose pairs are held together
+                last = max(first + 1, int(np.searchsorted(squares, (squares[first - 1] if first else 0) + PAIRS, "right")))
+                d = sizes[first:last]
+                begin = ends[first:last] - d
+                left = np.repeat(np.arange(begin[0], ends[last - 1]), np.repeat(d, d))
+                right = np.arange(len(left)) - np.repeat(np.cumsum(d * d) - d * d, d * d)
+                right = right % np.repeat(d, d * d) + np.repeat(begin, d * d)
+                on = (left != right) & ((i[left] == j[left]) | (block[left] != block[right]))
+                left, right = left[on], right[on]
+                gaps = _gaps(p[left], p[right]) - _gaps(p[left], p0[right]) - _gaps(p0[left], p[right]) + _gaps(p0[left], p0[right])
+                pairs, at = np.unique(group[left] * n_sources + group[right] % n_sources, return_inverse=True)
+                sums = np.zeros(len(pairs), np.int64)
+                np.add.at(sums, at, gaps)
+                yield told("pair", pairs // n_sources, sources.dictionary.take(pa.array(pairs % n_sources)), sums)
+                first = last
+
+    return run
 
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank): pairs of sources in whole, terms to the rank top."""
-    spark = ship(docs.sparkSession)
+    ship(docs.sparkSession)
     text, lang, source = (F.coalesce(docs[c].cast("string"), F.lit("")) for c in (text_col, lang_col, source_col))
     chunks = common.cut(docs.select(lang.alias("lang"), source.alias("source"), text.alias("text")).mapInArrow(_chunk_batches, _CHUNKS), "chunks")
     kept = common.cut(vocabulary(chunks, least_docs), "vocabulary")
     found = common.cut(postings(chunks, kept), "postings")
 
+    # one row a group, with its totals and its language's, and the p of a term that it doesn't have
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
-    groups = chunks.select("lang", F.explode("sources").alias("source")).distinct()
-    totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    # one row a group, with the p of a term that it doesn't have
-    groups = groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "v"])
-    groups = common.cut(groups.withColumn("p0", F.when(F.col("v") > 0, _per_mille(F.lit(0), F.col("total"), F.col("v")))), "groups")
-    scored = common.cut(found.join(groups, ["lang", "source"]).withColumn("p", _per_mille(F.col("n"), F.col("total"), F.col("v"))).select("lang", "source", "term", "n", "p", "p0"), "scored")
-
-    whole = found.groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    of_lang = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.first("v").alias("v"), F.count("*").alias("sources"))
-    q = whole.join(of_lang, "lang").select("lang", "term", _per_mille(F.col("n"), F.col("total"), F.col("v")).alias("q"))
-    terms = scored.join(q, ["lang", "term"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    terms = terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    groups = chunks.select("lang", F.explode("sources").alias("source")).distinct().join(found.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
+    groups = common.cut(groups.join(sizes, "lang", "left").na.fill(0, ["total", "v"]), "sources")
+    common.drop_cut(chunks)
+    whole = groups.groupBy("lang").agg(F.sum("total").alias("of_lang"), F.count("*").alias("sources"))
+    groups = common.cut(groups.join(whole, "lang").withColumn("p0", F.when(F.col("v") > 0, _per_mille(F.lit(0), F.col("total"), F.col("v")))), "groups")
+    scored = found.join(groups, ["lang", "source"]).withColumn("p", _per_mille(F.col("n"), F.col("total"), F.col("v")))
 
     # every ordered pair of one language's sources is a row of the result
     a = groups.select("lang", "source", "v", "p0")
     pairs = a.join(groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0")), "lang").where("source <> item")
     base = pairs.select("lang", "source", "item", F.when(F.col("v") > 0, F.col("v") * _gap(F.col("p0"), F.col("q0"))).otherwise(0).alias("value"))
     # a source's postings enter by their count alone
-    counts = scored.groupBy("lang", "source", "p").agg(F.count("*").alias("terms"))
+    counts = common.cut(scored.groupBy("lang", "source", "p").agg(F.count("*").alias("terms")), "counts")
     mine = counts.join(pairs, ["lang", "source"]).groupBy("lang", "source", "item").agg(F.sum(F.col("terms") * (_gap(F.col("p"), F.col("q0")) - _gap(F.col("p0"), F.col("q0")))).alias("value"))
     other = counts.withColumnRenamed("source", "item").join(pairs, ["lang", "item"]).groupBy("lang", "source", "item").agg(F.sum(F.col("terms") * (_gap(F.col("p0"), F.col("p")) - _gap(F.col("p0"), F.col("q0")))).alias("value"))
-    block = F.pmod(F.xxhash64("source"), F.ceil(F.col("sources") / BLOCK))
-    blocks = scored.join(of_lang.select("lang", "sources"), "lang").groupBy("lang", "term", block.alias("block")).agg(F.collect_list(F.struct("source", "p", "p0")).alias("left"))
-    blocks = common.cut(blocks, "blocks")
-    both = blocks.join(blocks.select("lang", "term", F.col("block").alias("other"), F.col("left").alias("right")), ["lang", "term"]).select("lang", "block", "other", "left", "right")
-    both = both.mapInArrow(_pair_batches, "lang string, source string, item string, value long").where("source <> item")
-    summed = base.unionByName(mine).unionByName(other).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    ranked = summed.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", F.row_number().over(order))
+    # each term's sources in blocks, and a row for each two blocks; a language of few sources has one
+    of_term = F.sum("n").over(Window.partitionBy("term", "lang"))
+    blocks = F.ceil(F.col("sources") / BLOCK)
+    block, each = F.pmod(F.xxhash64("source"), blocks).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")
+    dealt = scored.withColumn("q", _per_mille(of_term, F.col("of_lang"), F.col("v"))).select("term", "lang", "source", "p", "p0", "q", block, each)
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    rows = dealt.groupBy("term", "lang", "i", "j").agg(F.collect_list(F.struct("block", "source", "p", "p0", "q")).alias("found")).where("i = j or size(found) > 1")
+    both = common.cut(rows.mapInArrow(_compared(top), "lang string, source string, part string, item string, value long"), "compared")
+
+    summed = base.unionByName(mine).unionByName(other).unionByName(both.where("part = 'pair'").drop("part")).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
+    ranked = summed.withColumn("part", F.lit("pair")).withColumn("rank", F.row_number().over(order))
+    terms = both.where("part = 'term'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.unionByName(terms).select("lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank"))
 
 
