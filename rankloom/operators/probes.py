@@ -45,22 +45,22 @@ def out_of_fold(df: DataFrame, vec: str, label: str, key: str, k: int = 5, seed:
 
 
 def lexical_model(min_df: int = 2) -> Pipeline:
-    """TF-IDF of word 1- and 2-grams, rows of length 1, and a logistic regression."""
+    """TF-IDF of all word 1- and 2-grams in at least min_df texts, rows of length 1, and a logistic regression; the driver holds the vocabulary, as it does the weights."""
     words = SQLTransformer(statement="select *, filter(split(lower(text), '[^\\\\p{L}\\\\p{N}]+'), w -> w <> '') as words from __THIS__")
     both = SQLTransformer(statement="select *, concat(words, pairs) as grams from __THIS__")
-    return Pipeline(stages=[words, NGram(n=2, inputCol="words", outputCol="pairs"), both, CountVectorizer(minDF=min_df, vocabSize=1 << 15, inputCol="grams", outputCol="tf"), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features"), LogisticRegression(maxIter=30, regParam=0.01)])
+    return Pipeline(stages=[words, NGram(n=2, inputCol="words", outputCol="pairs"), both, CountVectorizer(minDF=min_df, vocabSize=(1 << 31) - 1, inputCol="grams", outputCol="tf"), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features"), LogisticRegression(maxIter=30, regParam=0.01, weightCol="weight")])
 
 
 def length_model() -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=["len"], outputCol="features"), LogisticRegression(maxIter=30)])
+    return Pipeline(stages=[VectorAssembler(inputCols=["len"], outputCol="features"), LogisticRegression(maxIter=30, weightCol="weight")])
 
 
-def floor(df: DataFrame, model: Pipeline, key: str, k: int = 2, seed: int = 42) -> DataFrame:
-    """(auroc) of out-of-fold scores of a text model over (key, text, len, label)."""
+def floor(df: DataFrame, model: Pipeline, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """(auroc) of out-of-fold scores of a text model over (key, text, len, label); both classes weigh alike in every fit."""
     rows = sampling.folds(df, "label", key, seed, k)
     out = None
     for fold in range(k):
-        fitted = model.fit(rows.where(F.col("fold") != fold))
+        fitted = model.fit(weighted(rows.where(F.col("fold") != fold), "label"))
         part = fitted.transform(rows.where(F.col("fold") == fold)).select((F.col("label") > 0).alias("y"), vector_to_array("probability")[1].alias("score"))
         out = part if out is None else out.union(part)
     return stats.auroc(out, [], "score", "y")

@@ -43,8 +43,14 @@ def per_text(df: DataFrame, column: str, provider: Callable[[list[str]], list],
 
 
 def generate(df: DataFrame, prompt: str, provider: Callable[[list[str]], list[str]], cache: DataFrame | None = None) -> DataFrame:
-    """df with answer: one call for each distinct prompt."""
-    return df.join(per_text(df, prompt, provider, "answer", "string", cache), prompt)
+    """df with answer: one call for each distinct prompt; the answer to a null prompt is null."""
+    return with_result(df, prompt, per_text(df, prompt, provider, "answer", "string", cache))
+
+
+def with_result(df: DataFrame, column: str, results: DataFrame) -> DataFrame:
+    """df with the results (column, ...) of its texts; they meet by digest, so texts are shuffled no more. Rows with a null text stay, without a result."""
+    keyed = results.withColumn("__key", F.sha2(column, 256)).drop(column)
+    return df.withColumn("__key", F.sha2(column, 256)).join(keyed, "__key", "left").drop("__key")
 
 
 def echo_digest(prompts: list[str]) -> list[str]:

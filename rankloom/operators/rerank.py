@@ -8,12 +8,14 @@ twice, never shuffled: the first pass gives each query's moments and its two tar
 other), the second counts the documents ahead of the targets, or keeps the first k. What is shuffled has one row, or k, a task and
 combination. Only one block at a time is on the driver.
 
-Documents are (vec_id, vec, fact). Rows with a null id or vector take no part; a null side is neither the query's nor the other.
+Documents are (vec_id, vec, fact). Rows with a null id take no part, nor do those whose vector is null, holds a component that is null or not
+finite, or has another length than the directions; a null side is neither the query's nor the other.
 A flat group has no z-score: nothing is ahead of anything in it. Queries without a target on either side have no record.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,12 +41,13 @@ def _slices(batches: Iterator[pa.RecordBatch]):
             yield part.column(0).to_numpy(), unit, v, part.column(2).cast(pa.int8()).fill_null(-1).to_numpy()
 
 
-def _corpus(docs: DataFrame) -> DataFrame:
+def _corpus(docs: DataFrame, width: int) -> DataFrame:
     """The rows that take part."""
-    return docs.where("vec_id is not null and vec is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "vec", "fact")
+    finite = F.forall("vec", lambda x: F.coalesce(F.abs(x) <= sys.float_info.max, F.lit(False)))  # not so for NaN either, which is larger than any number
+    return docs.where(F.col("vec_id").isNotNull() & (F.size("vec") == width) & finite).select(F.col("vec_id").cast("long").alias("vec_id"), "vec", "fact")
 
 
-def _blocks(queries: DataFrame, numbers: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(queries: DataFrame, width: int, numbers: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, unit vectors, sides) of the queries, `numbers` being what one query takes; streamed, so that the driver holds one block."""
     size, held = max(1, ranking.BROADCAST_NUMBERS // max(1, numbers)), []
 
@@ -52,7 +55,7 @@ def _blocks(queries: DataFrame, numbers: int) -> Iterator[tuple[np.ndarray, np.n
         v = np.array([r[1] for r in held], float)
         return np.array([r[0] for r in held], np.int64), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300), np.array([-1 if r[2] is None else int(r[2]) for r in held], np.int8)
 
-    for r in _corpus(queries).toLocalIterator():
+    for r in _corpus(queries, width).toLocalIterator():
         held.append(r)
         if len(held) == size:
             yield block()
@@ -188,9 +191,10 @@ def _keep_first(shared, directions, centre, scale, alphas, k):
 
 def _each_block(docs: DataFrame, queries: DataFrame, directions, alphas, numbers: int, finish: Callable, schema: str) -> DataFrame:
     """finish(corpus, shared, directions, centre, scale) of every block; of several blocks each is written before the next is read."""
-    spark, corpus, directions = docs.sparkSession, _corpus(docs), np.asarray(directions, float)
+    spark, directions = docs.sparkSession, np.asarray(directions, float)
+    corpus, width = _corpus(docs, directions.shape[1]), directions.shape[1]
     out, path = None, None
-    for ids, m, sides in _blocks(queries, numbers):
+    for ids, m, sides in _blocks(queries, width, numbers):
         if out is not None:
             path = path or scratch.new_path(spark, "rerank")
             out.write.mode("append").parquet(path)

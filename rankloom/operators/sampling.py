@@ -15,12 +15,12 @@ def order_key(seed, *keys: Column) -> Column:
 
 
 def grouped_split(df: DataFrame, key: str, seed: int, fraction: float = 0.8) -> DataFrame:
-    """df with split: floor(fraction * keys) of the distinct keys, in hash order, are train; no key is on both sides."""
+    """df with split: floor(fraction * keys) of the distinct keys, in hash order, are train; no key is on both sides. Null is a key."""
     keys = df.select(key).distinct()
     n = keys.agg(F.count("*").alias("n"))
     ranked = in_whole_order(keys, seed, key, out="__k").crossJoin(F.broadcast(n))  # one row
     split = ranked.select(key, F.when(F.col("__k") <= F.floor(fraction * F.col("n")), "train").otherwise("test").alias("split"))
-    return df.join(split, key)
+    return ordered.matched(df, split, [key])
 
 
 def in_whole_order(df: DataFrame, seed, key: str, out: str = "k") -> DataFrame:

@@ -403,29 +403,13 @@ def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", ft.html_text(F.col("html")).alias("text"))
 
 
-@query(
-    "html_shortlist",
-    f"""with recursive src as (select page_id as id, {_HTML} as t from pages), {_PACK.format(sents=_SENTS.format(t='t'), most=40)},
-q as (select item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) as qw from benchmark where item_id % 20 = 0),
-sc as (select item_id, id, chunk, text, len(list_intersect(qw, list_distinct(string_split(lower(text), ' '))))::double / len(qw) as s from ch, q)
-select item_id, id as page_id, chunk, round(s, 6) as score, row_number() over (partition by item_id order by round(s, 9) desc, id * 1000 + chunk) as pos, md5(array_to_string(list_filter(string_split(text, ' '), lambda w: w <> '')[1:20], ' ')) as head from sc qualify pos <= 5""",
-)
-def html_shortlist(spark, d):
-    chunks = table(spark, d, "pages").select("page_id", F.posexplode(ft.pack(ft.sentences(ft.html_text(F.col("html"))), 40)).alias("chunk", "text")).withColumn("id", F.col("page_id") * 1000 + F.col("chunk"))
-    # the queries: every twentieth item of the benchmark, which is a fixed set; Spark checks its size
-    asked = table(spark, d, "benchmark").where("item_id % 20 = 0").select("item_id", F.array_distinct(ft.words(F.lower("text"))).alias("qw"))
-    scored = chunks.crossJoin(asked).withColumn("s", F.size(F.array_intersect("qw", F.split(F.lower("text"), " "))) / F.size("qw").cast("double"))
-    top = ranking.top_k(scored, ["item_id"], "s", "id", 5)
-    return top.select("item_id", "page_id", "chunk", r6("s").alias("score"), F.col("pos").cast("long").alias("pos"), F.md5(ft.head_words(F.col("text"), 20)).alias("head"))
-
-
 # ---- prompts and providers --------------------------------------------------------------------------------------
 
 _PROMPT = "concat('Documents:' || chr(10) || '[1] ', text, chr(10) || chr(10) || 'Question: ', lang, '?' || chr(10) || 'Answer:')"
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", "lang", "text", ft.prompt(F.array("text"), F.concat("lang", F.lit("?"))).alias("prompt"))
+    return docs(spark, d).select("doc_id", "lang", "text", ft.prompt(F.array(F.coalesce("text", F.lit(""))), F.concat(F.coalesce("lang", F.lit("")), F.lit("?"))).alias("prompt"))
 
 
 @query("prompt_dedup_generate", f"with p as (select doc_id, lang, {_PROMPT} as prompt from documents), g as (select prompt, 'answer ' || substr(sha256(prompt), 1, 8) as answer from (select distinct prompt from p)) select doc_id, answer, sha256(prompt) as key from p join g using (prompt)")

@@ -73,21 +73,15 @@ def chunk_identity_summary(spark, d):
 def provider_embed(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     made = providers.per_text(docs, "text", providers.hashed_embedding, "vec", "array<float>")
-    return docs.join(made, "text").select("doc_id", F.size("vec").alias("width"), F.round(fv.norm(F.col("vec")), 4).alias("norm"))
+    return providers.with_result(docs, "text", made).select("doc_id", F.size("vec").alias("width"), F.round(fv.norm(F.col("vec")), 4).alias("norm"))
 
 
 @query("provider_hidden_states")
 def provider_hidden_states(spark, d):
-    """One row in, a row for each layer out; last word only."""
+    """One row in, a row for each layer out; last word only. A null text has one row, without a layer."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     made = providers.per_text(docs, "text", providers.hidden_states, "layers", "array<array<float>>")
-    return docs.join(made, "text").select("doc_id", F.posexplode("layers").alias("layer", "vec")).select("doc_id", "layer", F.size("vec").alias("width"), F.round(fv.norm(F.col("vec")), 4).alias("norm"))
-
-
-def _by_digest(rows, made, column):
-    """rows with the results made for their texts; they meet on digests, so that whole texts are not shuffled for it."""
-    key = F.sha2(column, 256).alias("__key")
-    return rows.withColumn("__key", key).drop(column).join(made.withColumn("__key", key).drop(column), "__key").drop("__key")
+    return providers.with_result(docs, "text", made).select("doc_id", F.posexplode_outer("layers").alias("layer", "vec")).select("doc_id", "layer", F.size("vec").alias("width"), F.round(fv.norm(F.col("vec")), 4).alias("norm"))
 
 
 @query("provider_judge")
@@ -95,7 +89,7 @@ def provider_judge(spark, d):
     docs = table(spark, d, "documents").select("doc_id", ft.judge_prompt(F.coalesce("text", F.lit(""))).alias("prompt"))
     cache = docs.where("doc_id % 2 = 0").select("prompt").distinct().select("prompt", F.lit("0.25").alias("raw"))
     made = providers.per_text(docs, "prompt", providers.judge, "raw", "string", cache)
-    return _by_digest(docs, made, "prompt").select("doc_id", "raw", ft.judge_score(F.col("raw")).alias("j")).select("doc_id", "raw", r6("j.score").alias("score"), F.col("j.ok").alias("ok"))
+    return providers.with_result(docs, "prompt", made).select("doc_id", "raw", ft.judge_score(F.col("raw")).alias("j")).select("doc_id", "raw", r6("j.score").alias("score"), F.col("j.ok").alias("ok"))
 
 
 @query("ab_choice_states")
@@ -107,7 +101,7 @@ def ab_choice_states(spark, d):
     sides = docs.crossJoin(F.broadcast(last)).withColumn("side", F.when(F.col("h") <= F.col("last"), "A").otherwise("B"))
     asked = sides.select("doc_id", "side", ft.prompt(F.when(F.col("side") == "A", F.array("text", "lang")).otherwise(F.array("lang", "text")), F.lit("A or B?")).alias("prompt"))
     made = providers.per_text(asked, "prompt", providers.hidden_states, "layers", "array<array<float>>")
-    return _by_digest(asked, made, "prompt").select("doc_id", "side", F.size("layers").alias("layers"))
+    return providers.with_result(asked, "prompt", made).select("doc_id", "side", F.size("layers").alias("layers"))
 
 
 @query("sparse_feature_direction")

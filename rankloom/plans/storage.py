@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
-from ..sources import scratch, store
+from ..sources import offsets, scratch, store
 from ..streaming import incremental
 from .base import query, r6, rounded, table, vectors
 
@@ -166,7 +166,11 @@ def corpus_version(spark, d):
 
 @query("record_sample", "select page_id, url from pages order by md5(concat_ws(':', 42, page_id)), page_id limit 20")
 def record_sample(spark, d):
-    return store.sample_rows(table(spark, d, "pages").select("page_id", "url"), "page_id", 42, 20)
+    """Twenty records, read by seek from JSON-lines shards of all pages."""
+    path = scratch.new_path(spark, "shards")
+    store.write_jsonl(table(spark, d, "pages").select("page_id", "url", "html"), path)
+    picked = offsets.sample(offsets.build(spark, path, "page_id"), 20, 42)
+    return offsets.fetch(picked, "page_id long, url string, html string").select("record.page_id", "record.url")
 
 
 @query("web_record_explode", "select conv_id, count(*) as results, sum(length(text)) as chars from conversations where turn < 3 group by conv_id")

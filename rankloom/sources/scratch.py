@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _folders: dict[str, str] = {}
 
@@ -17,9 +17,14 @@ def file_system(spark: SparkSession, path: str):
 
 
 def folder(spark: SparkSession) -> str:
-    """A folder of this application in the one that driver and executors share; a local one only where the session names none."""
+    """A folder of this application in the one that driver and executors share; a local one only where they are one process and the session names none."""
     app = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None) or _folders.get("") or _folders.setdefault("", tempfile.mkdtemp(prefix="rankloom-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None) or _folders.get("")
+    if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = _folders.setdefault("", tempfile.mkdtemp(prefix="rankloom-"))
     path = f"{shared.rstrip('/')}/rankloom-{app}"
     if _folders.get(app) != path:
         store, at = file_system(spark, path)
@@ -36,3 +41,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 def delete(spark: SparkSession, path: str) -> None:
     store, at = file_system(spark, path)
     store.delete(at, True)
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder and read back: what follows depends on no executor that may be lost, and computes nothing twice."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,12 +15,13 @@ def made():
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=6).tolist(), bool(i % 3), "x") for i in range(90)]
     rows += [(100 + i, rows[i][1], rows[i][2], None) for i in range(0, 40, 2)]  # ties
-    return rows + [(200, None, True, "x"), (None, rows[0][1], True, "x"), (220, rows[5][1], None, "x")], [rng.normal(size=6).tolist() for _ in range(2)]
+    width = [(300, rows[3][1][:4], True, "x"), (320, rows[4][1] + [0.5, 1.0], True, "x"), (340, rows[6][1][:5] + [None], False, "x"), (360, rows[6][1][:5] + [float("nan")], False, "x"), (361, rows[6][1][:5] + [float("inf")], False, "x"), (362, [], True, "x")]  # none takes part
+    return rows + width + [(200, None, True, "x"), (None, rows[0][1], True, "x"), (220, rows[5][1], None, "x")], [rng.normal(size=6).tolist() for _ in range(2)]
 
 
 def plain(rows, directions):
     """{(q, dir, alpha10): (ordered ids, gold rank, nf rank)}"""
-    rows = [r for r in rows if r[0] is not None and r[1] is not None]
+    rows = [r for r in rows if r[0] is not None and r[1] is not None and len(r[1]) == 6 and None not in r[1] and np.isfinite(r[1]).all()]
     ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     unit, out = v / np.linalg.norm(v, axis=1, keepdims=True), {}
     for at, (q, _, side, _) in enumerate(rows):
