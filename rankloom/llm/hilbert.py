@@ -5,8 +5,8 @@ the Hilbert curve of that grid. Each ordering is range-partitioned and numbered
 is within a window of its own; of each block it keeps the SHORT nearest. The findings of all curves are merged, the SHORT nearest of a query
 are ranked by the exact cosine of the original vectors.
 
-What goes along the curves is slim: points are numbers, and their vectors unit vectors in half precision; the original vectors are
-read once more for the shortlists alone.
+What goes along the curves is slim: points are numbers, and their vectors unit vectors in 24-bit fixed point, which tells vectors apart down to
+angles of about a millionth, as their products are taken in double precision; the original vectors are read once more for the shortlists alone.
 
 How wide the window must be depends on the data, not on its size alone: it is measured, at every size alike. A bounded number of probe
 vectors is compared with all vectors, and the window is taken in which TARGET of their true neighbours come within reach on some curve. Data
@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from . import common
 
-CURVES, DIMS, BITS = 4, 8, 7
+CURVES, DIMS, BITS = 3, 8, 7
 NEIGHBOURS = 5
 EVERY = 50
-#: Nearest by half precision that are kept for the exact ranking.
+#: Nearest by the codes that are kept for the exact ranking.
 SHORT = 24
 #: Vectors that tell the spread of the projections, and probes that tell the window.
-SAMPLE, PROBES, TARGET = 4096, 256, 0.94
+SAMPLE, PROBES, TARGET = 4096, 256, 0.97
 #: Places on a curve that are compared in one block: as many as the window, within these bounds.
 LEAST_BLOCK, MOST_BLOCK = 2048, 65536
 SEED = 20
@@ -89,13 +89,26 @@ class Curves:
         return hilbert_keys(cells.astype(np.int64), self.bits)
 
 
+#: The largest number of a code.
+FULL = (1 << 23) - 1
+
+
+def _codes(unit: np.ndarray) -> list[bytes]:
+    """Rows of unit vectors in 24-bit fixed point."""
+    wide = np.rint(unit * FULL).astype("<i4")
+    return [row.tobytes() for row in wide.view(np.uint8).reshape(*wide.shape, 4)[:, :, :3]]
+
+
 def _vectors(codes: pa.Array) -> np.ndarray:
-    """Rows of half-precision codes as single-precision vectors."""
-    return np.frombuffer(b"".join(codes.to_pylist()), "<f2").reshape(len(codes), -1).astype(np.float32)
+    """Rows of codes as vectors in double precision."""
+    raw = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1, 3)
+    wide = np.zeros((*raw.shape[:2], 4), np.uint8)
+    wide[:, :, 1:] = raw  # the sign is in the last byte
+    return (wide.view("<i4")[:, :, 0] >> 8) / FULL
 
 
 def _coder(with_vec: bool):
-    """Usable vectors: (id, size, digest of the vector, half-precision unit vector), and the vector itself if asked for."""
+    """Usable vectors: (id, size, digest of the vector, and the coded unit vector, or the vector itself if asked for)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,9 +121,8 @@ def _coder(with_vec: bool):
                 good = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
                 at, m = at[good], m[good]
                 digests = [hashlib.blake2b(row, digest_size=16).digest() for row in m]
-                unit = np.nan_to_num(_unit(m / np.abs(m).max(axis=1, initial=1e-300, keepdims=True))).astype("<f2")
                 columns = [ids.take(pa.array(at)), pa.array(np.full(len(at), n, np.int32)), pa.array(digests, pa.binary())]
-                columns.append(pa.array(m.tolist(), pa.list_(pa.float64())) if with_vec else pa.array([row.tobytes() for row in unit], pa.binary()))
+                columns.append(pa.array(m.tolist(), pa.list_(pa.float64())) if with_vec else pa.array(_codes(_unit(m / np.abs(m).max(axis=1, keepdims=True))), pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "size", "digest", "vec" if with_vec else "codes"])
 
     return run
@@ -174,7 +186,16 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _moderate(a: list[float]) -> list[float]:
+    """The vector, moved by a power of two if its squares would leave the range of doubles."""
+    most = max(map(abs, a))
+    if 1e-140 < most < 1e140:
+        return a
+    return [math.ldexp(x, -math.frexp(most)[1]) for x in a]
+
+
 def cosine(a: list[float], b: list[float]) -> float:
+    a, b = _moderate(a), _moderate(b)
     return math.sumprod(a, b) / (math.sqrt(math.sumprod(a, a)) * math.sqrt(math.sumprod(b, b)))
 
 
@@ -290,7 +311,7 @@ def search(table: DataFrame, every: int = EVERY, k: int = NEIGHBOURS, window: in
     reach = F.sequence(F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / block), F.floor((F.col("rank") + window) / block))
     queries = full.join(asking, "point", "left_semi").withColumn("b", F.explode(reach))
     both = there.union(shape(queries, F.col("b"), True)).repartition("curve", "block").sortWithinPartitions("curve", "block", "asks", "rank")
-    found = both.mapInArrow(_searched(window, short), "query long, found long, score float").groupBy("query", "found").agg(F.max("score").alias("score"))
+    found = both.mapInArrow(_searched(window, short), "query long, found long, score double").groupBy("query", "found").agg(F.max("score").alias("score"))
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "found"))).where(F.col("r") <= short).select("query", "found")
     best = common.cut(best, "shortlist")
 
@@ -304,7 +325,9 @@ def search(table: DataFrame, every: int = EVERY, k: int = NEIGHBOURS, window: in
 
     # a point stands for the ids of its group, and a query's own group counts as well
     nearest = exact.join(pts.select(F.col("point").alias("found"), "ids"), "found").select("point", "score", "ids")
-    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    most = F.aggregate("vec", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
+    moderate = F.when((most > 1e-140) & (most < 1e140), F.col("vec")).otherwise(F.transform("vec", lambda x: x / most))
+    square = F.aggregate(moderate, F.lit(0.0), lambda s, x: s + x * x)
     same = pts.select("point", "ids").join(asking, "point", "left_semi").join(vectors, "point").select("point", (square / (F.sqrt(square) * F.sqrt(square))).alias("score"), "ids")
     listed = asked.join(nearest.union(same), "point").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     ranked = listed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
