@@ -1,10 +1,11 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rankloom.llm import hilbert
 
 
-def brute(rows, every=50, k=5):
+def brute(rows, every=50, k=5, digits=12):
     """{query: [(score, id)]} over rows of (id, vector)."""
     rows = {(i, tuple(v)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)}
     ids = np.array([i for i, _ in rows])
@@ -13,7 +14,7 @@ def brute(rows, every=50, k=5):
     out = {}
     for q in np.flatnonzero(ids % every == 0):
         s = unit @ unit[q]
-        out[int(ids[q])] = [(s[j], int(ids[j])) for j in np.lexsort((ids, -np.round(s, 12))) if ids[j] != ids[q]][:k]
+        out[int(ids[q])] = [(s[j], int(ids[j])) for j in np.lexsort((ids, -np.round(s, digits))) if ids[j] != ids[q]][:k]
     return out
 
 
@@ -63,6 +64,29 @@ def test_recall_on_clusters_needs_few_candidates(spark, monkeypatch):
     assert measured[0] < 6000 / 25  # four curves see a third of the table, not all of it
 
 
+@pytest.mark.parametrize("clusters, size, noise", [(2, 1500, 0.1), (2, 1500, 0.01), (2, 1500, 0.001), (2, 5000, 0.001), (2, 1500, 0.0003), (10, 300, 0.0001)])
+def test_recall_on_close_vectors(spark, clusters, size, noise):
+    """Far more vectors in a cluster than a shortlist holds, down to cosines that differ by a hundred-millionth."""
+    rng = np.random.default_rng(clusters * size)
+    m = np.repeat(rng.normal(size=(clusters, 32)), size, axis=0) + noise * rng.normal(size=(clusters * size, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(m[rng.permutation(len(m))])]
+    got = hilbert.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert recall(got, brute(rows, digits=16)) >= 0.9
+
+
+def test_extreme_sizes(spark):
+    """Vectors whose squares leave the range of doubles."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(120, 4))
+    rows = [(i, (v * (1e200, 1e-200, 1.0)[i % 3]).tolist()) for i, v in enumerate(m)] + [(200, (m[0] * 1e200).tolist())]
+    got = {}
+    for r in sorted(hilbert.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    same = brute([(i, v.tolist()) for i, v in enumerate(m)] + [(200, (m[0] * (1 + 1e-15)).tolist())])
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in same.items()}
+    assert all(abs(a - b) < 1e-12 for q, x in got.items() for (_, a), (b, _) in zip(x, same[q]))
+
+
 def test_odd_rows(spark):
     inf, nan = float("inf"), float("nan")
     hot = [(i, [1.0, 2.0, 3.0]) for i in range(300, 340)]
