@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as fv
-from ..operators import metrics, ordered, ranking, sampling, stats
+from ..operators import metrics, ordered, ranking, resample, sampling, stats
+from ..sources.scratch import cut
 from .base import DIR, E, V, query, r6, rounded, table, values, vectors
 from .rerank import direction_row
 
@@ -375,3 +376,12 @@ def pair_separation(spark, d):
 @query("constant_values", "select k, v from (values ('random', round(1 / 12.0::double, 6)), ('factual', round(1 / 5.0::double, 6)), ('relevant', round(1 / 4.0::double, 6))) t(k, v)")
 def constant_values(spark, d):
     return values(spark, [("random", 1 / 12), ("factual", 1 / 5), ("relevant", 1 / 4)], "k string, v double").select("k", r6("v").alias("v"))
+
+
+@query("lineitem_bootstrap")
+def lineitem_bootstrap(spark, d):
+    """Mean price by return flag with an interval over resamples of all line items; every task derives the weights of its own."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_extendedprice").cast("double").alias("price"))
+    units = cut(resample.numbered_units(lines, ["l_orderkey", "l_linenumber"]), "units")
+    n = units.count()
+    return rounded(resample.mean_interval(units, n, B, 17, ["l_returnflag"], "price"), "mean", "lo", "hi")

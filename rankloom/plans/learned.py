@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions import alike
 from ..functions import text as ft
 from ..functions import vectors as fv
 from ..operators import metrics, ordered, probes, providers, sampling, stats
@@ -43,13 +42,7 @@ def lexical_floor(spark, d):
 
 def _identical(batches):
     for b in batches:
-        out = []
-        for x, y in zip(b.column(1), b.column(2)):
-            x, y = x.as_py(), y.as_py()
-            longest = max(len(x), len(y))
-            # equal lists match as one block
-            same = longest if x == y else sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
-            out.append(same / longest if longest else 1.0)
+        out = [alike.identical_share(x.as_py(), y.as_py()) for x, y in zip(b.column(1), b.column(2))]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "identical"])
 
 
