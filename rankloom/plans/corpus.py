@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
-from ..operators import metrics, needles, ordered, ranking, sampling, stats
+from ..operators import metrics, needles, ordered, ranking, sampling, sentences, stats
 from .base import LAB, SEEDS, labelled, query, r6, rounded, table, values
 
 DOCS = "documents"
@@ -381,6 +381,26 @@ def sentence_counts(spark, d):
     return docs(spark, d).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(ft.SENTENCE), F.lit(0))).cast("long").alias("sentences"), ft.n_words(F.col("text")).cast("long").alias("words"), F.sha2("text", 256).alias("sha"))
 
 
+_WORDS = r"""w as (select regexp_replace(regexp_replace(x, '^[("''\[«„“‘]+', ''), '[)"''\]»”’]+$', '') as w from (select unnest(regexp_split_to_array(text, '[ \t\n\r\f\v]+')) as x from documents)),
+ty as (select lower(regexp_replace(w, '[.]$', '')) as type, ends_with(w, '.')::int as stop from w where w <> ''), c as (select type, count(*) as n, sum(stop)::bigint as stops from ty where regexp_matches(type, '\p{L}') group by type),
+r as (select sum(stops) / sum(n) as rate from c), s as (select type, n, stops, length(replace(type, '.', '')) as len, stops * ln(rate) + (n - stops) * ln(1 - rate) as chance, stops * ln(0.99::double) + (n - stops) * ln(0.01::double) as tied from c, r where stops > 0 and rate < 1),
+ab as (select type, n, stops, -2 * (chance - tied) * exp(-len) * (length(type) - len + 1) * pow(len::double, stops - n) as score from s)"""
+
+
+@query("abbreviations", f"with {_WORDS} select type, n, stops, round(score, 6) as score from ab where score >= {sentences.THRESHOLD}")
+def abbreviations(spark, d):
+    return rounded(sentences.abbreviations(docs(spark, d).select("text"), "text"), "score")
+
+
+@query("sentence_spans")
+def sentence_spans(spark, d):
+    """How many sentences a document has, their characters and the last one's place; abbreviations are learned from all documents."""
+    rows = docs(spark, d).select("doc_id", "text")
+    found = sentences.split(rows, "text", sentences.abbreviations(rows, "text"))
+    chars = F.aggregate("sentences", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return found.select("doc_id", F.size("sentences").cast("long").alias("sentences"), chars.alias("chars"), F.get("sentences", F.size("sentences") - 1)["start"].cast("long").alias("last"))
+
+
 _SENTS = r"list_filter(list_transform(regexp_extract_all({t}, '[^.!?]+[.!?]*'), lambda s: trim(regexp_replace(s, '[ \t\n\r\f\v]+', ' ', 'g'))), lambda s: s <> '')"
 _PACK = """st as (select id, generate_subscripts(ss, 1) as nr, unnest(ss) as s from (select id, {sents} as ss from src)),
 sl as (select id, nr, s, len(list_filter(string_split(s, ' '), lambda w: w <> '')) as n from st),
