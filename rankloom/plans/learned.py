@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -14,17 +17,17 @@ from .base import query, r6, rounded, table, values, vectors
 
 @query("probe_direction")
 def probe_direction(spark, d):
-    w = [float(x) for x in probes.probe(vectors(spark, d), "vec", "fact").coefficients]  # one number a component
+    w = [float(x) for x in probes.probe(vectors(spark, d), "vec", "fact")]  # one number a component
     return rounded(values(spark, list(enumerate(w)), "i int, v double"), "v")
 
 
 @query("probe_mixture")
 def probe_mixture(spark, d):
+    """Norms of the probes of all seven unions of three datasets, fitted in the same passes."""
     v = vectors(spark, d).withColumn("dataset", F.col("label") % 3)
-    out = []
-    for combo in ((0,), (1,), (0, 1), (0, 1, 2)):
-        w = probes.probe(v.where(F.col("dataset").isin(*combo)), "vec", "fact").coefficients
-        out.append(("+".join(map(str, combo)), float(sum(x * x for x in w) ** 0.5)))
+    combos = [c for n in (1, 2, 3) for c in itertools.combinations(range(3), n)]
+    w = probes.fit_all(v, "vec", "fact", "dataset", [set(c) for c in combos])
+    out = [("+".join(map(str, c)), float(np.linalg.norm(x))) for c, x in zip(combos, w)]
     return rounded(values(spark, out, "combo string, norm double"), "norm")
 
 
