@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import alike
 from ..functions import text as ft
 from ..functions import vectors as fv
-from ..operators import metrics, ordered, probes, providers, sampling, stats
+from ..operators import metrics, ordered, probes, providers, sampling, sparse, stats
+from ..sources.scratch import cut
 from .base import query, r6, rounded, table, values, vectors
 
 
@@ -100,12 +101,24 @@ def ab_choice_states(spark, d):
     return providers.with_result(asked, "prompt", made).select("doc_id", "side", F.size("layers").alias("layers"))
 
 
+#: Features of the stand-in for an encoder.
+FEATURES = 128
+
+
 @query("sparse_feature_direction")
 def sparse_feature_direction(spark, d):
-    """A direction as the weighted sum of the feature rows that fire most unevenly; the features are a hashed random basis."""
-    v = vectors(spark, d)
-    basis = spark.range(128).select(F.col("id").alias("f")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("w", fv.hashed_normal(F.col("f") + 1000, F.col("i")))  # 128 x 64 rows
-    coded = fv.explode(v, "vec", "vec_id", "fact").join(F.broadcast(basis), "i").groupBy("vec_id", "fact", "f").agg(F.greatest(F.lit(0.0), F.sum(F.col("x") * F.col("w")) - 1).alias("a"))
-    fires = lambda c: F.avg(F.when(c, (F.col("a") > 0).cast("double")))
-    sep = coded.groupBy("f").agg((fires(F.col("fact")) - fires(~F.col("fact"))).alias("sep")).orderBy(F.desc(F.round("sep", 9)), "f").limit(10)
-    return basis.join(F.broadcast(sep), "f").groupBy("i").agg(r6(F.sum(F.col("sep") * F.col("w"))).alias("v"))
+    """A direction as the weighted sum of the feature rows that fire most unevenly; the encoder is a hashed random basis."""
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: fv.hashed_normal(F.col("f") + 1000, i))
+    encoder = cut(spark.range(FEATURES).select(F.col("id").alias("f")).select("f", numbers.alias("w"), F.lit(-1.0).alias("b")), "encoder")
+    fires = sparse.firing(vectors(spark, d), encoder, "vec_id", "vec", "fact")
+    sep = fires.select("f", (F.col("on") - F.col("off")).alias("sep")).orderBy(F.desc(F.round("sep", 9)), "f").limit(10)
+    return rounded(sparse.direction(encoder, sep), "v")
+
+
+@query("sparse_codes")
+def sparse_codes(spark, d):
+    """How many features of the encoder each vector fires, and their sum."""
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: fv.hashed_normal(F.col("f") + 1000, i))
+    encoder = cut(spark.range(FEATURES).select(F.col("id").alias("f")).select("f", numbers.alias("w"), F.lit(-1.0).alias("b")), "encoder")
+    rows = sparse.codes(vectors(spark, d), encoder, "vec_id", "vec")
+    return rows.select("vec_id", F.size("at").alias("features"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
