@@ -31,14 +31,19 @@ DOCS, ASKED = 1024, 512
 FLAT = 1e-12
 
 
-def _slices(batches: Iterator[pa.RecordBatch]):
+def _units(v: np.ndarray, tail: int) -> np.ndarray:
+    """The rows without their last `tail` components, scaled to length 1."""
+    v = v[:, : v.shape[1] - tail]
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], tail: int):
     """(ids, unit vectors, vectors, sides as 1, 0 or -1 for null) of at most DOCS documents."""
     for b in batches:
         for at in range(0, b.num_rows, DOCS):
             part = b.slice(at, DOCS)
             v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
-            unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            yield part.column(0).to_numpy(), unit, v, part.column(2).cast(pa.int8()).fill_null(-1).to_numpy()
+            yield part.column(0).to_numpy(), _units(v, tail), v, part.column(2).cast(pa.int8()).fill_null(-1).to_numpy()
 
 
 def _corpus(docs: DataFrame, width: int) -> DataFrame:
@@ -47,13 +52,13 @@ def _corpus(docs: DataFrame, width: int) -> DataFrame:
     return docs.where(F.col("vec_id").isNotNull() & (F.size("vec") == width) & finite).select(F.col("vec_id").cast("long").alias("vec_id"), "vec", "fact")
 
 
-def _blocks(queries: DataFrame, width: int, numbers: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(queries: DataFrame, width: int, numbers: int, tail: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, unit vectors, sides) of the queries, `numbers` being what one query takes; streamed, so that the driver holds one block."""
     size, held = max(1, ranking.BROADCAST_NUMBERS // max(1, numbers)), []
 
     def block():
         v = np.array([r[1] for r in held], float)
-        return np.array([r[0] for r in held], np.int64), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300), np.array([-1 if r[2] is None else int(r[2]) for r in held], np.int8)
+        return np.array([r[0] for r in held], np.int64), _units(v, tail), np.array([-1 if r[2] is None else int(r[2]) for r in held], np.int8)
 
     for r in _corpus(queries, width).toLocalIterator():
         held.append(r)
@@ -70,7 +75,7 @@ _TARGETS = "q long, n long, mean double, m2 double, gs double, gid long, gp arra
 _FIELDS = pa.schema([(n, {"long": pa.int64(), "double": pa.float64()}.get(t, pa.list_(pa.float64()))) for n, t in (x.split(" ") for x in _TARGETS.split(", "))])
 
 
-def _first_pass(shared, directions: np.ndarray):
+def _first_pass(shared, directions: np.ndarray, tail: int):
     def run(batches):
         ids, m, sides = shared.value
         many = len(ids)
@@ -78,7 +83,7 @@ def _first_pass(shared, directions: np.ndarray):
         top, best = np.full((2, many), -np.inf), np.full((2, many), np.iinfo(np.int64).max)
         cosine, proj = np.full((2, many), np.nan), np.full((2, many, len(directions)), np.nan)
         rows, centre, spread = 0, np.zeros(len(directions)), np.zeros(len(directions))
-        for doc, unit, v, fact in _slices(batches):
+        for doc, unit, v, fact in _slices(batches, tail):
             p = v @ directions.T
             step = p.mean(0) - centre
             spread += ((p - p.mean(0)) ** 2).sum(0) + step**2 * rows * len(p) / (rows + len(p))
@@ -121,9 +126,9 @@ def _first_pass(shared, directions: np.ndarray):
     return run
 
 
-def _moments_and_targets(docs: DataFrame, shared, directions: np.ndarray) -> DataFrame:
+def _moments_and_targets(docs: DataFrame, shared, directions: np.ndarray, tail: int) -> DataFrame:
     """(q, dir, mean, dev, g, nf): one row a query and, with a null q, one a direction; their lists have one short entry a task."""
-    parts = docs.mapInArrow(_first_pass(shared, directions), _TARGETS)
+    parts = docs.mapInArrow(_first_pass(shared, directions, tail), _TARGETS)
     nearest = lambda s, i, p: F.min(F.when(F.col(i).isNotNull(), F.struct((-F.round(s, 9)).alias("k"), F.col(i).alias("id"), F.col(s).alias("cos"), F.col(p).alias("p"))))
     rows = parts.groupBy("q", F.when(F.col("q").isNull(), F.col("gid")).alias("dir")).agg(F.collect_list(F.struct("n", "mean", "m2")).alias("parts"), nearest("gs", "gid", "gp").alias("g"), nearest("ns", "nid", "np").alias("nf"))
     total = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["n"])
@@ -136,11 +141,11 @@ def _fused(cos, mean, dev, z, alpha):
     return np.round((1 - alpha) * ((cos - mean[:, None]) / dev[:, None]) + alpha * z, 9)
 
 
-def _count_ahead(shared, directions, centre, scale, alphas):
+def _count_ahead(shared, directions, centre, scale, alphas, tail):
     def run(batches):
         ids, m, mean, dev, target, score = shared.value
         ahead, any_row = np.zeros(score.shape, np.int64), False
-        for doc, unit, v, _ in _slices(batches):
+        for doc, unit, v, _ in _slices(batches, tail):
             any_row, z = True, (v @ directions.T - centre) / scale
             for at in range(0, len(ids), ASKED):
                 i = slice(at, at + ASKED)
@@ -160,12 +165,12 @@ def _count_ahead(shared, directions, centre, scale, alphas):
     return run
 
 
-def _keep_first(shared, directions, centre, scale, alphas, k):
+def _keep_first(shared, directions, centre, scale, alphas, k, tail):
     def run(batches):
         ids, m, mean, dev, _, _ = shared.value
         shape = (len(directions), len(alphas), len(ids), k)
         score, who, side = np.full(shape, -np.inf), np.full(shape, np.iinfo(np.int64).max), np.full(shape, -1, np.int8)
-        for doc, unit, v, fact in _slices(batches):
+        for doc, unit, v, fact in _slices(batches, tail):
             z = (v @ directions.T - centre) / scale
             for at in range(0, len(ids), ASKED):
                 i = slice(at, at + ASKED)
@@ -189,19 +194,19 @@ def _keep_first(shared, directions, centre, scale, alphas, k):
     return run
 
 
-def _each_block(docs: DataFrame, queries: DataFrame, directions, alphas, numbers: int, finish: Callable, schema: str) -> DataFrame:
+def _each_block(docs: DataFrame, queries: DataFrame, directions, alphas, numbers: int, finish: Callable, schema: str, tail: int) -> DataFrame:
     """finish(corpus, shared, directions, centre, scale) of every block; of several blocks each is written before the next is read."""
     spark, directions = docs.sparkSession, np.asarray(directions, float)
     corpus, width = _corpus(docs, directions.shape[1]), directions.shape[1]
     out, path = None, None
-    for ids, m, sides in _blocks(queries, width, numbers):
+    for ids, m, sides in _blocks(queries, width, numbers, tail):
         if out is not None:
             path = path or scratch.new_path(spark, "rerank")
             out.write.mode("append").parquet(path)
         order = np.argsort(ids, kind="stable")
         ids, m, sides = ids[order], m[order], sides[order]
         asked = spark.sparkContext.broadcast((ids, m, sides))
-        rows = _moments_and_targets(corpus, asked, directions).collect()  # one row a query of the block and one a direction
+        rows = _moments_and_targets(corpus, asked, directions, tail).collect()  # one row a query of the block and one a direction
         asked.destroy()
         found, centre, scale = {r["q"]: r for r in rows}, np.full(len(directions), np.nan), np.full(len(directions), np.nan)
         for r in rows:
@@ -228,28 +233,29 @@ def _each_block(docs: DataFrame, queries: DataFrame, directions, alphas, numbers
     return out
 
 
-def target_ranks(docs: DataFrame, queries: DataFrame, directions, alphas) -> DataFrame:
+def target_ranks(docs: DataFrame, queries: DataFrame, directions, alphas, tail: int = 0) -> DataFrame:
     """(q, dir, alpha10, gold_rank, nf_rank): the places of the query's two targets for every direction and alpha (in tenths).
 
-    queries has the columns of docs, ids being unique; directions is a list of vectors, a grid of stated size.
+    queries has the columns of docs, ids being unique; directions is a list of vectors, a grid of stated size. The last `tail` components of a vector
+    are projected, but take no part in the similarity: so a score of any kind, a judge's for one, is fused as a projection on its own component.
     """
 
     def finish(corpus, share, state, has, dirs, centre, scale):
         ids, m, mean, dev, target, score = state
         shared = share((ids[has], m[has], mean[has], dev[has], target[:, has], score[:, has]))
-        parts = corpus.mapInArrow(_count_ahead(shared, dirs, centre, scale, alphas), "q long, dir int, alpha10 int, g long, nf long")
+        parts = corpus.mapInArrow(_count_ahead(shared, dirs, centre, scale, alphas, tail), "q long, dir int, alpha10 int, g long, nf long")
         return parts.groupBy("q", "dir", "alpha10").agg((F.sum("g") + 1).alias("gold_rank"), (F.sum("nf") + 1).alias("nf_rank"))
 
     numbers = len(directions[0]) + 4 * len(directions) * len(alphas)
-    return _each_block(docs, queries, directions, alphas, numbers, finish, "q long, dir int, alpha10 int, gold_rank long, nf_rank long")
+    return _each_block(docs, queries, directions, alphas, numbers, finish, "q long, dir int, alpha10 int, gold_rank long, nf_rank long", tail)
 
 
-def fused_top(docs: DataFrame, queries: DataFrame, directions, alphas, k: int) -> DataFrame:
+def fused_top(docs: DataFrame, queries: DataFrame, directions, alphas, k: int, tail: int = 0) -> DataFrame:
     """(q, dir, alpha10, id, s, fact, pos): the first k documents for every query, direction and alpha (in tenths); as target_ranks."""
 
     def finish(corpus, share, state, _, dirs, centre, scale):
-        parts = corpus.mapInArrow(_keep_first(share(state), dirs, centre, scale, alphas, k), "q long, dir int, alpha10 int, id long, s double, fact boolean")
+        parts = corpus.mapInArrow(_keep_first(share(state), dirs, centre, scale, alphas, k, tail), "q long, dir int, alpha10 int, id long, s double, fact boolean")
         return ranking.top_k(parts, ["q", "dir", "alpha10"], "s", "id", k)
 
     numbers = len(directions[0]) + 4 * len(directions) * len(alphas) * (k + 1)
-    return _each_block(docs, queries, directions, alphas, numbers, finish, "q long, dir int, alpha10 int, id long, s double, fact boolean, pos int")
+    return _each_block(docs, queries, directions, alphas, numbers, finish, "q long, dir int, alpha10 int, id long, s double, fact boolean, pos int", tail)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, corpus, endtoend, inference, learned, rerank, storage, web  # noqa: F401  the modules register their queries
+from . import base, comparison, corpus, endtoend, inference, learned, rerank, storage, web  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict:

@@ -448,17 +448,6 @@ def prompt_cache_antijoin(spark, d):
     return keys.agg(F.count("*").alias("prompts")).crossJoin(cache.agg(F.count("*").alias("cached"))).crossJoin(todo.agg(F.count("*").alias("todo")))  # one row each
 
 
-@query("condition_accuracy", """with c as (select doc_id, unnest(['none', 'factual', 'other', 'factual_first', 'other_first']) as condition from documents), r as (select doc_id, condition, substr(sha256(concat_ws('|', condition, doc_id)), 1, 1) < case condition when 'none' then '4' when 'other' then '3' else 'a' end as ok from c), k as (select doc_id from r where condition = 'none' and ok)
-select condition, round(avg(ok::int), 6) as accuracy, round(avg(ok::int) filter (where doc_id in (select doc_id from k)), 6) as known_accuracy, count(*) as n from r group by condition""")
-def condition_accuracy(spark, d):
-    names = ("none", "factual", "other", "factual_first", "other_first")
-    r = docs(spark, d).select("doc_id", F.explode(F.array(*map(F.lit, names))).alias("condition"))
-    least = F.when(F.col("condition") == "none", "4").when(F.col("condition") == "other", "3").otherwise("a")
-    r = r.withColumn("ok", F.substring(F.sha2(F.concat_ws("|", "condition", F.col("doc_id").cast("string")), 256), 1, 1) < least)
-    known = r.where("condition = 'none' and ok").select("doc_id", F.lit(True).alias("known"))
-    return r.join(known, "doc_id", "left").groupBy("condition").agg(r6(metrics.rate(F.col("ok"))).alias("accuracy"), r6(F.avg(F.when(F.col("known"), F.col("ok").cast("double")))).alias("known_accuracy"), F.count("*").alias("n"))
-
-
 @query("prompt_only", f"with p as (select doc_id, lang, {_PROMPT} || ' Some documents may be wrong.' as prompt from documents), a as (select doc_id, lang, 'answer ' || substr(sha256(prompt), 1, 8) as answer from p) select lang, round(avg(contains(answer, 'a1')::int), 6) as accuracy, count(*) as n from a group by lang")
 def prompt_only(spark, d):
     from ..operators import providers
@@ -479,14 +468,6 @@ def pool_generation(spark, d):
     return labels.groupBy("alpha10", "label").agg(F.count("*").alias("n"), r6(metrics.rate(F.col("pred").isNotNull())).alias("parsed"))
 
 
-@query("judge_rerank", "with j as (select doc_id, lang, ('0x' || substr(sha256(concat('Rate from 0 to 1 how factual this is.' || chr(10), text, chr(10) || 'Score:')), 1, 4))::bigint / 65535.0::double as judge, n_chars::double as rel from documents), z as (select *, (judge - avg(judge) over w) / stddev_pop(judge) over w as zj, (rel - avg(rel) over w) / stddev_pop(rel) over w as zr from j window w as (partition by lang)) select lang, doc_id, row_number() over (partition by lang order by round(0.5 * zr + 0.5 * zj, 9) desc, doc_id) as pos from z qualify pos <= 10")
-def judge_rerank(spark, d):
-    score = F.conv(F.substring(F.sha2(ft.judge_prompt(F.col("text")), 256), 1, 4), 16, 10).cast("long") / F.lit(65535.0)
-    rows = docs(spark, d).select("doc_id", "lang", score.alias("judge"), F.col("n_chars").cast("double").alias("rel"))
-    z = ranking.zscore(ranking.zscore(rows, "judge", ["lang"], "zj"), "rel", ["lang"], "zr").withColumn("s", ranking.fuse(F.col("zr"), F.col("zj"), F.lit(0.5)))
-    return ranking.top_k(z, ["lang"], "s", "doc_id", 10).select("lang", "doc_id", F.col("pos").cast("long").alias("pos"))
-
-
 @query("steering_order_accuracy", "with r as (select doc_id, case when substr(md5(concat_ws(':', 1, doc_id)), 1, 1) < '8' then 'factual-other' else 'other-factual' end as doc_order, contains(lower(text), 'ould') as base, contains(lower(text), 'ould') or contains(lower(text), 'schä') as steered from documents) select doc_order, round(avg(base::int), 6) as baseline, round(avg(steered::int), 6) as steered, count(*) as n from r group by doc_order")
 def steering_order_accuracy(spark, d):
     bit = F.substring(sampling.order_key(1, F.col("doc_id")), 1, 1) < "8"

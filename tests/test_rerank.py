@@ -75,3 +75,21 @@ def test_ring_draw(spark):
             assert len(have) == len(set(have)) == most and set(have) <= members - {q}
             assert sorted(r.k for r in own) == list(range(1, most + 1))
     assert got and sorted(map(tuple, got)) == sorted(map(tuple, sampling.ring_draw(df.repartition(5), asked, "id", "g", 5).collect()))
+
+
+def test_a_tail_is_projected_and_not_compared(spark, made):
+    """Scores as a component of their own: the cosines stay, the scores are the projections."""
+    rows, _ = made
+    rng = np.random.default_rng(9)
+    good = [r for r in rows if r[0] is not None and r[1] is not None and len(r[1]) == 6 and None not in r[1] and np.isfinite(r[1]).all()]
+    scores = rng.random(len(good))
+    longer = spark.createDataFrame([(r[0], [*r[1], float(s)], r[2], r[3]) for r, s in zip(good, scores)], SCHEMA)
+    got = {(r.q, r.alpha10): r.id for r in rerank.fused_top(longer, longer.where("vec_id % 20 = 0"), [[0.0] * 6 + [1.0]], ALPHAS, 1, tail=1).collect()}
+    v = np.array([r[1] for r in good])
+    ids, unit, z = np.array([r[0] for r in good]), v / np.linalg.norm(v, axis=1, keepdims=True), (scores - scores.mean()) / scores.std()
+    for at in np.flatnonzero(ids % 20 == 0):
+        cos, other = unit @ unit[at], ids != ids[at]
+        zc = (cos - cos[other].mean()) / cos[other].std()
+        for a in ALPHAS:
+            s = np.round((1 - a / 10) * zc + a / 10 * z, 9)
+            assert got[int(ids[at]), a] == min((-s[j], ids[j]) for j in np.flatnonzero(other))[1]
