@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ def draws(df: DataFrame) -> DataFrame:
     return sampling.resample_counts(df, B, UNITS, 11)
 
 
-PROJ = f"{V}, {E}, {DIR}, p as (select vec_id, label, fact, list_dot_product(vec, dir) as s from v, dir)"
+P = f"{DIR}, p as (select vec_id, label, fact, list_dot_product(vec, dir) as s from v, dir)"
+PROJ = f"{V}, {E}, {P}"
 
 
 def projections(spark: SparkSession, d: str) -> DataFrame:
@@ -123,10 +126,23 @@ def null_unit_vectors(spark, d):
     return rounded(null_directions(spark, 20), "x")
 
 
+def _projected(directions):
+    def run(batches):
+        w = np.array(directions)
+        for b in batches:
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            p = np.round(x @ w.T, 12)
+            seeds = np.tile(np.arange(len(w)), b.num_rows)
+            row = np.repeat(np.arange(b.num_rows), len(w))
+            yield pa.RecordBatch.from_arrays([pa.array(seeds), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(p.ravel())], ["seed", "vec_id", "fact", "s"])
+
+    return run
+
+
 def null_aurocs(spark: SparkSession, d: str, n: int) -> DataFrame:
-    """(seed, auroc) of projections on null directions."""
-    v = vectors(spark, d)
-    proj = fv.explode(v, "vec", "vec_id", "fact").join(F.broadcast(null_directions(spark, n).withColumnRenamed("x", "w")), "i").groupBy("seed", "vec_id", "fact").agg(F.round(F.sum(F.col("x") * F.col("w")), 12).alias("s"))  # n x 64 rows
+    """(seed, auroc) of projections on null directions; a batch of vectors meets all of them in one product."""
+    rows = fv.collect(null_directions(spark, n), ["seed"], "x", "w").orderBy("seed").collect()  # n directions
+    proj = vectors(spark, d).where("vec is not null").select("vec_id", "fact", "vec").mapInArrow(_projected([r["w"] for r in rows]), "seed long, vec_id long, fact boolean, s double")
     return stats.auroc(proj, ["seed"], "s", "fact")
 
 
@@ -317,12 +333,22 @@ def kde_grid(spark, d):
     return rounded(stats.density(projections(spark, d), grid, "s", 0.25), "x", "density")
 
 
-@query("claim_separation", f"""with {PROJ}, f as (select label % 2 as model, fact, s from p), {RANKED.format(by='model', of='f')}, a as (select model, (sum(r) filter (where fact) - count(*) filter (where fact) * (count(*) filter (where fact) + 1) / 2) / (count(*) filter (where fact) * count(*) filter (where not fact)) as auroc,
-(avg((s > 0)::int) filter (where fact) + avg((s <= 0)::int) filter (where not fact)) / 2 as zero from r group by model) select model, round(auroc, 6) as auroc, round(greatest(auroc, 1 - auroc), 6) as auroc_abs, round(zero, 6) as balanced_zero from a""")
+@query("claim_separation", f"""with {NULLS.replace('), r as (', '), nr as (').replace('from r group by seed)', 'from nr group by seed)')}, {P}, f as (select label % 2 as model, vec_id, fact, s from p), {RANKED.format(by='model', of='f')},
+a as (select model, (sum(r) filter (where fact) - count(*) filter (where fact) * (count(*) filter (where fact) + 1) / 2) / (count(*) filter (where fact) * count(*) filter (where not fact)) as auroc,
+(avg((s > 0)::int) filter (where fact) + avg((s <= 0)::int) filter (where not fact)) / 2 as zero from r group by model),
+c as (select model, sum(fact::int) over w as tp, sum((not fact)::int) over w as fp from f window w as (partition by model order by s desc, vec_id rows unbounded preceding)),
+n as (select model, sum(fact::int) as p, sum((not fact)::int) as n from f group by model), b as (select model, greatest(max(tp / p / 2 + (1 - fp / n) / 2), 1 - min(tp / p / 2 + (1 - fp / n) / 2), 0.5) as best from c join n using (model) group by model),
+nb as (select quantile_cont(auroc, 0.025) as lo, quantile_cont(auroc, 0.975) as hi, quantile_cont(greatest(auroc, 1 - auroc), 0.975) as folded from au)
+select model, round(auroc, 6) as auroc, round(greatest(auroc, 1 - auroc), 6) as auroc_abs, round(zero, 6) as balanced_zero, round(best, 6) as balanced_best, round(lo, 6) as null_lo, round(hi, 6) as null_hi, greatest(auroc, 1 - auroc) > folded as above_null from a join b using (model), nb""")
 def claim_separation(spark, d):
-    rows = projections(spark, d).withColumn("model", F.col("label") % 2)
+    """How well the projections tell the sides of each part, with the band of random directions that a separation must leave."""
+    rows = cut(projections(spark, d).withColumn("model", F.col("label") % 2), "claims")
     both = stats.auroc(rows, ["model"], "s", "fact").join(rows.groupBy("model").agg(stats.balanced_at_zero(F.col("s"), F.col("fact")).alias("balanced_zero")), "model")
-    return rounded(both.withColumn("auroc_abs", F.greatest("auroc", 1 - F.col("auroc"))), "auroc", "auroc_abs", "balanced_zero")
+    both = both.join(stats.best_balanced(rows, ["model"], "s", "fact", "vec_id").withColumnRenamed("balanced", "balanced_best"), "model")
+    a, pct = F.col("auroc"), lambda c, q: F.percentile(c, F.lit(q))  # noqa: E731  a row a direction
+    band = null_aurocs(spark, d, 30).agg(pct(a, 0.025).alias("null_lo"), pct(a, 0.975).alias("null_hi"), pct(F.greatest(a, 1 - a), 0.975).alias("__folded"))
+    found = both.withColumn("auroc_abs", F.greatest("auroc", 1 - F.col("auroc"))).crossJoin(F.broadcast(band)).withColumn("above_null", F.col("auroc_abs") > F.col("__folded")).drop("__folded")  # one row
+    return rounded(found, "auroc", "auroc_abs", "balanced_zero", "balanced_best", "null_lo", "null_hi")
 
 
 @query("nested_group_curve", "with c as (select event_type, user_id % 3 as layer, event_id % 2 as seed, avg(value) as x from events group by all) select event_type, layer, round(avg(x), 6) as mean, round(coalesce(stddev_samp(x), 0), 6) as std, count(*) as seeds from c group by event_type, layer")
