@@ -181,15 +181,27 @@ def _check(name: str, data: bytes, digest: str | None) -> None:
         raise Bad(f"{name} digest differs")
 
 
+def _head_end(source: Source, at: int) -> int:
+    """Where the header lines from a place on end. A line without a colon, as another version line is, or HEAD bytes without an end are Bad, so no more is looked at than may be a header."""
+    line = at
+    while True:
+        while (end := source.data.find(b"\r\n", line, at + HEAD)) < 0 and len(source.data) - at < HEAD and source.more():
+            pass
+        if end < 0:
+            raise Bad("header without end")
+        if end == line:
+            return end - 2
+        if source.data.find(b":", line, end) < 0:
+            raise Bad("header line without colon")
+        line = end + 2
+
+
 def _plain(source: Source, at: int = 0) -> tuple[int, dict, dict, bytes]:
     """The record at a place: (length, headers, HTTP headers, payload). Raises Bad."""
     source.need(at + 10)
     if not VERSION.match(source.data, at):
         raise Bad("no version line")
-    while (end := source.data.find(b"\r\n\r\n", at)) < 0 and len(source.data) - at < HEAD and source.more():
-        pass
-    if end < 0:
-        raise Bad("header without end")
+    end = _head_end(source, at + 10)
     headers = _headers(bytes(source.data[at + 10 : end]))
     if not re.fullmatch("[0-9]{1,15}", headers.get("content-length", "")):
         raise Bad("no content length")
@@ -249,7 +261,7 @@ def salvage(read: Callable[[int], bytes], size: int | None = None) -> Iterator[R
     """Records and gaps of a file, in order, covering every byte; size: that of the file, where it is known."""
     source = Source(read, size)
     while source.need(1):
-        at, why, found = 0, "", None
+        begin, at, why, found = source.start, 0, "", None
         while found is None:
             try:
                 n, found = _either(source, at)
@@ -257,9 +269,9 @@ def salvage(read: Callable[[int], bytes], size: int | None = None) -> Iterator[R
                 why, at = why or str(e), _next_mark(source, at + 1)
                 if at == len(source.data):
                     n, found = 0, []
-        if at:
-            yield Gap(source.start, at, why)
-            source.skip(at)
+        source.skip(at)
+        if source.start > begin:
+            yield Gap(begin, source.start - begin, why)
         for one in found:
             yield Record(source.start, n, *one)
         source.skip(n)
@@ -274,13 +286,16 @@ def _either(source: Source, at: int) -> tuple[int, list[tuple[dict, dict, bytes]
 
 
 def _next_mark(source: Source, at: int) -> int:
-    """Where the next gzip member or version line may begin; the end of the file if nowhere."""
-    while True:
-        if m := MARK.search(source.data, at):
-            return m.start()
-        at = max(at, len(source.data) - 6)
+    """Where the next gzip member or version line may begin; the end of the file if nowhere. Bytes that hold none are let go."""
+    while not (m := MARK.search(source.data, at)):
+        source.skip(max(at, len(source.data) - 6))
+        at = 0
         if not source.more():
             return len(source.data)
+    if m.start() < CHUNK:
+        return m.start()
+    source.skip(m.start())
+    return 0
 
 
 ROWS = "file string, offset long, length long, reason string, record_type string, page_id long, url string, refers_to long, payload_bytes long, payload_digest string"
