@@ -157,3 +157,38 @@ def test_damaged_length_does_not_read_on():
         assert [(type(x), x.reason) for x in warc.salvage(io.BytesIO(bomb).read, len(bomb))] == [(warc.Gap, "member too long")]
     finally:
         warc.MOST_BYTES = old
+
+
+def slowness():
+    import time
+
+    t = time.thread_time()
+    sum(range(50_000))
+    return max(1.0, (time.thread_time() - t) * 1000)
+
+
+@pytest.mark.parametrize("line", [b"WARC/1.0\r\n", b"WARC/1.1\r\nno colon\r\n", b"WARC/1.0\r\na: b\r\n"])
+def test_version_lines_without_a_header_take_linear_time(line):
+    import time
+
+    good = warc.record(7, "u", b"payload", warc.base32_sha1(b"payload"), None)
+    data = line * (1_000_000 // len(line)) + good
+    began = time.process_time()
+    found = list(warc.salvage(io.BytesIO(data).read, len(data)))
+    assert time.process_time() - began < 2 * slowness()
+    assert [type(x).__name__ for x in found] == ["Gap", "Record"] and found[0].length == len(data) - len(good) and found[1].payload == b"payload"
+
+
+def test_a_long_gap_is_let_go():
+    """200 MB of garbage between two records: one gap that covers every byte, never held whole."""
+    import tracemalloc
+
+    good = warc.record(7, "u", b"payload", warc.base32_sha1(b"payload"), None)
+    junk = random.Random(3).randbytes(1 << 20).replace(b"\x1f\x8b\x08", b"xxx").replace(b"WARC", b"xxxx")
+    parts = iter([good, *[junk] * 200, b"\x1f\x8b", good])
+    tracemalloc.start()
+    found = list(warc.salvage(lambda n: next(parts, b""), 2 * len(good) + 200 * len(junk) + 2))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(type(x).__name__, x.offset, x.length) for x in found] == [("Record", 0, len(good)), ("Gap", len(good), 200 * len(junk) + 2), ("Record", len(good) + 200 * len(junk) + 2, len(good))]
+    assert most < 40 << 20
