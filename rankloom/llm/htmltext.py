@@ -34,7 +34,7 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements whose text is none of the page's, elements that are never content, and those that hold nothing.
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "xmp", "noframes", "select"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "annotation", "annotation-xml", "xmp", "noframes", "select"}
 NEVER = {"head", "nav", "footer", "aside", "form", "menu", "button", "dialog", "fieldset", "label", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that begin and end blocks of text, those among them that end an open paragraph, and headings.

@@ -140,3 +140,8 @@ def test_hostile_pages_are_read_in_linear_time():
     assert time.process_time() - began < 1
     deep = "<div>" * 600 + "<nav>" + "<div>" * 5 + "x" + "</div>" * 5 + "menu</nav>" + f"<p>{LONG}</p>" + "</div>" * 600 + f"<p>{LONG}</p>"
     assert htmltext.main_text(deep).count(LONG.strip()) == 2
+
+
+def test_formulas_and_fallbacks_stay():
+    page = "<html><body><article><p>The formula <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='tex'>x = 1</annotation></math> holds for all of the cases above.</p><object><p>A picture of the house, as seen from the garden.</p></object></article></body></html>"
+    assert htmltext.main_text(page) == "The formula x=1 holds for all of the cases above.\nA picture of the house, as seen from the garden."
