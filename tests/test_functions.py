@@ -161,7 +161,7 @@ def test_provider_sees_each_text_once(spark, tmp_path):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(["a", "b", "a", None, "c"])], "id int, prompt string")
     cache = spark.createDataFrame([("c", "cached")], "prompt string, answer string")
     rows = {r.id: r.answer for r in providers.generate(df, "prompt", provider, cache).collect()}
-    assert rows == {0: "A", 1: "B", 2: "A", 4: "cached"}
+    assert rows == {0: "A", 1: "B", 2: "A", 3: None, 4: "cached"}  # a null prompt stays, unanswered
     assert sorted(open(log).read().split()) == ["a", "b"]
 
 
