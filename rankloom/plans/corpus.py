@@ -522,7 +522,9 @@ def token_count(spark, d):
     return docs(spark, d).groupBy("lang").agg(F.sum(ft.n_words(F.col("text"))).alias("words"), F.max("n_chars").alias("longest"))
 
 
-@query("seed_partitions", "select s as seed, row_number() over (order by s) - 1 as at from (values (7), (42), (67), (89), (90)) t(s)")
+@query("seed_partitions", "with s as (select distinct regexp_extract(source, '^src([0-9]+)$', 1)::int as seed from documents where regexp_matches(source, '^src[0-9]+$')) select seed, row_number() over (order by seed) - 1 as at from s")
 def seed_partitions(spark, d):
-    rows = values(spark, [f"seed_{s}" for s in sorted(SEEDS, key=str)], "name string").select(F.regexp_extract("name", "^seed_([0-9]+)$", 1).cast("int").alias("seed"))
-    return rows.select("seed", (F.row_number().over(Window.orderBy("seed")) - 1).cast("long").alias("at"))
+    """Names of the form seed_<number>, among others, as numbers in numeric order."""
+    names = docs(spark, d).select(F.explode(F.array(F.regexp_replace("source", "^src", "seed_"), "lang")).alias("name"))
+    seeds = names.select(F.regexp_extract("name", "^seed_([0-9]+)$", 1).alias("seed")).where("seed <> ''").select(F.col("seed").cast("int").alias("seed"))
+    return sampling.dense_ids(seeds, "seed", "at")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as fv
 from ..operators import metrics, ordered, ranking, resample, sampling, stats
 from ..sources.scratch import cut
-from .base import DIR, E, V, query, r6, rounded, table, values, vectors
+from .base import DIR, WIDTH, E, V, query, r6, rounded, table, values, vectors
 from .rerank import direction_row
 
 B, UNITS = 200, 100
@@ -115,15 +115,16 @@ def paired_auroc(spark, d):
 NORMAL = "sqrt(-2 * ln((('0x' || substr(md5(concat_ws(':', seed, i)), 1, 8))::bigint::double + 1) / 4294967296.0)) * cos(2 * 3.141592653589793::double * ('0x' || substr(md5(concat_ws(':', seed, i)), 9, 8))::bigint::double / 4294967296.0)"
 
 
-def null_directions(spark: SparkSession, n: int) -> DataFrame:
-    """(seed, i, x): n unit vectors of hashed normal numbers."""
-    rows = spark.range(n).select(F.col("id").alias("seed")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("x", fv.hashed_normal(F.col("seed"), F.col("i")))
-    return rows.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("seed"))))
+def null_directions(seeds: DataFrame) -> DataFrame:
+    """(seed, i, x): a unit vector of hashed normal numbers for each (seed, width)."""
+    rows = seeds.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).drop("width").withColumn("x", fv.hashed_normal(F.col("seed"), F.col("i")))
+    return rows.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("seed"))))  # a vector's components
 
 
-@query("null_unit_vectors", f"with r as (select range as seed, unnest(range(64)) as i from range(20)), n as (select seed, i, {NORMAL} as x from r) select seed, i::int as i, round(x / sqrt(sum(x * x) over (partition by seed)), 6) as x from n")
+@query("null_unit_vectors", f"with r as (select seed, unnest(range(width)) as i from (select label as seed, max(len(embedding)) as width from embeddings group by label)), n as (select seed, i, {NORMAL} as x from r) select seed, i::int as i, round(x / sqrt(sum(x * x) over (partition by seed)), 6) as x from n")
 def null_unit_vectors(spark, d):
-    return rounded(null_directions(spark, 20), "x")
+    """A random direction for each label, as wide as its vectors."""
+    return rounded(null_directions(vectors(spark, d).groupBy(F.col("label").alias("seed")).agg(F.max(F.size("vec")).alias("width"))), "x")
 
 
 def _projected(directions):
@@ -141,7 +142,7 @@ def _projected(directions):
 
 def null_aurocs(spark: SparkSession, d: str, n: int) -> DataFrame:
     """(seed, auroc) of projections on null directions; a batch of vectors meets all of them in one product."""
-    rows = fv.collect(null_directions(spark, n), ["seed"], "x", "w").orderBy("seed").collect()  # n directions
+    rows = fv.collect(null_directions(spark.range(n).select(F.col("id").alias("seed"), F.lit(WIDTH).alias("width"))), ["seed"], "x", "w").orderBy("seed").collect()  # n directions
     proj = vectors(spark, d).where("vec is not null").select("vec_id", "fact", "vec").mapInArrow(_projected([r["w"] for r in rows]), "seed long, vec_id long, fact boolean, s double")
     return stats.auroc(proj, ["seed"], "s", "fact")
 
@@ -399,9 +400,12 @@ def pair_separation(spark, d):
     return rounded(x.agg(F.avg("x").alias("auroc"), F.count("*").alias("units")).crossJoin(ci), "auroc", "lo", "hi")  # one row each
 
 
-@query("constant_values", "select k, v from (values ('random', round(1 / 12.0::double, 6)), ('factual', round(1 / 5.0::double, 6)), ('relevant', round(1 / 4.0::double, 6))) t(k, v)")
+@query("constant_values", f"with {V}, c as (select count(distinct label) as pools, count(distinct label) filter (where fact) as facts, count(*) as n from v) select 'random' as k, round(1.0::double / n, 6) as v from c union all select 'factual', round(1.0::double / nullif(facts, 0), 6) from c union all select 'relevant', round(1.0::double / pools, 6) from c")
 def constant_values(spark, d):
-    return values(spark, [("random", 1 / 12), ("factual", 1 / 5), ("relevant", 1 / 4)], "k string, v double").select("k", r6("v").alias("v"))
+    """The chances of a blind pick: of one vector, of one factual label, of one label."""
+    n = vectors(spark, d).agg(F.count("*").alias("random"), F.count_distinct(F.when(F.col("fact"), F.col("label"))).alias("factual"), F.count_distinct("label").alias("relevant"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.try_divide(F.lit(1.0), F.col(k)).alias("v")) for k in ("random", "factual", "relevant")])
+    return rounded(n.select(F.explode(pairs).alias("e")).select("e.k", "e.v"), "v")
 
 
 @query("lineitem_bootstrap")

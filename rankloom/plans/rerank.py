@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as fv
 from ..operators import metrics, ordered, ranking, rerank, sampling, stats
 from ..sources import scratch
-from .base import ALPHAS, DIR, KS, LAYER_WIDTH, LAYERS, SEEDS, WIDTH, E, V, query, r6, rounded, values, vectors
+from .base import ALPHAS, DIR, KS, LAYER_WIDTH, LAYERS, SEEDS, WIDTH, E, V, query, r6, rounded, table, values, vectors
 
 
 def direction_row(v: DataFrame) -> DataFrame:
@@ -365,17 +365,21 @@ def grid_gaps(spark, d):
 
 @query(
     "config_grid_filter",
-    """with m(model) as (values ('m0'), ('m1')), e(eval) as (values ('a'), ('b'), ('FULL_a')), dr(direction) as (values ('a'), ('b'), ('FULL_b')), p(position) as (values ('last_pos'), ('entity_pos'))
+    """with m as (select distinct 'm' || doc_id % 2 as model from documents), l as (select distinct lang from documents where lang is not null), e as (select lang as eval from l union all select 'FULL_' || lang from l),
+dr as (select eval as direction from e), p(position) as (values ('last_pos'), ('entity_pos'))
 select model, eval, direction, position, direction = eval as same, concat_ws('/', replace(model || '/x', '/', '__'), eval, direction, position) as path from m, e, dr, p where not starts_with(eval, 'FULL_') and not starts_with(direction, 'FULL_')""",
 )
 def config_grid_filter(spark, d):
+    """The grid of what the table has: models, evaluated and direction sets, full variants left out, and positions."""
     from ..functions import text as ft
 
-    dims = [values(spark, v, f"{n} string") for n, v in (("model", ("m0", "m1")), ("eval", ("a", "b", "FULL_a")), ("direction", ("a", "b", "FULL_b")), ("position", ("last_pos", "entity_pos")))]
-    grid = dims[0].crossJoin(dims[1]).crossJoin(dims[2]).crossJoin(dims[3])  # 36 rows of literals
-    kept = grid.where(~F.col("eval").startswith("FULL_") & ~F.col("direction").startswith("FULL_"))
+    docs = table(spark, d, "documents")
+    sets = docs.select("lang").where("lang is not null").distinct().select(F.explode(F.array("lang", F.concat(F.lit("FULL_"), "lang"))).alias("name")).where(~F.col("name").startswith("FULL_"))
+    models = docs.select(F.concat(F.lit("m"), (F.col("doc_id") % 2).cast("string")).alias("model")).distinct()
+    positions = values(spark, ("last_pos", "entity_pos"), "position string")
+    grid = models.crossJoin(sets.withColumnRenamed("name", "eval")).crossJoin(sets.withColumnRenamed("name", "direction")).crossJoin(positions)  # distinct names
     path = F.concat_ws("/", ft.safe_id(F.concat("model", F.lit("/x"))), "eval", "direction", "position")
-    return kept.withColumn("same", F.col("direction") == F.col("eval")).withColumn("path", path)
+    return grid.withColumn("same", F.col("direction") == F.col("eval")).withColumn("path", path)
 
 
 @query("series_extract", f"with {MEANS} select alpha10, round(gold_rank, 6) as y, row_number() over (order by alpha10) as at from sep where seed = 42 and layer = 1")
