@@ -11,7 +11,7 @@ from ..functions import text as ft
 from ..operators import metrics, providers, rerank
 from ..sources import scratch, store
 from .base import ALPHAS, KS, LAYERS, query, rounded, table, vectors
-from .rerank import RATES, REC, _simple_sql, asked, grid_directions
+from .rerank import RATES, REC, _simple_sql, asked, grid_records
 from .web import first_words
 
 # ---- two runs of the grid ---------------------------------------------------------------------------------------
@@ -61,11 +61,7 @@ cp as (select n.layer, n.alpha10, n.k, o.k is not null as has_old, {", ".join(f"
 @query("run_comparison", f"with {_RUNS} select cp.*, row_number() over (order by abs(coalesce(delta_rank_separation_gain, 0)) desc, layer, alpha10, k) as place from cp")
 def run_comparison(spark, d):
     """Both runs, written as one wide CSV, an empty cell for null, and read back; the largest change of the rank separation first."""
-    v = vectors(spark, d)
-    dirs = {key: x for key, x in grid_directions(spark, v).items() if key[0] in (OLD, NEW)}
-    key = F.element_at(F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(k).alias("layer")) for s, k in dirs]), F.col("dir") + 1)
-    records = rerank.target_ranks(v, asked(v), list(dirs.values()), ALPHAS).select(key["seed"].alias("seed"), key["layer"].alias("layer"), "alpha10", "q", "gold_rank", "nf_rank")
-    runs = scratch.cut(run_metrics(scratch.cut(records, "records")), "runs")
+    runs = scratch.cut(run_metrics(grid_records(spark, d, wanted=lambda seed, layer: seed in (OLD, NEW))), "runs")
     rows = rounded(compare(runs.where(F.col("seed") == NEW), runs.where((F.col("seed") == OLD) & (F.col("layer") < LAYERS - 1))), *WIDE)
     path = scratch.new_path(spark, "metrics")
     store.write_csv(rows, path)

@@ -186,12 +186,13 @@ def grid_directions(spark: SparkSession, v: DataFrame) -> dict[tuple[int, int],
     return dirs
 
 
-def grid_records(spark: SparkSession, d: str) -> DataFrame:
-    """(seed, layer, alpha10, q, gold_rank, nf_rank): the re-ranking records of the whole grid."""
+def grid_records(spark: SparkSession, d: str, alphas=ALPHAS, wanted=lambda seed, layer: True) -> DataFrame:
+    """(seed, layer, alpha10, q, gold_rank, nf_rank): the re-ranking records of the whole grid, or of the part of it that a query looks at."""
     v = vectors(spark, d)
-    dirs = grid_directions(spark, v)
-    key = F.element_at(F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(k).alias("layer")) for s, k in dirs]), F.col("dir") + 1)
-    return rerank.target_ranks(v, asked(v), list(dirs.values()), ALPHAS).select(key["seed"].alias("seed"), key["layer"].alias("layer"), "alpha10", "q", "gold_rank", "nf_rank")
+    dirs = {key: x for key, x in grid_directions(spark, v).items() if wanted(*key)}
+    ranks = rerank.target_ranks(v, asked(v), list(dirs.values()), alphas)
+    keys = values(spark, [(at, s, k) for at, (s, k) in enumerate(dirs)], "dir int, seed int, layer int")
+    return ranks.join(F.broadcast(keys), "dir").select("seed", "layer", "alpha10", "q", "gold_rank", "nf_rank")  # the grid, of stated size
 
 
 RES = f"""{V}, {E}, s(seed) as (values {", ".join(f"({s})" for s in SEEDS)}),
@@ -214,12 +215,13 @@ MEANS = f"""{RES}, ranks as (select seed, layer, alpha10, avg(gold_rank) as gold
 sep as (select *, max(gold_rank) filter (where alpha10 = 0) over w - gold_rank as gold_gain, nf_rank - max(nf_rank) filter (where alpha10 = 0) over w as nf_loss from ranks window w as (partition by seed, layer))"""
 
 
-def grid_rates(spark, d):
-    return metrics.hit_rates(grid_records(spark, d), ["seed", "layer", "alpha10"], list(KS))
+def grid_rates(spark, d, alphas=ALPHAS):
+    return metrics.hit_rates(grid_records(spark, d, alphas), ["seed", "layer", "alpha10"], list(KS))
 
 
-def grid_separation(spark, d):
-    return metrics.separation(metrics.mean_ranks(grid_records(spark, d), ["seed", "layer", "alpha10"]), ["seed", "layer"])
+def grid_separation(spark, d, **part):
+    means = scratch.cut(metrics.mean_ranks(grid_records(spark, d, **part), ["seed", "layer", "alpha10"]), "means")
+    return metrics.separation(means, ["seed", "layer"])
 
 
 @query(
@@ -276,7 +278,7 @@ def best_layer_by_separation(spark, d):
 select k, layer as best_layer, round(abs(r - 0.5), 6) as distance from m qualify row_number() over (partition by k order by round(abs(r - 0.5), 9) desc, layer) = 1""",
 )
 def best_layer_abs(spark, d):
-    m = grid_rates(spark, d).where("alpha10 = 5").groupBy("k", "layer").agg(F.avg("gold_rate").alias("r"))
+    m = grid_rates(spark, d, (5,)).groupBy("k", "layer").agg(F.avg("gold_rate").alias("r"))
     return metrics.best(m, ["k"], "layer", F.abs(F.col("r") - 0.5), "best_layer").select("k", "best_layer", r6("best").alias("distance"))
 
 
@@ -313,7 +315,7 @@ def fallback_selection(spark, d):
 select seed, round(100 * avg((a < b)::int), 6) as win, round(100 * avg((a = b)::int), 6) as tie, round(100 * avg((a > b)::int), 6) as loss, count(*) as n from o join o2 using (seed, q) group by seed""",
 )
 def method_verdict(spark, d):
-    res = grid_records(spark, d).where("alpha10 = 5")
+    res = grid_records(spark, d, (5,), lambda seed, layer: layer in (0, 1))
     one, two = (res.where(F.col("layer") == k).select("seed", "q", F.col("gold_rank").alias(n)) for k, n in ((0, "a"), (1, "b")))
     share = lambda c: r6(100 * metrics.rate(c))
     a, b = F.col("a"), F.col("b")
@@ -325,7 +327,7 @@ def method_verdict(spark, d):
     f"""with {RATES}, bc as (select k, round(gold_rate, 6) as g from rates where alpha10 = 0) select k, count(distinct g) as n_values, count(distinct g) <= 1 as same, count(*) as n from bc group by k""",
 )
 def baseline_check(spark, d):
-    base = grid_rates(spark, d).where("alpha10 = 0").withColumn("g", F.round("gold_rate", 6))
+    base = grid_rates(spark, d, (0,)).withColumn("g", F.round("gold_rate", 6))
     return base.groupBy("k").agg(F.count_distinct("g").alias("n_values"), (F.count_distinct("g") <= 1).alias("same"), F.count("*").alias("n"))
 
 
@@ -347,7 +349,7 @@ def old_new_diff(spark, d):
     f"""with {RES}, h as (select distinct seed, layer from res where not (seed = 89 and layer = 2)), n as (select count(distinct seed) as n from h) select layer from h, n group by layer, n having count(distinct seed) = n""",
 )
 def layer_coverage(spark, d):
-    have = grid_records(spark, d).where("not (seed = 89 and layer = 2)").select("seed", "layer").distinct()
+    have = grid_records(spark, d, (0,), lambda seed, layer: (seed, layer) != (89, 2)).select("seed", "layer").distinct()
     n = have.agg(F.count_distinct("seed").alias("n"))
     return have.groupBy("layer").agg(F.count_distinct("seed").alias("k")).crossJoin(F.broadcast(n)).where("k = n").select("layer")
 
@@ -384,7 +386,7 @@ def config_grid_filter(spark, d):
 
 @query("series_extract", f"with {MEANS} select alpha10, round(gold_rank, 6) as y, row_number() over (order by alpha10) as at from sep where seed = 42 and layer = 1")
 def series_extract(spark, d):
-    rows = grid_separation(spark, d).where("seed = 42 and layer = 1")
+    rows = grid_separation(spark, d, wanted=lambda seed, layer: (seed, layer) == (42, 1))
     return rows.select("alpha10", r6("gold_rank").alias("y"), F.row_number().over(Window.orderBy("alpha10")).cast("long").alias("at"))
 
 

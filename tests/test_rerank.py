@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import ranking, rerank, sampling
+from rankloom.plans import catalogue
 
 SCHEMA = "vec_id long, vec array<double>, fact boolean, extra string"
 ALPHAS = (0, 5, 10)
@@ -93,3 +94,38 @@ def test_a_tail_is_projected_and_not_compared(spark, made):
         for a in ALPHAS:
             s = np.round((1 - a / 10) * zc + a / 10 * z, 9)
             assert got[int(ids[at]), a] == min((-s[j], ids[j]) for j in np.flatnonzero(other))[1]
+
+
+def test_each_combination_is_computed_once(spark, made, monkeypatch):
+    """Ranks and first rows are written, so reading them twice doesn't run the passes again; queries ask only for the part of the grid that they look at."""
+    docs = spark.createDataFrame(made[0], SCHEMA)
+    for out in (rerank.target_ranks(docs, docs.where("vec_id % 20 = 0"), made[1], ALPHAS), rerank.fused_top(docs, docs.where("vec_id % 20 = 0"), made[1], ALPHAS, 3)):
+        assert "MapInArrow" not in out._jdf.queryExecution().toString()
+    asked = []
+
+    def ranks(docs, queries, directions, alphas, tail=0):
+        asked.append((len(directions), tuple(alphas)))
+        return spark.createDataFrame([], "q long, dir int, alpha10 int, gold_rank long, nf_rank long")
+
+    monkeypatch.setattr(rerank, "target_ranks", ranks)
+    for name in ("method_verdict", "series_extract", "layer_coverage", "best_layer_abs", "run_comparison", "fallback_selection", "old_new_diff"):
+        catalogue.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert asked == [(10, (5,)), (1, (0, 3, 5, 10)), (19, (0,)), (20, (5,)), (8, (0, 3, 5, 10)), (20, (0, 3, 5, 10)), (20, (0, 3, 5, 10))]
+
+
+def test_copies_and_close_scores(spark):
+    """Many copies of one vector and vectors closer than single precision tells apart, in several slices of documents."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=6)
+    rows = [(i, rng.normal(size=6).tolist(), bool(i % 2), "x") for i in range(300)] + [(i, base.tolist(), bool(i % 3), "x") for i in range(300, 700)]
+    rows += [(i, (base + 1e-8 * rng.normal(size=6)).tolist(), bool(i % 2), "x") for i in range(700, 900)]
+    directions = [rng.normal(size=6).tolist() for _ in range(2)] + [[0.0] * 6]  # the last is flat: nothing is ahead of anything
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = plain(rows, directions[:2])
+    got = {(r.q, r.dir, r.alpha10): (r.gold_rank, r.nf_rank) for r in rerank.target_ranks(docs, docs.where("vec_id % 20 = 0"), directions, ALPHAS).collect()}
+    assert {k: x for k, x in got.items() if k[1] < 2} == {k: x[1:] for k, x in want.items()}
+    assert {x for k, x in got.items() if k[1] == 2} == {(1, 1)}
+    top = {}
+    for r in rerank.fused_top(docs, docs.where("vec_id % 20 = 0"), directions, ALPHAS, 4).orderBy("pos").collect():
+        top.setdefault((r.q, r.dir, r.alpha10), []).append(r.id)
+    assert top == {k: x[0][:4] for k, x in want.items()}
