@@ -5,6 +5,7 @@ from collections import defaultdict
 import duckdb
 from pyspark.sql import functions as F
 
+from rankloom.operators import sampling
 from rankloom.llm import mixing
 
 
@@ -111,3 +112,17 @@ def test_clashing_names(spark):
     kept = mixing.take(docs)
     assert kept.columns == docs.columns and all(r["_x0"] == "_x0" and r["row"] == "row" and r["__mix_key"] == r.doc_id for r in kept.collect())
     assert kept.groupBy("doc_id").count().join(mixing.mix(docs).selectExpr("doc_id", "taken / size as n"), "doc_id").where("count <> n").isEmpty()
+
+
+def test_no_python_on_the_executors(spark, monkeypatch):
+    """Sources are ranked by DataFrame functions, however many partitions they lie in."""
+    docs = spark.createDataFrame([(k, f"s{k % 37}" if k % 41 else None, "a b c") for k in range(400)], "doc_id long, source string, text string").repartition(5)
+
+    def fails(*_):
+        raise AssertionError("Python on the executors")
+
+    monkeypatch.setattr(type(docs), "mapInArrow", fails)
+    assert mixing.mix(docs).count() == 400 and mixing.take(docs).count() > 0
+    keys = spark.createDataFrame([(f"k{x % 301:03d}" if x else None,) for x in range(900)], "key string").repartition(7)
+    got = sorted((r.place, r.key) for r in sampling.dense_ids(keys, "key", "place").collect())
+    assert got == list(enumerate([None, *(f"k{x:03d}" for x in range(301))]))
