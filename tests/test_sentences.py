@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,13 @@ def test_long_text():
     text = "word " * 200_000 + "end. " + "x" * 300_000 + ". Done."
     parts = sentences.spans(text, set())
     assert len(parts) == 3 and text[slice(*parts[-1])] == "Done."
+
+
+def test_spans_of_large_batches_are_made_in_slices(monkeypatch):
+    """However many texts a batch has, the spans of a bounded part of them are held at once."""
+    monkeypatch.setattr(sentences, "TEXT", 100)
+    texts = ["One. Two.", None, "", "Three! " * 40, "Four.", None] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "t"])
+    got = list(sentences._split_batches(iter([batch, batch.slice(0, 0)]), 1, set(), "s"))
+    assert len(got) == 4 and [x for b in got for x in b.column(0).to_pylist()] == list(range(len(texts)))
+    assert [x for b in got for x in b.column(2).to_pylist()] == [None if t is None else [{"start": s, "end": e} for s, e in sentences.spans(t, set())] for t in texts]
