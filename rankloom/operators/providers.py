@@ -6,6 +6,7 @@ and its results are joined back to every row that asked.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Callable, Iterator
@@ -58,14 +59,33 @@ def echo_digest(prompts: list[str]) -> list[str]:
     return ["answer " + hashlib.sha256(p.encode()).hexdigest()[:8] for p in prompts]
 
 
+class _Places(dict):
+    """Of each word the component that it counts in and whether it counts up there, as one number; let go when MOST words are held."""
+
+    MOST = 1 << 18
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
+        self[word] = place = h % self.width * 2 + (h >> 32 & 1)
+        return place
+
+
+_places = functools.cache(_Places)
+
+
 def hashed_embedding(texts: list[str], width: int = 32) -> list[list[float]]:
     """Stand-in for an embedder: a hashed bag of words, scaled to length 1."""
-    out = []
+    out, place = [], _places(width).__getitem__
     for t in texts:
-        v = [0.0] * width
-        for w in t.lower().split():
-            h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "little")
-            v[h % width] += 1.0 if h >> 32 & 1 else -1.0
+        n = [0] * (2 * width)
+        for k in map(place, t.lower().split()):
+            n[k] += 1
+        v = [float(up - down) for down, up in zip(n[::2], n[1::2])]
         size = sum(x * x for x in v) ** 0.5 or 1.0
         out.append([x / size for x in v])
     return out
