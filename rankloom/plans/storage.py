@@ -157,7 +157,7 @@ def probe_import(spark, d):
 def corpus_version(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     path = scratch.new_path(spark, "version")
-    docs.repartition(3).write.parquet(path)
+    docs.hint("rebalance").write.parquet(path)  # dealt out anew, in parts of bounded size
     kept = store.fingerprint(spark.read.parquet(path), "doc_id", "text").select(F.col("digest").alias("kept"))
     other = store.fingerprint(docs.where("doc_id > 0"), "doc_id", "text").select(F.lit("other").alias("version"), "digest")
     both = store.fingerprint(docs, "doc_id", "text").select(F.lit("same").alias("version"), "digest").union(other)

@@ -81,3 +81,13 @@ def test_provider_judge_reads_whole_texts(spark, made):
     want = {i: "0.25" if i in (2, 3, 4) else providers.judge([p])[0] for i, p in asked.items()}
     got = catalogue.queries()["provider_judge"](spark, d).collect()
     assert len(got) == len(texts) and {r.doc_id: r.raw for r in got} == want and len(set(want.values())) > 5
+
+
+def test_a_corpus_is_versioned_in_parts_of_bounded_size(spark, sf, monkeypatch):
+    """The second layout is not a stated number of parts, which would grow with the table."""
+    from pyspark.sql import DataFrame
+
+    asked, plain = [], DataFrame.repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, *how: asked.append(how) or plain(self, *how))
+    rows = catalogue.queries()["corpus_version"](spark, sf).collect()
+    assert {(r.version, r.matches) for r in rows} == {("same", True), ("other", False)} and not any(isinstance(h[0], int) for h in asked)
