@@ -157,5 +157,6 @@ def floor(df: DataFrame, model: Pipeline, key: str, k: int = 5, seed: int = 42)
     for fold in range(k):
         fitted = model.fit(weighted(rows.where(F.col("fold") != fold), "label"))
         part = fitted.transform(rows.where(F.col("fold") == fold)).select((F.col("label") > 0).alias("y"), vector_to_array("probability")[1].alias("score"))
+        part = cut(part, "floor")  # written, so that no more than one fold's model is held
         out = part if out is None else out.union(part)
     return stats.auroc(out, [], "score", "y")

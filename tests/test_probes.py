@@ -73,3 +73,11 @@ def test_odd(spark):
     assert np.allclose(probes.fit_all(df.union(extra), "vec", "y", "cell", [{0, 1, 2}]), probes.fit_all(df, "vec", "y", "cell", [{0, 1, 2}]))
     one_sided = probes.fit_all(df.where("y"), "vec", "y", "cell", [{0, 1, 2}])
     assert not one_sided.any() and probes.fit_all(df.limit(0), "vec", "y", "cell", [{0}]).shape == (1, 0)
+
+
+def test_a_floor_holds_one_model_at_a_time(spark, monkeypatch):
+    """Scores of a fold are written before the next is fitted; none of the five models is held by the scores."""
+    rows = spark.createDataFrame([(k, f"word{k % 7} other{k % 3} same", float(k % 5), float(k % 2)) for k in range(60)], "doc_id long, text string, len double, label double")
+    monkeypatch.setattr(stats, "auroc", lambda scores, *_: scores)
+    out = probes.floor(rows, probes.length_model(), "doc_id")
+    assert "UDF" not in out._jdf.queryExecution().analyzed().toString() and out.count() == 60
