@@ -30,8 +30,9 @@ def answers(spark: SparkSession, d: str, top: DataFrame, by: str) -> DataFrame:
 
     The grid is shuffled as ids only; each distinct (query, ids) fetches its texts once, each distinct prompt is answered once.
     """
-    texts = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = table(spark, d, "documents").select(F.col("doc_id").alias("q"), "lang", F.col("text").alias("own"))
+    docs = table(spark, d, "documents").hint("merge")  # files may be small where texts are alike, but texts are too large to be sent to every executor
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = docs.select(F.col("doc_id").alias("q"), "lang", F.col("text").alias("own"))
     listed = top.groupBy(by, "alpha10", "q").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("all"))  # 5 ids a group
     grid = listed.withColumn("k", F.explode(F.array(*map(F.lit, SIZES)))).withColumn("ids", F.slice("all", F.lit(1), F.col("k"))).drop("all")
     wanted = grid.select("q", "ids").distinct()

@@ -153,3 +153,16 @@ def test_directions_alike_share_a_bound(spark):
     for b in rerank._count_ahead(shared, np.array(directions), np.zeros(5), np.ones(5), ALPHAS, 0)(iter([batch])):
         sent.append((b.num_rows, [len(x) for x in b.column(1).to_pylist()]))
     assert sent == [(2, [15, 15])]
+    top = {}
+    for r in rerank.fused_top(docs, docs.where("vec_id % 20 = 0"), directions, ALPHAS, 4).orderBy("pos").collect():
+        top.setdefault((r.q, r.dir, r.alpha10), []).append(r.id)
+    assert top == {k: x[0][:4] for k, x in want.items()}
+
+
+def test_texts_of_answers_are_not_broadcast(spark):
+    """Files of like texts are small, the texts are not: whatever Spark reckons, they are joined by a shuffle."""
+    from rankloom.plans import endtoend
+
+    top = spark.createDataFrame([(7, 0, 0, 1, 20)], "seed int, alpha10 int, q long, pos int, id long")
+    plan = endtoend.answers(spark, "/root/testdata/sf0.001", top, "seed")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("ResolvedHint (strategy=merge)") >= 2  # texts and questions
