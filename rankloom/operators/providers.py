@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Texts that a provider gets at once.
 BATCH = 256
@@ -29,13 +30,15 @@ def _runs(texts: list[str], provider: Callable[[list[str]], list]) -> list:
     return out
 
 
+_TYPES = {"string": pa.string(), "double": pa.float64(), "array<float>": pa.list_(pa.float32()), "array<array<float>>": pa.list_(pa.list_(pa.float32()))}
+
+
 def per_text(df: DataFrame, column: str, provider: Callable[[list[str]], list], out: str, kind: str, cache: DataFrame | None = None) -> DataFrame:
     """(column, out): the provider's result for each distinct text that the cache, a table of the same columns, does not have, and the cache's for the rest."""
-    types = {"string": pa.string(), "double": pa.float64(), "array<float>": pa.list_(pa.float32()), "array<array<float>>": pa.list_(pa.list_(pa.float32()))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_runs(b.column(0).to_pylist(), provider), types[kind])], [column, out])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_runs(b.column(0).to_pylist(), provider), _TYPES[kind])], [column, out])
 
     asked = df.select(column).where(F.col(column).isNotNull()).distinct()
     todo = asked if cache is None else asked.join(cache, column, "left_anti")
@@ -43,6 +46,17 @@ def per_text(df: DataFrame, column: str, provider: Callable[[list[str]], list],
     return made if cache is None else made.union(asked.join(cache, column).select(column, out))
 
 
+def each(df: DataFrame, column: str, provider: Callable[[list[str]], list], out: str, kind: str) -> DataFrame:
+    """df with the provider's results in the place of its texts, which are distinct already and not null: so they aren't shuffled to find that out."""
+    kept = [c for c in df.columns if c != column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.array(_runs(b.column(column).to_pylist(), provider), _TYPES[kind])], [*kept, out])
+
+    return df.mapInArrow(run, StructType([*df.select(*kept).schema, *StructType.fromDDL(f"{out} {kind}")]))
+
+
 def generate(df: DataFrame, prompt: str, provider: Callable[[list[str]], list[str]], cache: DataFrame | None = None) -> DataFrame:
     """df with answer: one call for each distinct prompt; the answer to a null prompt is null."""
     return with_result(df, prompt, per_text(df, prompt, provider, "answer", "string", cache))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as ft
 from ..operators import metrics, providers, rerank
+from ..sources import scratch
 from .base import ALPHAS, query, r6, rounded, table, vectors
 from .rerank import MIXED_TOP, RES, asked, grid_directions, mixture_top
 
@@ -28,19 +29,26 @@ ok as (select {by}, alpha10, k, contains(answer, substr(md5(text), 1, 1)) as ok
 def answers(spark: SparkSession, d: str, top: DataFrame, by: str) -> DataFrame:
     """(by, alpha10, k, ok) from the first documents (by, alpha10, q, pos, id).
 
-    The grid is shuffled as ids only; each distinct (query, ids) fetches its texts once, each distinct prompt is answered once.
+    The grid is shuffled as digests of texts only. Each distinct prompt, a language and texts in order, is built and answered once, at the smallest query that
+    asks it, and each such query fetches each of its texts once; prompts themselves are never shuffled.
     """
-    docs = table(spark, d, "documents").hint("merge")  # files may be small where texts are alike, but texts are too large to be sent to every executor
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = docs.select(F.col("doc_id").alias("q"), "lang", F.col("text").alias("own"))
-    listed = top.groupBy(by, "alpha10", "q").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("all"))  # 5 ids a group
-    grid = listed.withColumn("k", F.explode(F.array(*map(F.lit, SIZES)))).withColumn("ids", F.slice("all", F.lit(1), F.col("k"))).drop("all")
-    wanted = grid.select("q", "ids").distinct()
-    parts = wanted.select("q", "ids", F.posexplode("ids").alias("pos", "doc_id")).join(texts, "doc_id", "left")
-    context = parts.groupBy("q", "ids").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("docs"))
-    prompts = context.join(own, "q").withColumn("prompt", ft.prompt(F.col("docs"), F.concat(F.coalesce("lang", F.lit("")), F.lit("?"))))
-    answered = providers.generate(prompts, "prompt", providers.echo_digest).select("q", "ids", ft.matches_any(F.col("answer"), F.array(F.substring(F.md5("own"), 1, 1))).alias("ok"))
-    return grid.join(answered, ["q", "ids"]).select(by, "alpha10", "k", "ok")
+    ends = top.agg(F.min(F.least("q", "id")), F.max(F.greatest("q", "id"))).first()
+    docs = table(spark, d, "documents").where(F.col("doc_id").between(*ends))
+    key = lambda text: F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+    known = scratch.cut(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.substring(F.md5("text"), 1, 1).alias("digit"), key(F.col("text")).alias("key")), "known")
+    listed = top.join(known.select(F.col("doc_id").alias("id"), "key"), "id", "left").groupBy(by, "alpha10", "q").agg(F.collect_list(F.struct("pos", F.coalesce("key", key(F.lit(""))).alias("key"))).alias("all"))  # 5 a group
+    sized = listed.join(known.select(F.col("doc_id").alias("q"), "lang", "digit"), "q").withColumn("k", F.explode(F.array(*map(F.lit, SIZES))))
+    grid = scratch.cut(sized.withColumn("keys", F.transform(F.filter(F.array_sort("all"), lambda x: x["pos"] <= F.col("k")), lambda x: x["key"])).drop("all"), "grid")
+    asks = grid.groupBy("lang", "keys").agg(F.min("q").alias("q")).groupBy("q").agg(F.collect_list(F.struct("lang", "keys")).alias("asks"))  # no more than the grid has
+    one_of_each = known.where(F.col("key") != key(F.lit(""))).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    needed = asks.select("q", F.explode(F.array_distinct(F.flatten("asks.keys"))).alias("key")).join(one_of_each, "key")
+    # files may be small where texts are alike, but texts are too large to be sent to every executor
+    found = needed.join(docs.select("doc_id", "text").hint("merge"), "doc_id").where(key(F.col("text")) == F.col("key"))
+    texts = found.groupBy("q").agg(F.collect_list(F.struct("key", "text")).alias("texts")).hint("merge")
+    text_of = lambda k: F.coalesce(F.get(F.filter("texts", lambda t: t["key"] == k), F.lit(0))["text"], F.lit(""))
+    made = F.transform("asks", lambda a: F.struct(a["lang"].alias("lang"), a["keys"].alias("keys"), ft.prompt(F.transform(a["keys"], text_of), F.concat(a["lang"], F.lit("?"))).alias("prompt")))
+    answered = providers.each(asks.join(texts, "q", "left").select(F.inline(made)), "prompt", providers.echo_digest, "answer", "string")
+    return grid.join(answered, ["lang", "keys"]).select(by, "alpha10", "k", ft.matches_any(F.col("answer"), F.array("digit")).alias("ok"))
 
 
 GRID_SQL = f"""{RES}, tp as (select seed, alpha10, q, id, row_number() over (partition by seed, alpha10, q order by s desc, id) as pos from sc where layer = {LAYER} qualify pos <= 5), {_answers_sql("seed")}"""

@@ -166,3 +166,37 @@ def test_texts_of_answers_are_not_broadcast(spark):
     top = spark.createDataFrame([(7, 0, 0, 1, 20)], "seed int, alpha10 int, q long, pos int, id long")
     plan = endtoend.answers(spark, "/root/testdata/sf0.001", top, "seed")._jdf.queryExecution().analyzed().toString()
     assert plan.count("ResolvedHint (strategy=merge)") >= 2  # texts and questions
+
+
+def test_prompts_are_built_and_answered_once(spark, tmp_path, monkeypatch):
+    """Answers as of a plain version, for copies, null, empty and missing texts; prompts of one language and the same texts are one, and none is shuffled."""
+    import hashlib
+
+    from rankloom.operators import providers
+    from rankloom.plans import endtoend
+
+    rows = [(i, f"text {i % 30}" if i % 7 else [None, ""][i % 2], ["de", "en", None][i % 3]) for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = {r[0]: r[1:] for r in rows}
+    grid = [(s, a, q) for s in (7, 42) for a in (0, 10) for q in (0, 20, 21, 40, 60, 300)]  # 300 isn't there
+    top = [(s, a, q, p + 1, (p * 30 + (q if a == 0 else 0) + p * (s > 7)) % 130) for s, a, q in grid for p in range(5)]
+    plans, sent, each = [], [], providers.each
+
+    def spied(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        sent.extend(r.prompt for r in df.collect())
+        return each(df, *rest)
+
+    monkeypatch.setattr(providers, "each", spied)
+    got = endtoend.answers(spark, str(tmp_path), spark.createDataFrame(top, "seed int, alpha10 int, q long, pos int, id long"), "seed").collect()
+    want, prompts = [], set()
+    for s, a, q in grid:
+        for k in (2, 5) if q in docs else ():
+            ids = [x[4] for x in sorted(top) if x[:3] == (s, a, q)][:k]
+            text, lang = docs[q]
+            made = "Documents:\n" + "\n".join(f"[{n}] {docs.get(i, (None,))[0] or ''}" for n, i in enumerate(ids, 1)) + f"\n\nQuestion: {lang or ''}?\nAnswer:"
+            prompts.add(made)
+            want.append((s, a, k, None if text is None else hashlib.md5(text.encode()).hexdigest()[0] in "answer " + hashlib.sha256(made.encode()).hexdigest()[:8]))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert sorted(sent) == sorted(prompts) and len(prompts) < len(want)
+    assert not [line for line in plans[0].splitlines() if "Exchange" in line and "prompt" in line]
