@@ -1,4 +1,4 @@
-"""Linear probes by Newton steps over all of their unions and folds at once; lexical floors by pyspark.ml."""
+"""Linear probes by Newton steps over all of their unions and folds at once; the floor of lengths by pyspark.ml."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,13 +139,6 @@ def out_of_fold(df: DataFrame, vec: str, label: str, key: str, k: int = 5, seed:
     return rows.select(key, label, fv.dot(F.col(vec), F.get(by_fold, F.col("fold").cast("int"))).alias("score"))
 
 
-def lexical_model(min_df: int = 2) -> Pipeline:
-    """TF-IDF of all word 1- and 2-grams in at least min_df texts, rows of length 1, and a logistic regression; the driver holds the vocabulary, as it does the weights."""
-    words = SQLTransformer(statement="select *, filter(split(lower(text), '[^\\\\p{L}\\\\p{N}]+'), w -> w <> '') as words from __THIS__")
-    both = SQLTransformer(statement="select *, concat(words, pairs) as grams from __THIS__")
-    return Pipeline(stages=[words, NGram(n=2, inputCol="words", outputCol="pairs"), both, CountVectorizer(minDF=min_df, vocabSize=(1 << 31) - 1, inputCol="grams", outputCol="tf"), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features"), LogisticRegression(maxIter=30, regParam=0.01, weightCol="weight")])
-
-
 def length_model() -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=["len"], outputCol="features"), LogisticRegression(maxIter=30, weightCol="weight")])
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import alike
 from ..functions import text as ft
 from ..functions import vectors as fv
-from ..operators import metrics, ordered, probes, providers, sampling, sparse, stats
+from ..operators import lexical, metrics, ordered, probes, providers, sampling, sparse, stats
 from ..sources.scratch import cut
 from .base import query, r6, rounded, table, values, vectors
 
@@ -40,7 +40,7 @@ def probe_auroc(spark, d):
 @query("lexical_floor")
 def lexical_floor(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "text", F.length("text").cast("double").alias("len"), F.col("quality").cast("double").alias("label"))
-    words = probes.floor(rows, probes.lexical_model(), "doc_id").select(F.lit("words").alias("features"), r6("auroc").alias("auroc"))
+    words = lexical.floor(rows, "doc_id").select(F.lit("words").alias("features"), r6("auroc").alias("auroc"))
     return words.union(probes.floor(rows, probes.length_model(), "doc_id").select(F.lit("length"), r6("auroc")))
 
 
